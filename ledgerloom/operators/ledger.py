@@ -19,9 +19,9 @@ KEY = ["user_id", "transaction_id"]
 # Fields a repeated ingest may overwrite; all others of an existing row are kept.
 OVERWRITTEN = [
     "id_api", "amount", "vendor", "vendor_cleaned", "account", "template_used", "cleaned_metaphone", "date",
-    "description", "account_id", "predicted_category", "predicted_subcategory", "prediction_confidence",
-    "model_version", "day", "day_name", "month", "year",
+    "description", "account_id", "day", "day_name", "month", "year",
 ]
+PREDICTION = ["predicted_category", "predicted_subcategory", "prediction_confidence", "model_version"]
 
 
 def split_writable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,6 +78,10 @@ def upsert(ledger: DataFrame, batch: DataFrame, as_of, order: list[str] | None =
             out.append(F.when(arrived, F.lit("processed")).otherwise(F.col("old.status")).alias(name))
         elif name not in batch.columns:
             out.append(F.col(f"old.{name}"))
+        elif name in PREDICTION:
+            # a label, its confidence and its model belong together
+            scored = F.col("new.predicted_category").isNotNull() if "predicted_category" in batch.columns else F.lit(False)
+            out.append(F.when(scored, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name))
         elif name in OVERWRITTEN:
             out.append(F.coalesce(F.col(f"new.{name}"), F.col(f"old.{name}")).alias(name))
         else:
