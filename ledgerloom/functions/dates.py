@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import literal_array, literal_map, strip
 
 # Accepted date formats in the order they are tried.
 DATE_FORMATS = [
@@ -113,7 +113,7 @@ def _header_text(text: Column) -> Column:
 def header_zone(text: Column) -> Column:
     """Zone of an RFC 2822 header date, NULL if it has none."""
     zone = F.upper(F.regexp_extract(_header_text(text), _RFC2822, 7))
-    named = F.create_map(*[F.lit(x) for pair in HEADER_ZONES.items() for x in pair])
+    named = literal_map(HEADER_ZONES)
     numeric = _offset_zone(F.substring(zone, 1, 1), F.substring(zone, 2, 2), F.substring(zone, 4, 2))
     return F.when(zone == "-0000", None).when(zone.rlike("^[+-]"), numeric).otherwise(F.try_element_at(named, zone))
 
@@ -126,8 +126,7 @@ def header_instant(text: Column, default_zone: str = "UTC") -> Column:
 def named_zone(text: Column) -> Column:
     """Zone named in the text as a whole upper-case word."""
     names = "|".join(NAMED_ZONES)
-    zones = F.create_map(*[F.lit(x) for pair in NAMED_ZONES.items() for x in pair])
-    return F.try_element_at(zones, F.regexp_extract(text, rf"\b({names})\b", 1))
+    return F.try_element_at(literal_map(NAMED_ZONES), F.regexp_extract(text, rf"\b({names})\b", 1))
 
 
 def drop_zone_names(text: Column) -> Column:
@@ -152,7 +151,7 @@ def parse_date(text: Column, header_date: Column | None = None, default_zone: st
     short_year = [i for i, fmt in enumerate(DATE_FORMATS, 1) if "%y" in fmt]
     plain = F.regexp_replace(cleaned, r"(?i)^[a-z]{3},\s*|(?<=\d{2})\s*(?:z|[+-]\d{2}:?\d{2})$", "")
     source = F.when(number.isin(with_zone), plain).otherwise(cleaned)
-    pattern = F.get(F.array(*[F.lit(_spark_pattern(fmt)) for fmt in DATE_FORMATS]), number - 1)
+    pattern = F.get(literal_array([_spark_pattern(fmt) for fmt in DATE_FORMATS]), number - 1)
     local = _ntz(F.try_to_timestamp(source, pattern))
     # two-digit years 69..99 belong to the last century
     local = local - F.make_ym_interval(F.when(number.isin(short_year) & (F.year(local) >= 2069), 100).otherwise(0), F.lit(0))

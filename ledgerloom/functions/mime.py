@@ -7,7 +7,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, strip
+from .text import blank_to_null, literal_map, strip
 
 # ---------------------------------------------------------------------------------------------------------
 # transfer encodings
@@ -53,10 +53,6 @@ _NAMED = {
 _BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
 
 
-def _literal_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-
-
 def _code_point(number: Column) -> Column:
     keep = number.between(0x20, 0x7E) | (number == 10)
     return F.when(keep, F.chr(number)).otherwise(F.lit(""))
@@ -64,7 +60,7 @@ def _code_point(number: Column) -> Column:
 
 def unescape_entities(text: Column) -> Column:
     """Decode entities in one pass: the text is split at ``&`` and each piece starts with an entity or not."""
-    named = _literal_map(_NAMED)
+    named = literal_map(_NAMED)
     bare = "^(" + "|".join(_BARE) + ")"
 
     def decode(piece: Column, index: Column) -> Column:

@@ -36,6 +36,21 @@ VENDOR_FLAGS = [
 ]
 
 
+def quoted(value: str) -> str:
+    """A SQL text literal. Long fixed expressions are written as SQL text: one call builds them, where
+    column objects would take one call to the JVM per node."""
+    value = value.replace("\\", "\\\\").replace("'", "\\'")
+    return "'" + value.replace("${", "\\u0024{") + "'"  # ${...} would be taken for a variable
+
+
+def literal_map(mapping: dict[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(quoted(x) for pair in mapping.items() for x in pair) + ")")
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of blank, not only spaces."""
     return F.btrim(text, F.lit(BLANKS))

@@ -45,7 +45,7 @@ def with_bodies(messages: DataFrame) -> DataFrame:
         {
             "sanitized_low": F.lower("sanitized_body"),
             "raw_low": F.lower("raw_body"),
-            "cells": cell_texts(F.col("raw_body")),
+            "cell": F.struct(*[c.alias(n) for n, c in cell_fields(cell_texts(F.col("raw_body"))).items()]),
         },
     )
 
@@ -82,69 +82,60 @@ def cell_fields(cells: Column) -> dict[str, Column]:
 # ------------------------------------------------------------------------------------------- templates
 
 
-def first_group(body: Column, pattern: str, flags: str, trim: bool = False) -> Column:
+def first_group(body: str, pattern: str, flags: str, trim: bool = False) -> str:
     """First non-empty group of the first occurrence, or the whole match of a pattern without groups; an
     occurrence with only empty groups gives the empty text. Ask ``rlike`` first."""
-    full, n = flags + pattern, groups(pattern)
-    if n == 0:
-        return F.regexp_extract(body, full, 0)
-    parts = [F.regexp_extract(body, full, i) for i in range(1, n + 1)]
-    parts = [text.strip(p) if trim else p for p in parts]
-    return parts[0] if n == 1 else F.coalesce(*[text.blank_to_null(p) for p in parts], F.lit(""))
-
-
-def _candidate(template: Template, kind: str, need_date: bool) -> tuple[Column, Column]:
-    """Condition and match of one template on one form of the body."""
-    body, low, flags = F.col(f"{kind}_body"), F.col(f"{kind}_low"), _FLAGS[kind]
-    tests = []
+    full, n = text.quoted(flags + pattern), groups(pattern)
+    parts = [f"regexp_extract({body}, {full}, {i})" for i in (range(1, n + 1) if n else [0])]
+    if trim:
+        parts = [f"btrim({part}, {text.quoted(text.BLANKS)})" for part in parts]
+    return parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(f"nullif({p}, '')" for p in parts) + ", '')"
+
+
+def _candidate(template: Template, kind: str, need_date: bool) -> str:
+    """One WHEN branch: condition and match of one template on one form of the body."""
+    body, low, flags = f"{kind}_body", f"{kind}_low", _FLAGS[kind]
+    fits = lambda column, pattern, how=flags: f"{column} RLIKE {text.quoted(how + pattern)}"
+    tests, date = [], "NULL"
     if template.email_from:
-        tests.append(F.col("from_addr") == template.email_from)
+        tests.append(f"from_addr = {text.quoted(template.email_from)}")
     if template.subject_pattern:
-        tests.append(F.col("subject").rlike("(?isUd)" + template.subject_pattern))
+        tests.append(fits("subject", template.subject_pattern, _FLAGS["raw"]))
     if template.hints:
-        tests.append(reduce(lambda a, b: a | b, [low.contains(h) for h in template.hints]))
+        tests.append("(" + " OR ".join(f"contains({low}, {text.quoted(h)})" for h in template.hints) + ")")
     if template.cells:
-        fields = cell_fields(F.col("cells"))
-        tests += [F.coalesce(c != "", F.lit(False)) for c in fields.values()]
-        found = (fields["amount"], fields["account"], fields["vendor"], F.lit(None).cast("string"))
+        tests += [f"cell.{name} <> ''" for name in ("amount", "account", "vendor")]
+        amount, account, vendor = "cell.amount", "cell.account", "cell.vendor"
     else:
-        tests += [body.rlike(flags + template.amount), body.rlike(flags + template.account)]
-        vendor = F.lit(template.vendor)
+        tests += [fits(body, template.amount), fits(body, template.account)]
+        vendor = text.quoted(template.vendor)
         if template.vendor_is_pattern:
             vendor = first_group(body, template.vendor, flags, trim=True)
             if template.subject_vendor:
-                subject = first_group(F.col("subject"), template.subject_vendor, "(?isUd)", trim=True)
-                vendor = F.coalesce(text.blank_to_null(vendor), subject)
-            tests.append(vendor != "")
-        date = F.lit(None).cast("string")
+                subject = first_group("subject", template.subject_vendor, _FLAGS["raw"], trim=True)
+                vendor = f"coalesce(nullif({vendor}, ''), {subject})"
+            tests.append(f"{vendor} <> ''")
         if template.date:
-            date = text.blank_to_null(first_group(body, template.date, flags))
+            date = f"nullif({first_group(body, template.date, flags)}, '')"
             if need_date:
-                tests.append(body.rlike(flags + template.date))
-        found = (first_group(body, template.amount, flags), first_group(body, template.account, flags), vendor, date)
-    amount, account, vendor, date = found
-    match = F.struct(
-        F.lit(template.name).alias("template"),
-        F.lit(kind).alias("body_type"),
-        amount.alias("amount_raw"),
-        text.strip(account).alias("account_raw"),
-        vendor.alias("vendor_raw"),
-        date.alias("date_raw"),
+                tests.append(fits(body, template.date))
+        amount, account = (first_group(body, p, flags) for p in (template.amount, template.account))
+    match = (
+        f"named_struct('template', {text.quoted(template.name)}, 'body_type', '{kind}', 'amount_raw', {amount}, "
+        f"'account_raw', btrim({account}, {text.quoted(text.BLANKS)}), 'vendor_raw', {vendor}, 'date_raw', CAST({date} AS STRING))"
     )
-    return reduce(lambda a, b: a & b, tests), match
+    return f"WHEN {' AND '.join(tests)} THEN {match}"
 
 
 def first_match(templates: list[Template]) -> Column:
     """First template in order, tried on the cleaned and then on the raw body. A template whose date is
     optional is tried with its date on both forms before it is tried without."""
-    chosen = None
+    branches = []
     for template in templates:
         kinds = ("raw",) if template.cells else ("sanitized", "raw")
         tries = [(kind, True) for kind in kinds] + [(kind, False) for kind in kinds if template.date_optional]
-        for kind, need_date in tries:
-            condition, match = _candidate(template, kind, need_date)
-            chosen = F.when(condition, match) if chosen is None else chosen.when(condition, match)
-    return chosen.cast(_MATCH_DDL)
+        branches += [_candidate(template, kind, need_date) for kind, need_date in tries]
+    return F.expr(f"CASE {' '.join(branches)} END").cast(_MATCH_DDL)
 
 
 def match_templates(bodies: DataFrame, templates: list[Template] | None = None) -> DataFrame:

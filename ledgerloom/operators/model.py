@@ -150,36 +150,33 @@ def _predict(fitted: PipelineModel, df: DataFrame, settings: Settings) -> DataFr
 
 
 def score(fitted: PipelineModel, df: DataFrame, model_version: str, settings: Settings | None = None) -> DataFrame:
-    """Append category, subcategory, confidence, source and model_version. Rows that fail the scoring gate
-    get the default prediction; confidence is the highest class probability."""
+    """Append category, subcategory, confidence, source and model_version to each row; no row is moved. Rows
+    that fail the scoring gate get the default prediction; confidence is the highest class probability."""
     settings = settings or Settings()
-    key = ["transaction_id"] if "transaction_id" in df.columns else ["id"]
-    renamed = df.withColumn("transaction_id", F.col(key[0]))
-    gated = renamed.withColumn("_ok", rules.is_scorable(renamed))
-    scored = fitted.transform(with_terms(rules.feature_rows(gated.filter("_ok"), settings.as_of, keep=["transaction_id"])))
-    answers = scored.select(
-        "transaction_id",
-        F.col("predicted_category").alias("category"),
-        F.col("predicted_subcategory").alias("subcategory"),
-        F.array_max(vector_to_array("category_probability")).alias("confidence"),
-        F.lit(model_version).alias("model_version"),
-        F.lit("model").alias("source"),
-    )
-    columns = [c for c in df.columns if c not in ("category", "subcategory", "model_version", "transaction_id")]
-    joined = gated.select("transaction_id", *columns).join(answers, "transaction_id", "left")
-    return rules.fill_default_prediction(joined)
+    answered = ("category", "subcategory", "confidence", "source", "model_version")
+    kept = [c for c in df.columns if c not in answered]
+    packed = df.withColumns({"_row": F.struct(*kept), "_ok": rules.is_scorable(df)})
+    scored = fitted.transform(with_terms(rules.feature_rows(packed, settings.as_of, keep=["_row", "_ok"])))
+    answers = {
+        "category": F.col("predicted_category"),
+        "subcategory": F.col("predicted_subcategory"),
+        "confidence": F.array_max(vector_to_array("category_probability")),
+        "model_version": F.lit(model_version),
+        "source": F.lit("model"),
+    }
+    out = scored.select("_row.*", *[F.when(F.col("_ok"), c).alias(n) for n, c in answers.items()])
+    return rules.fill_default_prediction(out)
 
 
 def score_distinct(fitted: PipelineModel, df: DataFrame, model_version: str, settings: Settings | None = None) -> DataFrame:
     """Score one row per (vendor, amount, template) and copy the result to the others. Rows of one key may
     differ in date and account, which are features too; use ``score`` when that matters."""
+    answered = ["category", "subcategory", "confidence", "source", "model_version"]
     description = F.col("description") if "description" in df.columns else F.lit(None).cast("string")
-    keyed = df.withColumn("_key", text.score_key(F.col("vendor"), description, F.col("amount"), F.col("template_used")))
+    keyed = df.drop(*answered).withColumn(
+        "_key", text.score_key(F.col("vendor"), description, F.col("amount"), F.col("template_used"))
+    )
     rest = [c for c in keyed.columns if c != "_key"]
     first = keyed.groupBy("_key").agg(F.min_by(F.struct(*rest), F.col("transaction_id")).alias("r")).select("_key", "r.*")
-    scored = score(fitted, first, model_version, settings)
-    answers = first.select("_key", "transaction_id").join(scored, "transaction_id").select(
-        "_key", "category", "subcategory", "confidence", "source", "model_version"
-    )
-    kept = [c for c in keyed.columns if c not in ("category", "subcategory", "confidence", "source", "model_version")]
-    return keyed.select(*kept).join(answers, "_key", "left").drop("_key")
+    answers = score(fitted, first, model_version, settings).select("_key", *answered)
+    return keyed.join(answers, "_key", "left").drop("_key")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import literal_array
 from ..operators.templates import TEMPLATE_NAMES
 
 AS_OF = "2024-01-31 00:00:00"
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.element_at(literal_array(values), (index + 1).cast("int"))
 
 
 def _sql_list(values: list[str]) -> str:
@@ -228,7 +229,8 @@ def msg(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate") + F.make_dt_interval(hours=(14 + key % 7).cast("int"), mins=(key % 60).cast("int"))
     raw_only = (kind + 1).isin(*_RAW)
     vendor = F.concat(F.lit("SHOP"), F.when((form == 4) & ~raw_only, "&#35;").otherwise("#"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))
-    base = orders.select(
+    # a message table has many files; the test orders are one
+    base = orders.repartition(spark.sparkContext.defaultParallelism, key).select(
         key.alias("k"), form.alias("form"), kind.alias("kind"), at.alias("at"), raw_only.alias("raw_only"),
         F.col("o_custkey"), vendor.alias("vendor"),
         F.format_number("o_totalprice", 2).alias("amount"),
