@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import evaluate_once
 from .text import blank_to_null, literal_map, strip
 
 # ---------------------------------------------------------------------------------------------------------
@@ -22,8 +23,11 @@ def joined_data(data: Column) -> Column:
 
 def decode_base64url(data: Column) -> Column:
     """Decode to text. Broken input gives NULL, bytes that are not UTF-8 become U+FFFD."""
-    text = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/=]", "")
-    return F.make_valid_utf8(F.try_to_binary(text, F.lit("base64")).cast("string"))
+    text = F.translate(data, "-_\r\n", "+/")
+    # characters outside the alphabet are skipped; the search for them runs only where the plain way fails
+    clean = F.regexp_replace(text, "[^A-Za-z0-9+/=]", "")
+    decoded = F.coalesce(F.try_to_binary(text, F.lit("base64")), F.try_to_binary(clean, F.lit("base64")))
+    return F.make_valid_utf8(decoded.cast("string"))
 
 
 def decode_quoted_printable(text: Column) -> Column:
@@ -36,7 +40,7 @@ def decode_quoted_printable(text: Column) -> Column:
     escaped = F.replace(escaped, F.lit("=="), F.lit("%3D"))
     unfolded = F.regexp_replace(escaped, r"=(?:\r[^\n]*)?\n|=\z", "")
     return F.when(
-        text.contains("="), F.try_url_decode(F.regexp_replace(unfolded, "=([0-9A-Fa-f]{2})", "%$1"))
+        text.rlike(r"=(?:[0-9A-Fa-f]{2}|[\r\n=]|\z)"), F.try_url_decode(F.regexp_replace(unfolded, "=([0-9A-Fa-f]{2})", "%$1"))
     ).otherwise(text)
 
 
@@ -111,9 +115,12 @@ def tidy(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"[^\x20-\x7E\n]", ""))
 
 
-def sanitize(text: Column) -> Column:
-    """Readable ASCII text of an HTML body. Entities are decoded after blanks collapse, so ``&nbsp;`` vanishes."""
-    return tidy(unescape_entities(strip_markup(decode_quoted_printable(F.coalesce(text, F.lit(""))))))
+def sanitize_into(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Append the readable ASCII text of an HTML body. Entities are decoded after blanks collapse, so
+    ``&nbsp;`` vanishes. Done in steps, because each later step looks at its input more than once."""
+    df = evaluate_once(df, {"_qp": decode_quoted_printable(F.coalesce(F.col(source), F.lit("")))})
+    df = evaluate_once(df, {"_text": strip_markup(F.col("_qp"))}).drop("_qp")
+    return evaluate_once(df, {target: tidy(unescape_entities(F.col("_text")))}).drop("_text")
 
 
 # ---------------------------------------------------------------------------------------------------------

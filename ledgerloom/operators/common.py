@@ -42,14 +42,3 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def drop_label_columns(df: DataFrame) -> DataFrame:
     """Old ``category`` and ``subcategory`` columns are replaced by the user and predicted ones."""
     return df.drop("category", "subcategory")
-
-
-def evaluate_once(df: DataFrame, columns: dict[str, Column] | None = None) -> DataFrame:
-    """Append costly columns, or fix the ones there are, so that they are computed once per row.
-
-    A filter on a plain computed column is pushed below its projection together with a copy of the
-    expression. Going through ``inline`` keeps it above, so the filter tests the finished value.
-    """
-    columns = columns or {}
-    fields = [F.col(c) for c in df.columns if c not in columns] + [c.alias(n) for n, c in columns.items()]
-    return df.select(F.inline(F.array(F.struct(*fields))))

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, mime, text
-from .common import evaluate_once, top_k_per_group
+from ..functions.staging import evaluate_once
+from .common import top_k_per_group
 from .templates import TEMPLATES, Template, groups
 
 # The cleaned body is ASCII, the raw one is not: its blanks, digits and letter case follow Unicode.
@@ -39,7 +40,7 @@ def with_bodies(messages: DataFrame) -> DataFrame:
             "too_deep": mime.has_deeper_parts(payload),
         },
     )
-    staged = evaluate_once(staged, {"sanitized_body": mime.sanitize(F.col("raw_body"))})
+    staged = mime.sanitize_into(staged, "raw_body", "sanitized_body")
     return evaluate_once(
         staged,
         {

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import reliable_checkpoint
 from . import reports, rules
 
 TARGETS = ["category", "subcategory"]
@@ -122,20 +123,18 @@ def fit(train: DataFrame, test: DataFrame, settings: Settings | None = None) ->
     settings = settings or Settings()
     rows = feature_frame(train, settings)
     prepared = fit_features(rows, settings)
-    vectors = prepared.transform(rows).select("features", *TARGETS, "sample_weight").persist()
+    # both forests read the vectors, so they are written once
+    vectors = reliable_checkpoint(prepared.transform(rows).select("features", *TARGETS, "sample_weight"), "vectors")
     stages = [prepared]
-    try:
-        for target in TARGETS:
-            index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="skip").fit(vectors)
-            forest = RandomForestClassifier(
-                featuresCol="features", labelCol=f"{target}_index", weightCol="sample_weight", numTrees=settings.trees,
-                maxDepth=settings.depth, seed=settings.seed, predictionCol=f"{target}_prediction",
-                probabilityCol=f"{target}_probability", rawPredictionCol=f"{target}_raw",
-            ).fit(index.transform(vectors))
-            names = IndexToString(inputCol=f"{target}_prediction", outputCol=f"predicted_{target}", labels=index.labels)
-            stages += [forest, names]
-    finally:
-        vectors.unpersist()
+    for target in TARGETS:
+        index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="skip").fit(vectors)
+        forest = RandomForestClassifier(
+            featuresCol="features", labelCol=f"{target}_index", weightCol="sample_weight", numTrees=settings.trees,
+            maxDepth=settings.depth, seed=settings.seed, predictionCol=f"{target}_prediction",
+            probabilityCol=f"{target}_probability", rawPredictionCol=f"{target}_raw",
+        ).fit(index.transform(vectors))
+        names = IndexToString(inputCol=f"{target}_prediction", outputCol=f"predicted_{target}", labels=index.labels)
+        stages += [forest, names]
     fitted = PipelineModel(stages)
     return Trained(fitted, _predict(fitted, test, settings), settings)
 

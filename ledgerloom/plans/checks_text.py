@@ -111,7 +111,7 @@ SELECT page_id, trim(regexp_replace(regexp_replace(t, '&[a-zA-Z0-9#]+;', '', 'g'
 
 @register("p7_sanitized_pages", "WITH " + SANITIZE_SQL)
 def p7(spark, sf):
-    return table(spark, sf, "pages").select("page_id", mime.sanitize(F.col("html")).alias("body"))
+    return mime.sanitize_into(table(spark, sf, "pages"), "html", "body").select("page_id", "body")
 
 
 @register(
@@ -125,7 +125,8 @@ def p7_entities(spark, sf):
         "AT&T & co", "x&#32;y", "5 &lt 6", "50&percnt; &lpar;half&rpar;",
     ]
     sample = F.get(F.array(*[F.lit(s) for s in samples]), (F.col("page_id") % 8).cast("int"))
-    return table(spark, sf, "pages").select("page_id", mime.sanitize(sample).alias("body"))
+    pages = table(spark, sf, "pages").withColumn("sample", sample)
+    return mime.sanitize_into(pages, "sample", "body").select("page_id", "body")
 
 
 # -------------------------------------------------------------------------------------------- extraction

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import extraction, labels, ledger, model, reports, rules, sampling
+from ..session import reliable_checkpoint
 from ..sources import readers, writers
 
 # Days covered by a full and by an incremental export, and days files are kept.
@@ -45,30 +46,44 @@ def stage_transactions(parsed: DataFrame, users: DataFrame | None = None) -> Dat
         F.lit(None).cast("string").alias("predicted_subcategory"),
         F.lit(0.0).alias("prediction_confidence"),
         F.lit(None).cast("string").alias("model_version"),
+        "parse_status",
     )
     iso = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
     checked = rules.validation_errors(rows.withColumn("date", iso))
     return rows.withColumn("date", iso).withColumn("errors", checked).withColumn("date", dates.iso_to_utc(F.col("date")))
 
 
+def parse_table(messages: DataFrame, as_of, users: DataFrame | None = None, scorer=None, templates=None) -> DataFrame:
+    """Unread messages parsed, scored and validated, as one written table that the later steps read. Parsing
+    is the costly step and runs once, and a lost executor costs a re-read, not a second parse.
+
+    ``result`` is ``ok``, or the reason why the row goes to quarantine."""
+    parsed = extraction.parse_messages(readers.unread_messages(messages), as_of, templates)
+    staged = stage_transactions(parsed, users)
+    if scorer is not None:
+        staged = rules.apply_prediction(scorer(staged))
+    result = (
+        F.when(F.col("parse_status") != "ok", F.col("parse_status"))
+        .when(F.size("errors") > 0, F.concat(F.lit("invalid: "), F.array_join("errors", "; ")))
+        .when(~rules.is_writable(staged), "invalid: missing required fields")
+        .otherwise("ok")
+    )
+    return reliable_checkpoint(staged.withColumn("result", result).drop("errors"), "parsed")
+
+
 def extract_and_load(
     messages: DataFrame, ledger_table: DataFrame, as_of, users: DataFrame | None = None, scorer=None, phonetic: bool = True
 ) -> Loaded:
     """Unread messages into the ledger: parse, score, validate, clean, upsert, and count per user."""
-    parsed = extraction.parse_messages(readers.unread_messages(messages), as_of)
-    ok, bad = extraction.split_parsed(parsed)
-    staged = stage_transactions(ok, users)
-    if scorer is not None:
-        staged = rules.apply_prediction(scorer(staged))
-    staged = staged.withColumn("valid", (F.size("errors") == 0) & rules.is_writable(staged))
-    accepted = ledger.ledger_rows(staged.filter("valid").drop("valid", "errors"), as_of, phonetic)
-    rejected = bad.select("message_id", "user_id", "reason").unionByName(
-        staged.filter("NOT valid").select(
-            F.col("id").alias("message_id"), "user_id", F.concat(F.lit("invalid: "), F.array_join("errors", "; ")).alias("reason")
-        )
+    table = parse_table(messages, as_of, users, scorer)
+    good = table.filter(F.col("result") == "ok").drop("result", "parse_status")
+    accepted = ledger.ledger_rows(good, as_of, phonetic)
+    rejected = table.filter(F.col("result") != "ok").select(
+        F.coalesce("id", "id_api").alias("message_id"), "user_id", F.col("result").alias("reason")
     )
-    outcomes = accepted.select("user_id", F.lit("stored").alias("status")).unionByName(
-        rejected.filter(F.col("reason").startswith("invalid")).select("user_id", F.lit("failed").alias("status"))
+    # a message without a template is skipped, it does not count as a failure
+    outcomes = table.filter(F.col("parse_status") == "ok").select(
+        "user_id", F.when(F.col("result") == "ok", "stored").otherwise("failed").alias("status")
     )
     return Loaded(ledger.upsert(ledger_table, accepted, as_of, order=["date", "id_api"]), accepted, rejected, outcomes)
 
@@ -139,7 +154,8 @@ def metrics_report(feedback: DataFrame, as_of, days: int = 30, by_category: bool
 def train(training: DataFrame, settings: model.Settings | None = None) -> model.Trained:
     """Check, balance, weight, split by time, fit both classifiers and score the held-out rows."""
     settings = settings or model.Settings()
-    balanced = sampling.with_weights(sampling.balance_categories(training))
+    # the split reads the balanced rows several times
+    balanced = reliable_checkpoint(sampling.with_weights(sampling.balance_categories(training)), "balanced")
     parts = sampling.split_by_time(balanced)
     return model.fit(parts.filter("is_train"), parts.filter("NOT is_train"), settings)
 
