@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.phonetic import codes
-from .common import latest_by
 from .rules import UNCATEGORIZED, document_key, is_writable
 
 KEY = ["user_id", "transaction_id"]
@@ -54,14 +53,35 @@ def ledger_rows(rows: DataFrame, as_of, phonetic: bool = True) -> DataFrame:
     return rows.drop("_date", "id")
 
 
+def fold(changes: DataFrame, order: list[str]) -> DataFrame:
+    """One row per key from several changes of it: per field the newest value that is not NULL, with the four
+    prediction fields taken together. Partial aggregates fold each task's rows before the shuffle."""
+    groups = [[c] for c in changes.columns if c not in KEY + PREDICTION + order]
+    together = [c for c in PREDICTION if c in changes.columns]
+    if "predicted_category" in together:
+        groups.append(together)
+    else:
+        groups += [[c] for c in together]
+    newest = []
+    for i, names in enumerate(groups):
+        when = F.when(F.col(names[0]).isNotNull(), F.struct(*order))
+        newest.append(F.max_by(F.struct(*names), when).alias(f"_g{i}"))
+    kept = [F.max(F.struct(*order)).alias("_order")]
+    folded = changes.groupBy(*KEY).agg(*kept, *newest)
+    fields = {name: F.col(f"_g{i}.{name}") for i, names in enumerate(groups) for name in names}
+    fields.update({name: F.col(f"_order.{name}") for name in order if name not in KEY})
+    return folded.select(*KEY, *[fields[c].alias(c) for c in changes.columns if c not in KEY])
+
+
 def upsert(ledger: DataFrame, batch: DataFrame, as_of, order: list[str] | None = None) -> DataFrame:
     """New snapshot. Known rows take the batch's non-NULL values of the overwritable fields and keep the
     rest; new rows are added whole. Doing it twice changes nothing.
 
-    ``order`` names the columns that decide between several batch rows of one key."""
+    ``order`` names the columns that sort several batch rows of one key; the result is that of applying them
+    one after the other."""
     clock = dates.as_clock(as_of)
     if order:
-        batch = latest_by(batch, KEY, order)
+        batch = fold(batch, order)
     old, new = ledger.alias("old"), batch.alias("new")
     known = F.col("_old").isNotNull()
     arrived = F.col("_new").isNotNull()

@@ -63,24 +63,28 @@ def _cell_of(counts: DataFrame, skip: int):
     return hit.select("key", (F.col("upto") - F.col("n")).alias("before")).first()
 
 
-def time_cut(df: DataFrame, target: int, date: Column, cell: Column):
-    """Where row number ``target`` (from 0) falls in the order (date, hash cell): the exact timestamp, the
-    hash cell, and the number of rows ahead of that cell. None when there is no such row.
+def time_cut(df: DataFrame, target: int, date: str, cell: Column):
+    """Where row number ``target`` (from 0) falls in the order (date, hash cell), NULL dates first: the exact
+    timestamp, the hash cell, and the number of rows ahead of that cell. None when there is no such row.
 
     Found by narrowing: day, second, microsecond, hash cell. Each step counts the rows inside the interval
     found before, a range on the date column that reaches the scan. The count tables stay small (days, then
     86,400, then a million, then 65,536 keys) whatever the size of the input, and one row per step comes
     back to the driver."""
-    rows, ahead, stamp = df.select(date.alias("at"), cell.alias("cell")), 0, None
+    at = F.col(date)
+    rows, ahead, stamp = df, 0, None
     for unit, width in _STEPS:
-        key = F.date_trunc(unit, "at").cast("timestamp_ntz").alias("key")
+        key = F.date_trunc(unit, at).cast("timestamp_ntz").alias("key")
         found = _cell_of(rows.groupBy(key).agg(F.count("*").alias("n")), target - ahead)
         if found is None:
             return None
         stamp, ahead = found["key"], ahead + found["before"]
+        if stamp is None:
+            rows = df.filter(at.isNull())
+            break
         low = F.lit(stamp).cast("timestamp_ntz")
-        rows = rows.filter((F.col("at") >= low) & (F.col("at") < low + F.expr(width)))
-    found = _cell_of(rows.groupBy(F.col("cell").alias("key")).agg(F.count("*").alias("n")), target - ahead)
+        rows = df.filter((at >= low) & (at < low + F.expr(width)))
+    found = _cell_of(rows.groupBy(cell.alias("key")).agg(F.count("*").alias("n")), target - ahead)
     return stamp, found["key"], ahead + found["before"]
 
 
@@ -90,20 +94,24 @@ def split_by_time(
     """Append ``is_train``: true for the first ``int(n * share)`` rows by (date, hash of the id).
 
     Rows before and after the cut are told apart by comparing with constants; only rows in the cut's own
-    hash cell (1/65,536 of the rows that share one timestamp) are ranked."""
-    # NULL dates sort first
-    at = F.coalesce(F.col(date), F.lit("0001-01-01").cast("timestamp_ntz"))
-    key = sample_key(F.col(row_id), seed)
+    hash cell (1/65,536 of the rows that share one timestamp) are ranked. ``df`` is read several times: pass
+    a table, not a costly plan."""
+    at, key = F.col(date), sample_key(F.col(row_id), seed)
     cell = F.substring(key, 1, 4)
     target = int(df.count() * train_share)
-    cut = time_cut(df, target, at, cell)
+    cut = time_cut(df, target, date, cell)
     if cut is None:
         return df.withColumn("is_train", F.lit(True))
-    stamp, cut_cell, ahead = F.lit(cut[0]).cast("timestamp_ntz"), F.lit(cut[1]), cut[2]
-    on_edge = (at == stamp) & (cell == cut_cell)
+    cut_cell, ahead = F.lit(cut[1]), cut[2]
+    if cut[0] is None:
+        at_cut, before_cut = at.isNull(), F.lit(False)
+    else:
+        stamp = F.lit(cut[0]).cast("timestamp_ntz")
+        at_cut, before_cut = F.coalesce(at == stamp, F.lit(False)), at.isNull() | (at < stamp)
+    on_edge = at_cut & (cell == cut_cell)
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", row_id))
     edge = df.filter(on_edge).withColumns({"_key": key, "_cell": cell}).withColumn("is_train", rank + F.lit(ahead) <= target)
-    rest = df.filter(~on_edge).withColumn("is_train", (at < stamp) | ((at == stamp) & (cell < cut_cell)))
+    rest = df.filter(~on_edge).withColumn("is_train", before_cut | (at_cut & (cell < cut_cell)))
     return rest.unionByName(edge.select(*df.columns, "is_train"))
 
 

@@ -54,43 +54,56 @@ def drop_duplicates(rows: DataFrame, key: str = "transaction_id", at: str = "dat
 
 
 # ----------------------------------------------------------------------------------------------- upserts
+#
+# A micro-batch must not rewrite a large ledger. It only adds its rows to the change folder; readers see the
+# newest snapshot with the changes folded in, and a job that runs now and then writes that as a new snapshot.
 
 
-def read_pointer(spark: SparkSession, path: str) -> str | None:
-    """Folder of the newest complete snapshot. A snapshot counts once Spark has put its success mark."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete sub-folders ``prefix=N``. A folder counts once it has Spark's success mark."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
-    done = [
-        s.getPath().getName() for s in files.listStatus(folder)
-        if s.isDirectory() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    numbers = [int(name.split("=")[1]) for name in done if name.startswith("batch=")]
-    return f"{path}/batch={max(numbers)}" if numbers else None
-
-
-def upsert_batch(path: str, as_of, order: list[str]):
-    """``foreachBatch`` function: merge a batch of ledger rows into the newest snapshot before it."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = read_pointer(spark, path)
-        # a repeated batch starts again from the snapshot before it
-        if current and int(current.rsplit("=", 1)[1]) >= number + 1:
-            current = f"{path}/batch={number}"
-        snapshot = ledger.upsert(spark.read.parquet(current), batch, as_of, order)
-        snapshot.write.mode("overwrite").parquet(f"{path}/batch={number + 1}")
-
-    return merge
-
-
-def start_upsert(rows: DataFrame, initial: DataFrame, path: str, as_of, order: list[str], checkpoint: str, once: bool = True,
-                 interval: str = "10 minutes"):
-    """Keep ledger snapshots up to date with a stream of ledger rows; ``initial`` becomes snapshot 0."""
-    if read_pointer(initial.sparkSession, path) is None:
-        initial.write.mode("overwrite").parquet(f"{path}/batch=0")
-    return _run(rows.writeStream.foreachBatch(upsert_batch(path, as_of, order)), checkpoint, once, interval)
+        return []
+    names = [s.getPath() for s in files.listStatus(folder) if s.isDirectory()]
+    done = [p.getName() for p in names if files.exists(hadoop.Path(p, "_SUCCESS"))]
+    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{prefix}="))
+
+
+def save_changes(path: str):
+    """``foreachBatch`` function: a repeated batch overwrites its own folder."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+
+    return save
+
+
+def start_upsert(rows: DataFrame, initial: DataFrame, path: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
+    """Collect a stream of ledger rows next to the ledger; ``initial`` becomes the first snapshot."""
+    if not _numbers(initial.sparkSession, f"{path}/ledger", "upto"):
+        initial.write.mode("overwrite").parquet(f"{path}/ledger/upto=-1")
+    return _run(rows.writeStream.foreachBatch(save_changes(path)), checkpoint, once, interval)
+
+
+def current_ledger(spark: SparkSession, path: str, as_of, order: list[str]) -> DataFrame:
+    """The newest snapshot with all later changes applied in batch order."""
+    upto = _numbers(spark, f"{path}/ledger", "upto")[-1]
+    snapshot = spark.read.parquet(f"{path}/ledger/upto={upto}")
+    later = [n for n in _numbers(spark, f"{path}/changes", "batch") if n > upto]
+    if not later:
+        return snapshot
+    folders = [f"{path}/changes/batch={n}" for n in later]
+    changes = spark.read.option("basePath", f"{path}/changes").parquet(*folders)
+    return ledger.upsert(snapshot, changes, as_of, ["batch", *order])
+
+
+def compact(spark: SparkSession, path: str, as_of, order: list[str]) -> None:
+    """Write the current ledger as a new snapshot. The folder read from is never the one written to."""
+    later = _numbers(spark, f"{path}/changes", "batch")
+    if later and later[-1] > _numbers(spark, f"{path}/ledger", "upto")[-1]:
+        current_ledger(spark, path, as_of, order).write.mode("overwrite").parquet(f"{path}/ledger/upto={later[-1]}")
 
 
 # ----------------------------------------------------------------------------------------------- metrics

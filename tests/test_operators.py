@@ -149,15 +149,27 @@ def test_replaced_days_keep_the_other_days(spark):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 3, 20]
 
 
-def test_repeated_stream_batch_writes_the_same_snapshot(spark, sf):
+def test_repeated_stream_batch_changes_nothing(spark, sf):
     old, batch = _ledger_and_batch(spark, sf)
     path = work_path(spark, "replay")
-    old.write.parquet(f"{path}/batch=0")
-    merge = streams.upsert_batch(path, AS_OF, ["seq"])
-    merge(batch, 0)
-    first = rows(spark.read.parquet(f"{path}/batch=1"))
-    merge(batch, 0)
-    assert rows(spark.read.parquet(f"{path}/batch=1")) == first
+    old.write.parquet(f"{path}/ledger/upto=-1")
+    for _ in range(2):
+        streams.save_changes(path)(batch, 0)
+    want = rows(ledger.upsert(old, batch, AS_OF, ["seq"]))
+    assert rows(streams.current_ledger(spark, path, AS_OF, ["seq"])) == want
+    streams.compact(spark, path, AS_OF, ["seq"])
+    streams.compact(spark, path, AS_OF, ["seq"])
+    assert rows(streams.current_ledger(spark, path, AS_OF, ["seq"])) == want
+
+
+def test_folded_changes_equal_applying_them_in_turn(spark):
+    ddl = "user_id string, transaction_id string, vendor string, amount double, predicted_category string, model_version string, seq int"
+    old = spark.createDataFrame([("u", "1", "old", 1.0, "a", "m1", 0), ("u", "2", "old", 1.0, "a", "m1", 0)], ddl).drop("seq")
+    changes = [("u", "1", "x", None, None, "m9", 1), ("u", "1", None, 3.0, "b", None, 2), ("u", "3", "n", 4.0, None, None, 1)]
+    turn = old
+    for row in changes:
+        turn = ledger.upsert(turn, spark.createDataFrame([row], ddl), AS_OF)
+    assert rows(ledger.upsert(old, spark.createDataFrame(changes, ddl), AS_OF, ["seq"])) == rows(turn)
 
 
 def test_model_is_repeatable_and_beats_the_majority(spark, sf):
