@@ -207,9 +207,9 @@ def category_index(ledger: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Values by frequency with their share of all rows; NULL is not counted as a value.
 
-    The total is a scalar over the grouped counts, not a window over all of them."""
+    The total is a scalar from a scan without columns, not a window over all groups."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    total = df.agg(F.count("*")).scalar()
     out = (
         counts.filter(F.col("value").isNotNull())
         .select("value", "n", (F.col("n") / total).alias("share"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 SEED = 42
 HASH_DIGITS = 3  # 4,096 buckets per category
 
@@ -25,32 +27,45 @@ def balance_categories(
     """Cap each category at ``int(smallest * ratio)`` rows. Corrected rows are all kept, the others are
     sampled by hash up to the cap; with fewer than two categories nothing is dropped.
 
-    A row's rank is (rows of its category in lower hash buckets) + (rank within its bucket), so the largest
-    window holds 1/4,096 of a category."""
-    digits = F.substring("_key", 1, HASH_DIGITS)
+    The first pass counts rows per category and hash bucket. From these counts, a small table, follow the cap
+    and the one bucket per category in which its cut falls. The second pass ranks the rows of those buckets
+    only (1/4,096 of a category) to find the exact hash at the cut. The last pass compares each row with the
+    cut of its category; the rows themselves are never shuffled as long as the cuts, one row per category,
+    are small enough to be broadcast."""
+    key = F.concat(sample_key(F.col(row_id), seed), F.lit(":"), F.col(row_id).cast("string"))
     fixed = F.coalesce("is_user_corrected", F.lit(False))
-    keyed = df.withColumns({"_key": sample_key(F.col(row_id), seed), "_fixed": fixed}).withColumn("_bucket", digits)
-
-    cells = keyed.groupBy("category", "_bucket").agg(
-        F.count("*").alias("_all"), F.count_if(~F.col("_fixed")).alias("_open")
+    keyed = df.select("category", fixed.alias("_fixed"), key.alias("_key")).withColumn(
+        "_bucket", F.substring("_key", 1, HASH_DIGITS)
+    )
+    cells = reliable_checkpoint(
+        keyed.groupBy("category", "_bucket").agg(F.count("*").alias("_all"), F.count_if(~F.col("_fixed")).alias("_open")),
+        "cells",
     )
     sizes = cells.groupBy("category").agg(F.sum("_all").alias("_size"), F.sum(F.col("_all") - F.col("_open")).alias("_kept"))
     spread = sizes.agg(F.struct(F.min("_size").alias("least"), F.count("*").alias("n")).alias("s")).scalar()
     cap = F.floor(spread["least"] * F.lit(float(max_imbalance_ratio)))
-    # room for sampled rows; NULL for a category that stays whole
-    room = F.when((spread["n"] > 1) & (F.col("_size") > cap), F.greatest(cap - F.col("_kept"), F.lit(0)))
-    lower = Window.partitionBy("category").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        cells.withColumn("_before", F.coalesce(F.sum("_open").over(lower), F.lit(0)))
-        .join(sizes.withColumn("_room", room).select("category", "_room"), "category")
-        .select("category", "_bucket", "_before", "_open", "_room")
+    crowded = sizes.filter((spread["n"] > 1) & (F.col("_size") > cap)).select(
+        "category", F.greatest(cap - F.col("_kept"), F.lit(0)).alias("_room")
+    )
+    upto = Window.partitionBy("category").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    running = cells.withColumn("_upto", F.sum("_open").over(upto)).join(crowded, "category")
+    before = F.col("_upto") - F.col("_open")
+    # whole buckets that fit; "g" sorts behind every hash digit
+    full = running.groupBy("category").agg(
+        F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_room"), F.concat("_bucket", F.lit("g")))), F.lit("")).alias("_full")
+    )
+    edges = running.filter((before < F.col("_room")) & (F.col("_upto") > F.col("_room"))).select(
+        "category", "_bucket", (F.col("_room") - before).alias("_take")
+    )
+    rank = F.row_number().over(Window.partitionBy("category", "_bucket").orderBy("_key"))
+    edge_cut = keyed.filter("NOT _fixed").join(edges, ["category", "_bucket"]).withColumn("_rank", rank).filter(
+        F.col("_rank") == F.col("_take")
+    ).select("category", F.col("_key").alias("_edge"))
+    cuts = reliable_checkpoint(
+        full.join(edge_cut, "category", "left").select("category", F.coalesce("_edge", "_full").alias("_cut")), "cuts"
     )
-    marked = keyed.join(plan, ["category", "_bucket"])
-    whole = F.col("_fixed") | F.col("_room").isNull() | (F.col("_before") + F.col("_open") <= F.col("_room"))
-    edge = marked.filter(~whole & (F.col("_before") < F.col("_room")))
-    rank = F.row_number().over(Window.partitionBy("category", "_bucket").orderBy("_key", row_id))
-    edge = edge.withColumn("_rank", rank).filter(F.col("_before") + F.col("_rank") <= F.col("_room"))
-    return marked.filter(whole).select(*df.columns).unionByName(edge.select(*df.columns))
+    kept = fixed | F.col("_cut").isNull() | (key <= F.col("_cut"))
+    return df.join(cuts, "category", "left").filter(kept).select(*df.columns)
 
 
 _STEPS = [("day", "INTERVAL '1' DAY"), ("second", "INTERVAL '1' SECOND"), ("microsecond", "INTERVAL '0.000001' SECOND")]

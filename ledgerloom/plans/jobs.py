@@ -14,6 +14,8 @@ from ..sources import readers, writers
 
 # Days covered by a full and by an incremental export, and days files are kept.
 FULL_EXPORT_DAYS, INCREMENTAL_EXPORT_DAYS, KEEP_DAYS = 180, 7, 30
+# Fixed value: start of the account id of a mailbox.
+ACCOUNT_PREFIX = "gmail_"
 
 
 @dataclass
@@ -26,11 +28,11 @@ class Loaded:
 
 def stage_transactions(parsed: DataFrame, users: DataFrame | None = None) -> DataFrame:
     """Parsed messages to validated ledger input with ``errors``."""
-    account_id = F.concat(F.lit("mail_"), F.col("user_id"))
+    account_id = F.concat(F.lit(ACCOUNT_PREFIX), F.col("user_id"))
     if users is not None:
         email = rules.enabled_users(users).select("user_id", F.col("contactInformation._email").alias("_email"))
         parsed = parsed.join(email, "user_id", "left")
-        account_id = F.concat(F.lit("mail_"), F.coalesce("_email", "user_id"))
+        account_id = F.concat(F.lit(ACCOUNT_PREFIX), F.coalesce("_email", "user_id"))
     rows = parsed.select(
         F.col("message_id").alias("id"),
         F.col("id").alias("id_api"),
