@@ -104,8 +104,8 @@ SANITIZE_SQL = r"""u AS (SELECT page_id, url_decode(regexp_replace(regexp_replac
     '=(\r[^\n]*)?\n', '', 'g'), '=([0-9A-Fa-f]{2})', '%\1', 'g')) AS t FROM pages),
 s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script.*?>.*?</script>', '', 'g'),
     '(?is)<style.*?>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g') AS t FROM u),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(t, '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}\x{85}]+', ' ', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM s)
+e AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(regexp_replace(t, '[\s\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{3000}\x{85}]+', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;?', '&', 'g') AS t FROM s)
 SELECT page_id, trim(regexp_replace(regexp_replace(t, '&[a-zA-Z0-9#]+;', '', 'g'), '[^\x20-\x7E\n]', '', 'g')) AS body FROM e"""
 
 
