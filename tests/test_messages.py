@@ -4,7 +4,6 @@ import base64
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerloom import schemas
 from ledgerloom.operators import extraction

@@ -195,3 +195,14 @@ def test_small_sides_only_are_broadcast(spark, sf):
 
     code = "".join(p.read_text() for p in pathlib.Path(ledgerloom.__file__).parent.rglob("*.py"))
     assert "F.broadcast" not in code and "crossJoin" not in code and "localCheckpoint" not in code
+
+
+def test_extract_and_load_with_a_scorer(spark, sf):
+    scorer = lambda df: df.withColumns(
+        {"category": F.lit("Food"), "subcategory": F.lit("Shop"), "confidence": F.lit(0.9), "model_version": F.lit("transaction_model_v1")}
+    )
+    empty = views.tx(spark, sf).limit(0).withColumns({"created_at": F.col("date"), "status": F.lit(""), "id_api": F.lit("")})
+    loaded = jobs.extract_and_load(views.msg(spark, sf), empty, AS_OF, views.usr(spark, sf), scorer)
+    row = loaded.ledger.agg(F.count("*").alias("n"), F.min("predicted_category").alias("c"), F.max("model_version").alias("m")).first()
+    assert row.n == loaded.accepted.count() > 0 and (row.c, row.m) == ("Food", "transaction_model_v1")
+    assert loaded.rejected.filter("reason = 'no_template'").count() > 0
