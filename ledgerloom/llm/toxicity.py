@@ -1,8 +1,9 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A document is the set of its lower-cased words, hashed to ``BUCKETS``. The model has a weight and a vector of
-``RANK`` numbers for each bucket; a document's value is the bias, the sum of its weights and the sum of the inner
-products of all pairs of its vectors, so that two words can count together what neither counts alone.
+A document's terms are its lower-cased words and their first four, five and six letters, each hashed to ``BUCKETS``;
+a term that occurs twice, and one that occurs more often, is a term of its own besides. The model has a weight and a
+vector of ``RANK`` numbers for each bucket; a document's value is the bias, the sum of its weights and the sum of the
+inner products of all pairs of its vectors, so that two terms can count together what neither counts alone.
 
 The model is fitted on the driver with at most ``SAMPLE`` labelled documents of each class (documented bound); scoring
 reads every whole text.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,32 +21,60 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 RANK = 4
-SAMPLE = 4000  # labelled documents of each class
-MIN_DOCUMENTS = 3  # of the sample that have a bucket, for the bucket to count
+SAMPLE = 3000  # labelled documents of each class
+MIN_DOCUMENTS = 4  # of the sample that have a bucket, for the bucket to count
+MIN_CONTRAST = 3.0  # standard errors by which the classes' shares of documents with a bucket differ at least
+STEMS = (4, 5, 6)
+_AGAIN = (0x5BD1E, 0xA3C59)  # added to the bucket of a term that occurs twice, and three times or more
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Terms:
-    """Buckets of a text's distinct words, ascending."""
-
-    def __init__(self, buckets: int = BUCKETS):
-        self.mask, self.memo = buckets - 1, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words, memo = set(_WORD.findall((text or "").lower())), self.memo
-        if len(memo) > 1 << 20:
-            memo.clear()
-        for word in words - memo.keys():
-            memo[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & self.mask
-        return np.unique(np.fromiter((memo[w] for w in words), dtype=np.int64, count=len(words)))
-
-
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All buckets after one another, and the row of each."""
-    sizes = [len(r) for r in rows]
-    return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), np.repeat(np.arange(len(rows)), sizes)
+    """Buckets of texts. Words are remembered, up to a million at a time."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, 1 + len(STEMS)), dtype=np.int64)
+
+    def _remember(self, words) -> None:
+        for word in words:
+            n = len(self.memo)
+            if n == len(self.table):
+                self.table = np.vstack((self.table, np.zeros_like(self.table)))
+            self.memo[word] = n
+            whole = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+            self.table[n] = whole
+            for i, size in enumerate(STEMS):
+                if len(word) > size:
+                    self.table[n, i + 1] = zlib.crc32(word[:size].encode("utf-8", "surrogatepass"), size) & (BUCKETS - 1)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct buckets of each text, and the text of each."""
+        if len(self.memo) > 1 << 20:
+            self.memo.clear()
+        ids, times, sizes = [], [], []
+        for text in texts:
+            words = Counter(_WORD.findall((text or "").lower()))
+            self._remember([w for w in words if w not in self.memo])
+            ids.extend(map(self.memo.__getitem__, words))
+            times.extend(words.values())
+            sizes.append(len(words))
+        row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+        buckets, many = self.table[np.array(ids, dtype=np.int64)], np.minimum(np.array(times, dtype=np.int64), 3)
+        first = np.ones(buckets.shape, dtype=bool)
+        first[:, 1:] = buckets[:, 1:] != buckets[:, :1]  # a short word is not its own stem
+        packed = ((row[:, None] * BUCKETS + buckets) * 4 + many[:, None])[first]
+        packed.sort()
+        keys = packed >> 2
+        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        total = np.add.reduceat(packed & 3, starts) if len(starts) else np.zeros(0, np.int64)
+        keys = keys[starts]
+        rows, buckets = keys // BUCKETS, keys % BUCKETS
+        out = [(buckets, rows)] + [((buckets[total >= n] + add) % BUCKETS, rows[total >= n]) for n, add in zip((2, 3), _AGAIN)]
+        pairs = np.unique(np.concatenate([r * BUCKETS + b for b, r in out]))
+        return pairs % BUCKETS, pairs // BUCKETS
 
 
 def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -57,30 +87,31 @@ class Model:
     def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
         self.bias, self.w, self.v = bias, w, v
 
-    def values(self, rows: list[np.ndarray]) -> np.ndarray:
-        rows = [r[self.w[r] != 0] for r in rows]
-        terms, row = _flat(rows)
-        out = self.bias + _by_row(self.w[terms], row, len(rows))
+    def values(self, terms: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        known = self.w[terms] != 0
+        terms, row = terms[known], row[known]
+        out = self.bias + _by_row(self.w[terms], row, n)
         for vector in self.v:
             x = vector[terms]
-            out += 0.5 * (_by_row(x, row, len(rows)) ** 2 - _by_row(x * x, row, len(rows)))
+            out += 0.5 * (_by_row(x, row, n) ** 2 - _by_row(x * x, row, n))
         return out
 
-    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.values(rows), -40, 40)))
+    def scores(self, terms: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.values(terms, row, n), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: int = 150, rate: float = 0.1, ridge: float = 2e-4) -> Model:
+def fit(terms: np.ndarray, row: np.ndarray, labels: np.ndarray, rank: int = RANK, rounds: int = 100, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Logistic loss, both classes with the same total weight, full-batch Adam. Without two classes only the bias is learned."""
     y = np.asarray(labels, dtype=np.float64)
-    positives, n = y.sum(), len(rows)
+    positives, n = y.sum(), len(y)
     empty = Model(0.0, np.zeros(BUCKETS), np.zeros((rank, BUCKETS)))
     if n == 0 or positives in (0, n):
         empty.bias = 0.0 if n == 0 else (4.0 if positives else -4.0)
         return empty
-    terms, row = _flat(rows)
-    seen = np.bincount(terms, minlength=BUCKETS)
-    known = np.flatnonzero(seen >= MIN_DOCUMENTS)
+    seen, toxic = np.bincount(terms, minlength=BUCKETS), np.bincount(terms, weights=y[row], minlength=BUCKETS)
+    error = np.sqrt(np.maximum(seen * (n - seen), 1) / n**2 * (1 / positives + 1 / (n - positives)))
+    contrast = np.abs(toxic / positives - (seen - toxic) / (n - positives)) / error
+    known = np.flatnonzero((seen >= MIN_DOCUMENTS) & (contrast >= MIN_CONTRAST))
     place = np.full(BUCKETS, -1)
     place[known] = np.arange(len(known))
     kept = place[terms] >= 0
@@ -115,9 +146,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, rounds: in
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    terms = Terms()
+    of = Terms()
     for frame in frames:
-        yield pd.DataFrame({"toxic": frame["toxic"], "terms": [terms(t) for t in frame["text"]]})
+        terms, row = of(list(frame["text"]))
+        parts = np.split(terms.astype("<i4"), np.searchsorted(row, np.arange(1, len(frame))))
+        yield pd.DataFrame({"toxic": frame["toxic"], "terms": [p.tobytes() for p in parts]})
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> DataFrame:
@@ -131,9 +164,11 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, learn_from, sample:
 
 def train(documents: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> Model:
     """Only hashed terms of the sample come to the driver, in the order of their content, so reruns agree."""
-    rows = labelled_sample(documents, labels, learn_from, sample).mapInPandas(_features, "toxic int, terms array<bigint>").collect()
-    found = sorted((r["toxic"], r["terms"]) for r in rows)
-    return fit([np.array(t, dtype=np.int64) for _, t in found], np.array([y for y, _ in found]))
+    rows = labelled_sample(documents, labels, learn_from, sample).mapInPandas(_features, "toxic int, terms binary").collect()
+    found = sorted((r["toxic"], bytes(r["terms"])) for r in rows)
+    sizes = [len(t) // 4 for _, t in found]
+    terms = np.frombuffer(b"".join(t for _, t in found), dtype="<i4").astype(np.int64)
+    return fit(terms, np.repeat(np.arange(len(found)), sizes), np.array([y for y, _ in found]))
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -145,9 +180,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         bias, places, w_part, v_part = packed.value
         w, v = np.zeros(BUCKETS), np.zeros((len(v_part), BUCKETS))
         w[places], v[:, places] = w_part, v_part
-        own, terms = Model(bias, w, v), Terms()
+        own, of = Model(bias, w, v), Terms()
         for frame in frames:
-            s = own.scores([terms(t) for t in frame["text"]])
+            s = own.scores(*of(list(frame["text"])), len(frame))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
