@@ -10,7 +10,6 @@ whole text.
 
 from __future__ import annotations
 
-import unicodedata  # noqa: F401 - str.isalpha uses its tables
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,9 +41,14 @@ def letter_vector(code: int, dimensions: int = DIMENSIONS) -> np.ndarray:
     return bits * np.int8(2) - np.int8(1)
 
 
+def folded(text: str) -> np.ndarray:
+    """For each character the lower-case letter's code point, or 0."""
+    return _folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
 def symbols(text: str) -> np.ndarray:
     """The letters of a text, with one 0 before, after and for each run of other characters; empty without letters."""
-    codes = _folded()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    codes = folded(text)
     padded = np.concatenate((np.zeros(1, np.uint32), codes, np.zeros(1, np.uint32)))
     keep = padded != 0
     keep[1:] |= padded[:-1] != 0

@@ -11,9 +11,6 @@ reads every whole text.
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,60 +18,70 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.language import folded
+
 BUCKETS = 1 << 20
 RANK = 4
 SAMPLE = 3000  # labelled documents of each class
 MIN_DOCUMENTS = 4  # of the sample that have a bucket, for the bucket to count
 MIN_CONTRAST = 3.0  # standard errors by which the classes' shares of documents with a bucket differ at least
 STEMS = (4, 5, 6)
+CHUNK = 1 << 20  # letters that are hashed together
 _AGAIN = (0x5BD1E, 0xA3C59)  # added to the bucket of a term that occurs twice, and three times or more
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-class Terms:
-    """Buckets of texts. Words are remembered, up to a million at a time."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, 1 + len(STEMS)), dtype=np.int64)
-
-    def _remember(self, words) -> None:
-        for word in words:
-            n = len(self.memo)
-            if n == len(self.table):
-                self.table = np.vstack((self.table, np.zeros_like(self.table)))
-            self.memo[word] = n
-            whole = zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
-            self.table[n] = whole
-            for i, size in enumerate(STEMS):
-                if len(word) > size:
-                    self.table[n, i + 1] = zlib.crc32(word[:size].encode("utf-8", "surrogatepass"), size) & (BUCKETS - 1)
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct buckets of each text, and the text of each."""
-        if len(self.memo) > 1 << 20:
-            self.memo.clear()
-        ids, times, sizes = [], [], []
-        for text in texts:
-            words = Counter(_WORD.findall((text or "").lower()))
-            self._remember([w for w in words if w not in self.memo])
-            ids.extend(map(self.memo.__getitem__, words))
-            times.extend(words.values())
-            sizes.append(len(words))
-        row = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-        buckets, many = self.table[np.array(ids, dtype=np.int64)], np.minimum(np.array(times, dtype=np.int64), 3)
-        first = np.ones(buckets.shape, dtype=bool)
-        first[:, 1:] = buckets[:, 1:] != buckets[:, :1]  # a short word is not its own stem
-        packed = ((row[:, None] * BUCKETS + buckets) * 4 + many[:, None])[first]
-        packed.sort()
-        keys = packed >> 2
-        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-        total = np.add.reduceat(packed & 3, starts) if len(starts) else np.zeros(0, np.int64)
-        keys = keys[starts]
-        rows, buckets = keys // BUCKETS, keys % BUCKETS
-        out = [(buckets, rows)] + [((buckets[total >= n] + add) % BUCKETS, rows[total >= n]) for n, add in zip((2, 3), _AGAIN)]
-        pairs = np.unique(np.concatenate([r * BUCKETS + b for b, r in out]))
-        return pairs % BUCKETS, pairs // BUCKETS
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def _hashed(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words and stems in texts of lower-case letters and zeros, and the text of each."""
+    joined = np.concatenate([x for t in texts for x in (t, np.zeros(1, np.uint32))])
+    letter = joined != 0
+    begins = np.flatnonzero(letter & ~np.concatenate((np.zeros(1, bool), letter[:-1])))
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sizes = np.flatnonzero(letter & ~np.concatenate((letter[1:], np.zeros(1, bool)))) + 1 - begins
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begins, side="right")
+    place = np.arange(len(joined)) - np.repeat(np.append(0, begins), np.diff(np.concatenate(([0], begins, [len(joined)]))))
+    powers = np.cumprod(np.full(int(sizes.max()), _ODD, dtype=np.uint64))
+    values = np.zeros(len(joined), dtype=np.uint64)
+    values[letter] = _mixed(joined[letter].astype(np.uint64) + np.uint64(1)) * powers[place[letter]]
+    words = np.add.reduceat(values, begins)
+    out = [(words, row)]
+    for size in STEMS:
+        long = np.flatnonzero(sizes > size)
+        stem = sum(values[begins[long] + i] for i in range(size)) + np.uint64(size)
+        out.append((stem, row[long]))
+    buckets = [(_mixed(h) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1) for h, _ in out]
+    return np.concatenate(buckets), np.concatenate([r for _, r in out])
+
+
+def terms_of(texts: list[str | None], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each text, and the text of each, by text. ``known``: the buckets that are of interest."""
+    found, part, size = [], [], 0
+    if known is not None:  # a term that occurs again counts under another bucket
+        asked = known | np.roll(known, -_AGAIN[0]) | np.roll(known, -_AGAIN[1])
+    for i, text in enumerate(texts):
+        part.append(folded(text or ""))
+        size += len(part[-1])
+        if size < CHUNK and i + 1 < len(texts):
+            continue
+        buckets, rows = _hashed(part)
+        if known is not None:
+            buckets, rows = buckets[asked[buckets]], rows[asked[buckets]]
+        keys = np.sort((rows + i + 1 - len(part)) * BUCKETS + buckets)
+        keys, total = np.unique(keys, return_counts=True)
+        rows = keys // BUCKETS * BUCKETS
+        found.append(keys)
+        found.extend(rows[total >= n] + (keys[total >= n] + add) % BUCKETS for n, add in zip((2, 3), _AGAIN))
+        part, size = [], 0
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    if known is not None:
+        pairs = pairs[known[pairs % BUCKETS]]
+    return pairs % BUCKETS, pairs // BUCKETS
 
 
 def _by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -88,8 +95,6 @@ class Model:
         self.bias, self.w, self.v = bias, w, v
 
     def values(self, terms: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        known = self.w[terms] != 0
-        terms, row = terms[known], row[known]
         out = self.bias + _by_row(self.w[terms], row, n)
         for vector in self.v:
             x = vector[terms]
@@ -146,9 +151,8 @@ def fit(terms: np.ndarray, row: np.ndarray, labels: np.ndarray, rank: int = RANK
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    of = Terms()
     for frame in frames:
-        terms, row = of(list(frame["text"]))
+        terms, row = terms_of(list(frame["text"]))
         parts = np.split(terms.astype("<i4"), np.searchsorted(row, np.arange(1, len(frame))))
         yield pd.DataFrame({"toxic": frame["toxic"], "terms": [p.tobytes() for p in parts]})
 
@@ -180,9 +184,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         bias, places, w_part, v_part = packed.value
         w, v = np.zeros(BUCKETS), np.zeros((len(v_part), BUCKETS))
         w[places], v[:, places] = w_part, v_part
-        own, of = Model(bias, w, v), Terms()
+        own, known = Model(bias, w, v), w != 0
         for frame in frames:
-            s = own.scores(*of(list(frame["text"])), len(frame))
+            s = own.scores(*terms_of(list(frame["text"]), known), len(frame))
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
