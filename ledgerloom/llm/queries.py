@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_search, language, mixing, neighbours, toxicity
+from ledgerloom.llm import exact_search, language, mixing, neighbours, packing, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-ROWS_PER_BATCH = "512"  # of an Arrow batch: with long texts, the usual 10,000 would be hundreds of megabytes
+# of an Arrow batch: with long texts, the usual 10,000 rows would be hundreds of megabytes
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def _query(name: str, sql: str | None = None):
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+            for key, value in BATCH.items():
+                spark.conf.set(key, value)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
@@ -108,6 +110,11 @@ def op4(spark, sf_dir):
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+@_query("op6_wavelet_shards")
+def op6(spark, sf_dir):
+    return wavelet.token_shards(_read(spark, sf_dir, "documents"))
+
+
 @_query("op7_language")
 def op7(spark, sf_dir):
     documents, out = _read(spark, sf_dir, "documents"), language.held_out(3, 1)
@@ -118,3 +125,8 @@ def op7(spark, sf_dir):
 @_query("op8_exact_top_k", TOP_SQL)
 def op8(spark, sf_dir):
     return exact_search.exact_top_k(_read(spark, sf_dir, "embeddings"))
+
+
+@_query("op10_packing")
+def op10(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
