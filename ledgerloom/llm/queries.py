@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_search, language, mixing, neighbours, packing, toxicity, wavelet
+from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,6 +92,30 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams FROM w
+), n AS (
+  SELECT doc_id, len(grams)::INTEGER AS n FROM g
+), e AS (
+  SELECT doc_id, unnest(grams) AS gram FROM g
+), o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
+"""
+
+
 @_query("op1_pareto_mix", MIX_SQL)
 def op1(spark, sf_dir):
     mix = mixing.pareto_mix(mixing.sized_documents(_read(spark, sf_dir, "documents")))
@@ -130,3 +154,8 @@ def op8(spark, sf_dir):
 @_query("op10_packing")
 def op10(spark, sf_dir):
     return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+@_query("op9_ngram_jaccard", JOIN_SQL)
+def op9(spark, sf_dir):
+    return jaccard.similarity_join(_read(spark, sf_dir, "documents"))
