@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, toxicity, wavelet
+from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, suffixes, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,6 +129,11 @@ def op2(spark, sf_dir):
     return toxicity.score(documents, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+@_query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 @_query("op4_neighbours")
 def op4(spark, sf_dir):
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
