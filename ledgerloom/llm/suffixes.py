@@ -381,7 +381,7 @@ def remove_repeats(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     """
     texts = documents.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_text"))
     # together with the text's checksum, 96 bits that only equal rows share
-    key, key2 = F.xxhash64("_id", "_text"), F.crc32(F.coalesce("_text", F.lit("")).cast("binary")).cast("int")
+    key, key2 = F.xxhash64("_id", "_text"), (F.crc32(F.coalesce("_text", F.lit("")).cast("binary")) - (1 << 31)).cast("int")
     keyed = texts.select("_id", "_text", key.alias("key"), key2.alias("key2"))
     found = repeated_ranges(keyed.select("key", "key2", F.col("_text").alias("text")), contexts)
     by_text = found.distinct().groupBy("key", "key2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # of one text
