@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, suffixes, toxicity, wavelet
+from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, pages, suffixes, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,6 +139,12 @@ def op4(spark, sf_dir):
     return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
 
 
+@_query("op5_main_text")
+def op5(spark, sf_dir):
+    pages_table = _read(spark, sf_dir, "pages")
+    return pages.extract(pages_table, pages.train(pages_table))
+
+
 @_query("op6_wavelet_shards")
 def op6(spark, sf_dir):
     return wavelet.token_shards(_read(spark, sf_dir, "documents"))
