@@ -1,14 +1,108 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+``STAGES`` lists them; each takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as
+the next stage's docs. All but the last return the columns of ``documents``. Rows keep their columns and values, except
+for the text that suffix-array removal shortens and ``n_chars`` with it. Tables without rows pass through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import jaccard, language, mixing, packing, queries, suffixes
+from ledgerloom.session import work_path
+
+ORACLE_SQL = None  # learned languages, suffix sorting and tokenizer ids are beyond SQL
+
+LEAST_COSINE = 0.02  # below it a text is in no learned language
+
+
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-duplicate stage: five-word shingles, similarity 0.8
+
+
+def _row_key(*values: Column) -> Column:
+    """A text that only rows with equal values share."""
+    parts = [F.coalesce(v.cast("string"), F.lit("\u0001null")) for v in values]
+    return F.sha2(F.concat_ws("\u0000", *parts), 256)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns, and what the stages need, so that no name of the input can clash: ``id, body, key``."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"), _row_key(F.col("doc_id"), F.col("text")).alias("key"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised. Prototypes are learned from the labelled documents of op7's folds.
+
+    Rejected: null texts, texts without letters, and texts with a cosine below LEAST_COSINE to every language.
+    ``lang`` stays as it is. Rows with equal doc_id and text have equal decisions. Without labelled documents there are no
+    languages to recognise, and all go.
+    """
+    queries.bounded_batches(spark)
+    prototypes = language.learn_prototypes(docs.where(~language.held_out(3, 1)))
+    packed = _packed(docs)
+    found = language.predict_languages(packed.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), prototypes)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(F.col("doc_id").alias("key")).distinct()
+    return packed.join(kept, "key", "left_semi").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that whose doc_id is the group's smallest.
+
+    Of rows that share that doc_id one stays, the first by a hash of all its values. Rows without doc_id link nothing and stay.
+    """
+    queries.bounded_batches(spark)
+    groups = jaccard.similarity_join(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = groups.where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    packed = _packed(docs)
+    kept = packed.where("id IS NOT NULL").join(first, "id", "left_semi").withColumn("order", F.sha2(F.to_json("row"), 256))
+    one = kept.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("order"))).where("rank = 1")
+    return one.select("row").unionByName(packed.where("id IS NULL").select("row")).select("row.*")
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 200 bytes that also start elsewhere; a document that loses all of its text goes.
+
+    ``n_chars`` follows a shortened text. Documents that had no text before stay as they are.
+    """
+    queries.bounded_batches(spark)
+    packed = _packed(docs)
+    cut = suffixes.remove_repeats(packed.select(F.col("key").alias("doc_id"), F.col("body").alias("text"))).where("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("key"), F.col("kept_text").alias("left_over")).dropDuplicates(["key"])
+    joined = packed.join(cut, "key", "left").where("left_over IS NULL OR trim(left_over) <> ''")
+    new = {"text": F.coalesce("left_over", "body")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("left_over").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left_over").cast(kind))
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, which may be never or twice."""
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences, as op10 gives them."""
+    queries.bounded_batches(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", remove_repeats),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
 
-def run(spark, sf_dir):
-    """All stages over the documents of ``sf_dir``."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; each one's rows are written to the shared work folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = work_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -146,16 +146,12 @@ def mix_documents(documents: DataFrame, **settings) -> DataFrame:
     Rows are matched by doc_id, source and size, so repeated rows keep their own decisions: rows that agree in these
     have the same number of copies up to the one at the cut.
     """
-    names = documents.columns
-    rows = documents.withColumn("_size", word_count(F.col("text")))
-    order = Window.partitionBy("doc_id", "source", "_size").orderBy(F.lit(0))
+    named = {"_d": F.col("doc_id"), "_o": F.col("source"), "_z": word_count(F.col("text"))}
+    order = Window.partitionBy("_d", "_o", "_z").orderBy(F.lit(0))
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), *[c.alias(n) for n, c in named.items()]).withColumn("_m", F.row_number().over(order))
     mix = pareto_mix(sized_documents(documents), **settings)
-    mix = mix.select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("size").alias("_z"), F.col("copies").alias("_copies"),
-        F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")).alias("_m"),
-    )
-    joined = rows.withColumn("_n", F.row_number().over(order)).join(
-        mix,
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_o")) & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_m")),
-    )
-    return joined.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies"))
+    mix = mix.select(F.col("doc_id").alias("_d"), F.col("source").alias("_o"), F.col("size").alias("_z"), "copies", turn.alias("_m"))
+    same = rows["_d"].eqNullSafe(mix["_d"]) & rows["_o"].eqNullSafe(mix["_o"]) & (rows["_z"] == mix["_z"]) & (rows["_m"] == mix["_m"])
+    taken = rows.join(mix, same).where("copies > 0").select("_row", "copies")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

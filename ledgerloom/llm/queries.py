@@ -16,11 +16,15 @@ SQL: dict[str, str] = {}
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def _query(name: str, sql: str | None = None):
     def add(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in BATCH.items():
-                spark.conf.set(key, value)
+            bounded_batches(spark)
             return function(spark, sf_dir)
 
         QUERIES[name] = run
