@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .staging import evaluate_once
 from .text import blank_to_null, literal_map, strip
@@ -57,9 +60,15 @@ _NAMED = {
 _BARE = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
 
 
+def _short(digits: Column) -> Column:
+    """The digits without leading zeros, or NULL when there are too many for any character."""
+    significant = F.regexp_replace(digits, "^0+(?=.)", "")
+    return F.when(F.length(significant) <= 7, significant)
+
+
 def _code_point(number: Column) -> Column:
     keep = number.between(0x20, 0x7E) | (number == 10)
-    return F.when(keep, F.chr(number)).otherwise(F.lit(""))
+    return F.when(F.coalesce(keep, F.lit(False)), F.chr(number)).otherwise(F.lit(""))
 
 
 def unescape_entities(text: Column) -> Column:
@@ -68,17 +77,17 @@ def unescape_entities(text: Column) -> Column:
     bare = "^(" + "|".join(_BARE) + ")"
 
     def decode(piece: Column, index: Column) -> Column:
-        dec = F.regexp_extract(piece, "^#([0-9]{1,9});?", 1)
-        hexa = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]{1,7});?", 1)
+        dec = F.regexp_extract(piece, "^#([0-9]+);?", 1)
+        hexa = F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+);?", 1)
         name = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
         prefix = F.regexp_extract(piece, bare, 1)
         return (
             F.when(index == 0, piece)
-            .when(dec != "", F.concat(_code_point(dec.cast("int")), F.regexp_replace(piece, "^#[0-9]+;?", "")))
+            .when(dec != "", F.concat(_code_point(_short(dec).cast("int")), F.regexp_replace(piece, "^#[0-9]+;?", "")))
             .when(
                 hexa != "",
                 F.concat(
-                    _code_point(F.conv(hexa, 16, 10).cast("int")), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]+;?", "")
+                    _code_point(F.conv(_short(hexa), 16, 10).cast("int")), F.regexp_replace(piece, "^#[xX][0-9a-fA-F]+;?", "")
                 ),
             )
             .when(
@@ -131,8 +140,42 @@ def _leaf(part: Column) -> Column:
     return F.struct(part["mimeType"].alias("mime"), part["body"]["data"].alias("data"))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("mime", T.StringType()), T.StructField("data", T.StringType())])))
+def _deep_leaves(payloads: pd.Series) -> pd.Series:
+    """Leaves of part trees given as JSON, depth first; NULL stays NULL. Parts that are text again are read on."""
+
+    def walk(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        waiting, out = [json.loads(text)], []
+        while waiting:
+            part = waiting.pop()
+            if not isinstance(part, dict):
+                continue
+            below = part.get("parts")
+            if isinstance(below, str):
+                try:
+                    below = json.loads(below)
+                except ValueError:
+                    below = None
+            if isinstance(below, list):
+                waiting += reversed(below)
+            else:
+                body = part.get("body")
+                out.append({"mime": part.get("mimeType"), "data": body.get("data") if isinstance(body, dict) else None})
+        return out
+
+    return payloads.map(walk)
+
+
 def leaf_parts(payload: Column) -> Column:
-    """Leaves of the part tree, depth first, as an array of (mime, data)."""
+    """Leaves of the part tree, depth first, as an array of (mime, data). Three levels are typed; a deeper tree, which
+    messages hardly have, is walked from its JSON by an Arrow function that gets NULL for all others."""
+    deeper = F.when(has_deeper_parts(payload), F.to_json(payload))
+    return F.coalesce(_deep_leaves(deeper), _typed_leaves(payload))
+
+
+def _typed_leaves(payload: Column) -> Column:
 
     def leaves(part: Column, depth: int) -> Column:
         if depth == 0:
@@ -152,9 +195,9 @@ def has_deeper_parts(payload: Column) -> Column:
     return F.coalesce(deep, F.lit(False))
 
 
-def raw_body(payload: Column) -> Column:
-    """All HTML leaves joined by a blank line; else the top-level body; else the first plain top-level part."""
-    html = F.filter(leaf_parts(payload), lambda p: (p["mime"] == "text/html") & (p["data"] != ""))
+def raw_body(payload: Column, leaves: Column) -> Column:
+    """All HTML leaves (see ``leaf_parts``) joined by a blank line; else the top-level body; else the first plain top-level part."""
+    html = F.filter(leaves, lambda p: (p["mime"] == "text/html") & (p["data"] != ""))
     decoded = F.filter(F.transform(html, lambda p: decode_base64url(joined_data(p["data"]))), lambda x: x.isNotNull())
     plain = F.filter(payload["parts"], lambda p: (p["mimeType"] == "text/plain") & (p["body"]["data"] != ""))
     plain = F.filter(

@@ -30,14 +30,13 @@ def with_bodies(messages: DataFrame) -> DataFrame:
     """Headers, ids and both forms of the body."""
     payload, headers = F.col("payload"), F.col("payload.headers")
     staged = evaluate_once(
-        messages,
+        messages.withColumn("leaves", mime.leaf_parts(payload)),
         {
             "subject": F.coalesce(text.header(headers, "Subject"), F.lit("")),
             "from_addr": F.coalesce(text.header(headers, "From"), F.lit("")),
             "date_header": text.header(headers, "Date"),
             "message_id": text.message_id(headers, F.col("id")),
-            "raw_body": mime.raw_body(payload),
-            "too_deep": mime.has_deeper_parts(payload),
+            "raw_body": mime.raw_body(payload, F.col("leaves")),
         },
     )
     staged = mime.sanitize_into(staged, "raw_body", "sanitized_body")
@@ -59,7 +58,7 @@ def cell_texts(body: Column) -> Column:
 
     The body is split at cell starts, each piece ends at its own cell end. One pattern over the whole table
     would swallow neighbouring cells."""
-    pieces = F.slice(F.split(body, r"(?i)<td\b[^>]*>"), 2, 1_000_000_000)
+    pieces = F.filter(F.split(body, r"(?i)<td\b[^>]*>"), lambda _, i: i > 0)
     inner = F.transform(pieces, lambda p: text.strip(F.regexp_replace(F.split(p, r"(?i)</td>", 2)[0], "<[^>]*>", "")))
     found = F.filter(inner, lambda x: x != "")
     return F.when(F.lower(body).contains("<td"), found).otherwise(F.array().cast("array<string>"))
@@ -153,12 +152,12 @@ def match_templates(bodies: DataFrame, templates: list[Template] | None = None)
 def parse_messages(
     messages: DataFrame, as_of, templates: list[Template] | None = None, default_zone: str = "UTC"
 ) -> DataFrame:
-    """One row per message: transaction fields and ``parse_status`` (ok, no_template, extract_error,
-    too_deep). A broken message never affects another one."""
+    """One row per message: transaction fields and ``parse_status`` (ok, no_template, extract_error).
+    A broken message never affects another one."""
     bodies = with_bodies(messages)
     keep = [c for c in messages.columns if c not in ("payload",)]
     matched = match_templates(bodies.drop("payload"), templates).select(
-        *keep, "message_id", "subject", "from_addr", "date_header", "too_deep", "match"
+        *keep, "message_id", "subject", "from_addr", "date_header", "match"
     )
     return extract_fields(matched, as_of, default_zone)
 
@@ -179,8 +178,7 @@ def extract_fields(matched: DataFrame, as_of, default_zone: str = "UTC") -> Data
         }
     ).drop("match")
     status = (
-        F.when(F.col("too_deep"), "too_deep")
-        .when(F.col("template_used").isNull(), "no_template")
+        F.when(F.col("template_used").isNull(), "no_template")
         .when(F.col("amount").isNull() | (F.col("account").isNull() & F.col("vendor").isNull()), "extract_error")
         .otherwise("ok")
     )
@@ -191,7 +189,7 @@ def extract_fields(matched: DataFrame, as_of, default_zone: str = "UTC") -> Data
             "date": F.coalesce("text_date", "sent_date", dates.as_clock(as_of)),
             "date_source": source,
         }
-    ).drop("text_date", "sent_date", "too_deep")
+    ).drop("text_date", "sent_date")
     return evaluate_once(out)
 
 

@@ -29,7 +29,7 @@ def split_writable(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gated.filter("_ok").drop("_ok"), gated.filter("NOT _ok").drop("_ok")
 
 
-def ledger_rows(rows: DataFrame, as_of, phonetic: bool = True) -> DataFrame:
+def ledger_rows(rows: DataFrame, as_of) -> DataFrame:
     """Accepted rows in ledger layout: key, cleaned vendor, guarded date with parts, label defaults."""
     clock = dates.as_clock(as_of)
     date = F.col("date") if dict(rows.dtypes)["date"] == "timestamp_ntz" else dates.iso_to_utc(F.col("date"))
@@ -48,14 +48,13 @@ def ledger_rows(rows: DataFrame, as_of, phonetic: bool = True) -> DataFrame:
         for n in ("predicted_category", "predicted_subcategory")
     }
     rows = rows.withColumns({**parts, **labels, "date": dates.guarded_date(F.col("_date"), clock)})
-    if phonetic:
-        rows = rows.withColumn("cleaned_metaphone", codes(F.col("vendor_cleaned")))
+    rows = rows.withColumn("cleaned_metaphone", codes(F.col("vendor_cleaned")))
     return rows.drop("_date", "id")
 
 
 def fold(changes: DataFrame, order: list[str]) -> DataFrame:
-    """One row per key from several changes of it: per field the newest value that is not NULL, with the four
-    prediction fields taken together. Partial aggregates fold each task's rows before the shuffle."""
+    """One row per key from several changes of it, as if applied one after the other: of overwritable fields the newest
+    value that is not NULL, with the four prediction fields taken together, of all others the first row's value. Partial aggregates fold each task's rows before the shuffle."""
     groups = [[c] for c in changes.columns if c not in KEY + PREDICTION + order]
     together = [c for c in PREDICTION if c in changes.columns]
     if "predicted_category" in together:
@@ -64,6 +63,9 @@ def fold(changes: DataFrame, order: list[str]) -> DataFrame:
         groups += [[c] for c in together]
     newest = []
     for i, names in enumerate(groups):
+        if names[0] not in OVERWRITTEN + PREDICTION:
+            newest.append(F.min_by(F.struct(*names), F.struct(*order)).alias(f"_g{i}"))
+            continue
         when = F.when(F.col(names[0]).isNotNull(), F.struct(*order))
         newest.append(F.max_by(F.struct(*names), when).alias(f"_g{i}"))
     kept = [F.max(F.struct(*order)).alias("_order")]

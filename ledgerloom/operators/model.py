@@ -2,7 +2,7 @@
 
 Nine text columns become TF-IDF blocks of word and word-pair counts, each block of unit length; the nine
 pattern counts follow as they are. Terms are hashed, so there is no vocabulary to collect on the driver and no
-term is left out, and one pass fits the inverse document frequencies of all blocks together.
+term is left out; terms that share a bucket count as one. One pass fits the inverse document frequencies of all blocks together.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Settings:
     """Sizes of the model. Spark trees are at most 30 deep."""
 
     trees: int = 100
-    depth: int = 20
+    depth: int = 30
     seed: int = 42
     as_of: str = "1970-01-01 00:00:00"
     # hash table size per text column; the date columns have few distinct terms
@@ -73,10 +73,8 @@ class Trained:
 def terms(value: Column) -> Column:
     """Words of two or more characters and their neighbouring pairs."""
     words = F.regexp_extract_all(F.lower(value), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(
-        F.slice(words, 2, 1_000_000), lambda word, i: F.concat(F.get(words, i), F.lit(" "), word)
-    )
-    return F.concat(words, pairs)
+    pairs = F.transform(words, lambda word, i: F.concat(word, F.lit(" "), F.get(words, i + 1)))  # NULL at the last word
+    return F.concat(words, F.filter(pairs, lambda pair: pair.isNotNull()))
 
 
 def with_terms(features: DataFrame) -> DataFrame:
@@ -121,13 +119,15 @@ def feature_frame(df: DataFrame, settings: Settings) -> DataFrame:
 def fit(train: DataFrame, test: DataFrame, settings: Settings | None = None) -> Trained:
     """Fit both targets with sample weights and score ``test``."""
     settings = settings or Settings()
+    # a row without a label counts as not yet categorized, as it does everywhere else
+    train = train.withColumns({t: F.coalesce(F.col(t), F.lit(rules.UNCATEGORIZED)) for t in TARGETS})
     rows = feature_frame(train, settings)
     prepared = fit_features(rows, settings)
     # both forests read the vectors, so they are written once
     vectors = reliable_checkpoint(prepared.transform(rows).select("features", *TARGETS, "sample_weight"), "vectors")
     stages = [prepared]
     for target in TARGETS:
-        index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="skip").fit(vectors)
+        index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="error").fit(vectors)
         forest = RandomForestClassifier(
             featuresCol="features", labelCol=f"{target}_index", weightCol="sample_weight", numTrees=settings.trees,
             maxDepth=settings.depth, seed=settings.seed, predictionCol=f"{target}_prediction",

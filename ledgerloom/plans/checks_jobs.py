@@ -2,12 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger, model, rules, sampling
+from ..operators import model, sampling
 from ..session import work_path
 from . import jobs
-from .checks_reports import DRIFT_SQL
+from .. import schemas
+from .checks_reports import CLEAN, DRIFT_SQL, REGISTRY_SQL
+from .checks_rules import ID
 from .registry import register, rounded
-from .views import AS_OF, FB_SQL, PRED_SQL, TD_SQL, USR_SQL, fb, pred, td, tx, usr
+from .views import AS_OF, FB_SQL, PRED_SQL, TD_SQL, TX_SQL, USR_SQL, fb, pred, td, tx, usr
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -43,31 +45,50 @@ def m1(spark, sf):
     return vectors.select("transaction_id", (F.abs(norm - 1) < 1e-9).alias("unit_blocks"))
 
 
-@register("m2_trained_accuracy")
+@register("m2_trained_accuracy", "SELECT unnest(['category', 'subcategory']) AS target, true AS beats_largest_class")
 def m2(spark, sf):
-    return _trained(spark, sf).accuracy()
+    trained = _trained(spark, sf)
+    rows = trained.predictions
+    shares = [rows.groupBy(t).count().agg((F.max("count") / F.sum("count")).alias("share")).select(F.lit(t).alias("target"), "share") for t in model.TARGETS]
+    return trained.accuracy().join(shares[0].unionByName(shares[1]), "target").select("target", (F.col("accuracy") > F.col("share")).alias("beats_largest_class"))
 
 
-@register("m3_scored_rows")
+@register(
+    "m3_scored_rows",
+    "SELECT transaction_id, true AS has_labels, true AS confidence_fits, 'model' AS source, 'transaction_model_v1' AS model_version FROM td",
+    [TD_SQL],
+)
 def m3(spark, sf):
     trained = _trained(spark, sf)
     scored = model.score(trained.model, _labelled(spark, sf), "transaction_model_v1", SMALL)
-    return scored.select("transaction_id", "category", "subcategory", "confidence", "source", "model_version")
+    labels = F.col("category").isNotNull() & F.col("subcategory").isNotNull()
+    fits = (F.col("confidence") > 0) & (F.col("confidence") <= 1)
+    return scored.select("transaction_id", labels.alias("has_labels"), fits.alias("confidence_fits"), "source", "model_version")
 
 
-@register("m4_scored_ingest")
+@register(
+    "m4_scored_ingest",
+    f"""SELECT transaction_id, user_id, {CLEAN} AS vendor_cleaned, date, true AS has_category, 'transaction_model_v1' AS model_version FROM tx
+    WHERE {ID} // 8 NOT IN (SELECT {ID} // 8 FROM tx WHERE {ID} % 801 = 0 OR {ID} % 101 = 0 OR {ID} % 103 = 0)""",
+    [TX_SQL],
+)
 def m4(spark, sf):
     """Requests through the gate, scored and merged into an empty ledger."""
     from .checks_rules import _requests
 
     trained = _trained(spark, sf)
-    accepted = rules.accept_requests(_requests(spark, sf))
-    scored = rules.apply_prediction(model.score(trained.model, accepted, "transaction_model_v1", SMALL))
-    good, _ = ledger.split_writable(scored)
-    return ledger.ledger_rows(good, AS_OF).select("transaction_id", "user_id", "predicted_category", "vendor_cleaned", "date")
+    empty = spark.createDataFrame([], schemas.struct(schemas.TRANSACTION_DDL))
+    loaded = jobs.ingest(_requests(spark, sf), empty, lambda rows: model.score(trained.model, rows, "transaction_model_v1", SMALL), AS_OF)
+    has_category = F.col("predicted_category").isNotNull().alias("has_category")
+    return loaded.ledger.select("transaction_id", "user_id", "vendor_cleaned", "date", has_category, "model_version")
 
 
-@register("m6_retrained_registry")
+@register(
+    "m6_retrained_registry",
+    """SELECT model_id, version, status, traffic_percentage FROM reg
+    UNION ALL SELECT concat('transaction_model_v', CAST(max(version) + 1 AS VARCHAR)), max(version) + 1, 'testing', 20 FROM reg""",
+    [FB_SQL, REGISTRY_SQL],
+)
 def m6(spark, sf):
     from .checks_reports import registry
 

@@ -6,7 +6,7 @@ from ..operators import common, extraction, labels, ledger, rules, sampling
 from ..session import work_path
 from ..sources import readers, writers
 from .registry import register
-from .views import AS_OF, FB_SQL, TD_SQL, TX_SQL, USR_SQL, fb, td, tx, usr
+from .views import CODES_SQL, AS_OF, FB_SQL, TD_SQL, TX_SQL, USR_SQL, fb, td, tx, usr
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 ID = "CAST(transaction_id AS BIGINT)"
@@ -237,7 +237,7 @@ def k7_layout(spark, sf):
     from .checks_rules import _gated
 
     good, _ = ledger.split_writable(_gated(spark, sf))
-    return ledger.ledger_rows(good, AS_OF, phonetic=False).select(
+    return ledger.ledger_rows(good, AS_OF).select(
         "transaction_id", "user_id", "vendor_cleaned", "amount", "date", "day", "day_name", "predicted_category", "predicted_subcategory"
     )
 
@@ -309,8 +309,9 @@ def k4(spark, sf):
 @register(
     "s9_training_csv",
     f"""SELECT transaction_id, vendor, coalesce(nullif({CLEAN}, ''), 'unknown') AS vendor_cleaned, amount,
-    CASE WHEN {ID} % 3 = 0 THEN 'unknown' ELSE account END AS account, day(date) AS day, dayname(date) AS day_name, category, is_user_corrected FROM td""",
-    [TD_SQL],
+    CASE WHEN {ID} % 3 = 0 THEN 'unknown' ELSE account END AS account, day(date) AS day, dayname(date) AS day_name, category, is_user_corrected,
+    coalesce(nullif(one, ''), 'unknown') AS cleaned_metaphone FROM td LEFT JOIN codes ON {CLEAN} = cleaned""",
+    [TD_SQL, CODES_SQL],
 )
 def s9(spark, sf):
     path = work_path(spark, "s9")
@@ -318,7 +319,7 @@ def s9(spark, sf):
     rows = td(spark, sf).withColumn("account", F.when(_id() % 3 != 0, F.col("account"))).select(*columns)
     rows.write.option("header", "true").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss").csv(path)
     return readers.read_training_csv(spark, path).select(
-        "transaction_id", "vendor", "vendor_cleaned", "amount", "account", "day", "day_name", "category", "is_user_corrected"
+        "transaction_id", "vendor", "vendor_cleaned", "amount", "account", "day", "day_name", "category", "is_user_corrected", "cleaned_metaphone"
     )
 
 
@@ -430,14 +431,15 @@ def latest(spark, sf):
     f"""SELECT transaction_id, user_id, coalesce(user_vendor, vendor) AS vendor,
     trim(regexp_replace(lower(coalesce(user_vendor, vendor)), '[^a-z]+', ' ', 'g')) AS vendor_cleaned, amount, account, template_used, date,
     day(date) AS day, month(date) AS month, year(date) AS year, dayname(date) AS day_name, category, subcategory,
-    user_category IS NOT NULL OR user_subcategory IS NOT NULL AS is_user_corrected, user_category, user_subcategory, predicted_category, predicted_subcategory
-    FROM td""",
-    [TD_SQL],
+    user_category IS NOT NULL OR user_subcategory IS NOT NULL AS is_user_corrected, user_category, user_subcategory, predicted_category, predicted_subcategory,
+    one AS cleaned_metaphone
+    FROM td LEFT JOIN codes ON trim(regexp_replace(lower(coalesce(user_vendor, vendor)), '[^a-z]+', ' ', 'g')) = cleaned""",
+    [TD_SQL, CODES_SQL],
 )
 def b3(spark, sf):
     from . import jobs
 
-    return jobs.prepare_training(tx(spark, sf)).drop("cleaned_metaphone")
+    return jobs.prepare_training(tx(spark, sf))
 
 
 @register("f5_required_columns", "SELECT transaction_id, amount FROM td", [TD_SQL])

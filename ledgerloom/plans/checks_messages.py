@@ -10,7 +10,7 @@ from ..operators.templates import TEMPLATE_NAMES, TEMPLATES
 from ..session import reliable_checkpoint
 from . import jobs
 from .registry import register
-from .views import AS_OF, MSG_SQL, TX_SQL, msg, parsed, tx, usr
+from .views import AS_OF, MSG_SQL, TX_SQL, USR_SQL, msg, parsed, tx, usr
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 BY_NAME = {t.name: t for t in TEMPLATES}
@@ -164,7 +164,7 @@ def u3_missing(spark, sf):
     return extraction.missing_templates(parsed(spark, sf), ["Never Seen", *TEMPLATE_NAMES, "Old Bank"])
 
 
-LOADED_SQL = f"""unread AS (SELECT * FROM msg WHERE k % 4 <> 0),
+LOADED_SQL = f"""unread AS (SELECT * FROM msg WHERE k % 4 <> 0 AND user_id IN (SELECT user_id FROM usr WHERE email_sync_enabled AND email IS NOT NULL)),
 good AS (SELECT message_id AS transaction_id, id AS id_api, user_id, account, template_used, vendor, amount,
   CASE WHEN date <= {NOW} THEN date ELSE {NOW} END AS date FROM unread WHERE parse_status = 'ok')"""
 
@@ -176,7 +176,7 @@ def _loaded(spark, sf):
         "user_id", "account", "template_used", F.lit("old vendor").alias("vendor"), F.lit("").alias("vendor_cleaned"), F.lit(0.5).alias("amount"), "date",
         "predicted_category", "user_category", F.col("date").alias("created_at"), F.col("date").alias("last_modified"), F.lit("processed").alias("status"),
     ).filter(F.regexp_extract("transaction_id", r"(\d+)", 1).cast("bigint") % 3 == 0)
-    return jobs.extract_and_load(msg(spark, sf), empty, AS_OF, usr(spark, sf), phonetic=False)
+    return jobs.extract_and_load(msg(spark, sf), empty, AS_OF, usr(spark, sf))
 
 
 @register(
@@ -188,7 +188,7 @@ def _loaded(spark, sf):
       CASE WHEN g.transaction_id IS NOT NULL THEN 'Uncategorized' ELSE o.predicted_category END AS predicted_category, o.user_category,
       coalesce(o.date, {NOW}) AS created_at, CASE WHEN g.transaction_id IS NOT NULL THEN {NOW} ELSE o.date END AS last_modified
     FROM good g FULL JOIN old o ON g.transaction_id = o.transaction_id AND g.user_id = o.user_id""",
-    [MSG_SQL, LOADED_SQL, TX_SQL],
+    [MSG_SQL, USR_SQL, LOADED_SQL, TX_SQL],
 )
 def b1(spark, sf):
     return _loaded(spark, sf).ledger.select(
@@ -199,7 +199,7 @@ def b1(spark, sf):
 @register(
     "b1_run_outcomes",
     """SELECT user_id, count(*) AS stored FROM good GROUP BY 1""",
-    [MSG_SQL, LOADED_SQL],
+    [MSG_SQL, USR_SQL, LOADED_SQL],
 )
 def b1_outcomes(spark, sf):
     return _loaded(spark, sf).outcomes.groupBy("user_id").agg(F.count_if(F.col("status") == "stored").alias("stored"))
@@ -208,7 +208,7 @@ def b1_outcomes(spark, sf):
 @register(
     "b1_cleaned_vendors",
     """SELECT transaction_id, CASE WHEN vendor = 'Direct Deposit' THEN 'direct deposit' ELSE 'shop' END AS vendor_cleaned, day(date) AS day, dayname(date) AS day_name FROM good""",
-    [MSG_SQL, LOADED_SQL],
+    [MSG_SQL, USR_SQL, LOADED_SQL],
 )
 def b1_clean(spark, sf):
     return _loaded(spark, sf).accepted.select("transaction_id", "vendor_cleaned", "day", "day_name")

@@ -6,7 +6,7 @@ from ..functions import dates, text
 from ..operators import common, ledger, rules
 from ..sources import readers
 from .registry import register
-from .views import AS_OF, FB_SQL, PRED_SQL, TD_SQL, TX_SQL, USR_SQL, fb, msg, pred, table, td, tx, usr
+from .views import CODES_SQL, AS_OF, FB_SQL, PRED_SQL, TD_SQL, TX_SQL, USR_SQL, fb, msg, pred, table, td, tx, usr
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 CLEAN = "trim(regexp_replace(lower(vendor), '[^a-z]+', ' ', 'g'))"
@@ -236,9 +236,9 @@ PATTERN_SQL = """SELECT transaction_id, lower(vendor) AS vendor, {clean} AS vend
     FROM tx""".format(clean=CLEAN)
 
 
-@register("f6_feature_rows", PATTERN_SQL, [TX_SQL])
+@register("f6_feature_rows", "SELECT p.*, one AS cleaned_metaphone FROM (" + PATTERN_SQL + ") p LEFT JOIN codes ON vendor_cleaned = cleaned", [TX_SQL, CODES_SQL])
 def f6(spark, sf):
-    return rules.feature_rows(tx(spark, sf), AS_OF, keep=["transaction_id"]).drop("cleaned_metaphone")
+    return rules.feature_rows(tx(spark, sf), AS_OF, keep=["transaction_id"])
 
 
 @register(
@@ -495,7 +495,12 @@ def p8(spark, sf):
     return tx(spark, sf).select("transaction_id", text.clean_vendor(F.col("vendor")).alias("vendor_cleaned"))
 
 
-@register("p9_vendor_codes")
+@register(
+    "p9_vendor_codes",
+    f"""SELECT vendor_cleaned, n, trim(concat(one, ' ', two)) AS codes FROM (SELECT {CLEAN} AS vendor_cleaned, count(*) AS n FROM tx GROUP BY 1)
+    LEFT JOIN codes ON vendor_cleaned = cleaned""",
+    [TX_SQL, CODES_SQL],
+)
 def p9(spark, sf):
     from ..functions.phonetic import codes
 

@@ -47,22 +47,21 @@ def r2(spark, sf):
     rows = pred(spark, sf).select("transaction_id", "created_at")
     source = _as_stream(spark, rows.unionByName(rows), "r2-in", "transaction_id")
     out = work_path(spark, "r2-out")
-    unique = streams.drop_duplicates(source, at="created_at", late="60 days")
-    writer = unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_path(spark, "r2-state"))
-    _finish(writer.trigger(availableNow=True).start())
-    return spark.read.parquet(out)
+    _finish(streams.start_unique(source, out, work_path(spark, "r2-state")))
+    return streams.read_unique(spark, out)
 
 
 @register("r3_streamed_upsert", UPSERT_SQL, [TX_SQL])
 def r3(spark, sf):
-    """Half of the changes are compacted into a snapshot, the others are applied on reading."""
+    """Half of the changes are compacted into a snapshot; the others come later in the same stream and are applied on reading."""
     old, batch = _ledger_and_batch(spark, sf)
-    path = work_path(spark, "r3")
-    early = _as_stream(spark, batch.filter("seq = 1"), "r3-early", "transaction_id", files=4)
-    _finish(streams.start_upsert(early, old, path, work_path(spark, "r3-state")))
-    streams.compact(spark, path, AS_OF, ["seq"])
-    # what the same checkpoint would deliver next
-    streams.save_changes(path)(batch.filter("seq = 2"), 1_000)
+    path, source, state = work_path(spark, "r3"), work_path(spark, "r3-in"), work_path(spark, "r3-state")
+    for half in (1, 2):
+        batch.filter(F.col("seq") == half).repartition(4, "transaction_id").write.mode("append").parquet(source)
+        arriving = streams.read_stream(spark, source, batch.schema, files_per_trigger=2)
+        _finish(streams.start_upsert(arriving, old, path, state))
+        if half == 1:
+            streams.compact(spark, path, AS_OF, ["seq"])
     return streams.current_ledger(spark, path, AS_OF, ["seq"]).select(*UPSERT_COLUMNS)
 
 
@@ -86,7 +85,9 @@ def r4(spark, sf):
 )
 def r5(spark, sf):
     rows = tx(spark, sf).select("user_id", "user_category", "predicted_category", "last_modified", "transaction_id")
-    source = _as_stream(spark, rows, "r5-in", "transaction_id")
+    # every transaction was sent before, under another category
+    before = rows.withColumns({"user_category": F.lit("first guess"), "last_modified": F.col("last_modified") - F.expr("INTERVAL 1 DAY")})
+    source = _as_stream(spark, before.unionByName(rows).unionByName(rows), "r5-in", "transaction_id")
     out = work_path(spark, "r5-out")
     _finish(streams.start_category_counts(source, out, work_path(spark, "r5-state")))
     return streams.read_category_counts(spark, out)

@@ -78,7 +78,7 @@ def _page_messages(spark, sf):
     """SELECT page_id, md5(CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN html WHEN 2 THEN concat(html, chr(10), chr(10), url) ELSE url END) AS digest FROM pages""",
 )
 def p4(spark, sf):
-    return _page_messages(spark, sf).select("page_id", F.md5(mime.raw_body(F.col("payload"))).alias("digest"))
+    return _page_messages(spark, sf).select("page_id", F.md5(mime.raw_body(F.col("payload"), mime.leaf_parts(F.col("payload")))).alias("digest"))
 
 
 @register("p5_joined_body_data", "SELECT page_id, md5(html) AS digest FROM pages")

@@ -24,6 +24,8 @@ class Loaded:
     accepted: DataFrame
     rejected: DataFrame
     outcomes: DataFrame
+    summary: DataFrame | None = None
+    users: DataFrame | None = None
 
 
 def stage_transactions(parsed: DataFrame, users: DataFrame | None = None) -> DataFrame:
@@ -31,8 +33,8 @@ def stage_transactions(parsed: DataFrame, users: DataFrame | None = None) -> Dat
     account_id = F.concat(F.lit(ACCOUNT_PREFIX), F.col("user_id"))
     if users is not None:
         email = rules.enabled_users(users).select("user_id", F.col("contactInformation._email").alias("_email"))
-        parsed = parsed.join(email, "user_id", "left")
-        account_id = F.concat(F.lit(ACCOUNT_PREFIX), F.coalesce("_email", "user_id"))
+        parsed = parsed.join(email, "user_id")  # others are not synchronised
+        account_id = F.concat(F.lit(ACCOUNT_PREFIX), "_email")
     rows = parsed.select(
         F.col("message_id").alias("id"),
         F.col("id").alias("id_api"),
@@ -52,7 +54,8 @@ def stage_transactions(parsed: DataFrame, users: DataFrame | None = None) -> Dat
     )
     iso = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
     checked = rules.validation_errors(rows.withColumn("date", iso))
-    return rows.withColumn("date", iso).withColumn("errors", checked).withColumn("date", dates.iso_to_utc(F.col("date")))
+    checked_rows = rows.withColumns({"_date": F.col("date"), "date": iso}).withColumn("errors", checked)
+    return checked_rows.withColumn("date", F.col("_date")).drop("_date")  # with its fraction of a second
 
 
 def parse_table(messages: DataFrame, as_of, users: DataFrame | None = None, scorer=None, templates=None) -> DataFrame:
@@ -74,12 +77,13 @@ def parse_table(messages: DataFrame, as_of, users: DataFrame | None = None, scor
 
 
 def extract_and_load(
-    messages: DataFrame, ledger_table: DataFrame, as_of, users: DataFrame | None = None, scorer=None, phonetic: bool = True
+    messages: DataFrame, ledger_table: DataFrame, as_of, users: DataFrame | None = None, scorer=None
 ) -> Loaded:
-    """Unread messages into the ledger: parse, score, validate, clean, upsert, and count per user."""
+    """Unread messages into the ledger: parse, score, validate, clean, upsert, and count per user. With ``users``, only
+    those with sync on and an address are processed, and each gets a summary and a sync stamp."""
     table = parse_table(messages, as_of, users, scorer)
     good = table.filter(F.col("result") == "ok").drop("result", "parse_status")
-    accepted = ledger.ledger_rows(good, as_of, phonetic)
+    accepted = ledger.ledger_rows(good, as_of)
     rejected = table.filter(F.col("result") != "ok").select(
         F.coalesce("id", "id_api").alias("message_id"), "user_id", F.col("result").alias("reason")
     )
@@ -87,7 +91,12 @@ def extract_and_load(
     outcomes = table.filter(F.col("parse_status") == "ok").select(
         "user_id", F.when(F.col("result") == "ok", "stored").otherwise("failed").alias("status")
     )
-    return Loaded(ledger.upsert(ledger_table, accepted, as_of, order=["date", "id_api"]), accepted, rejected, outcomes)
+    summary = stamped = None
+    if users is not None:
+        summary = reports.run_summary(outcomes, rules.enabled_users(users))
+        stamped = ledger.stamp_sync(users, summary.filter("ok"), as_of)
+    updated = ledger.upsert(ledger_table, accepted, as_of, order=["date", "id_api"])
+    return Loaded(updated, accepted, rejected, outcomes, summary, stamped)
 
 
 def export_training(
@@ -98,12 +107,31 @@ def export_training(
     clock = dates.as_clock(as_of)
     rows = labels.export_rows(ledger_table, users, dates.days_before(clock, days), clock)
     writers.write_training_table(rows, table_path)
-    table = writers.read_training_table(ledger_table.sparkSession, table_path)
-    table = labels.newest_export(table) if dedup else table
+    return export_files(ledger_table.sparkSession, feedback, table_path, files_path, as_of, days, dedup, rows.schema)
+
+
+def export_files(spark: SparkSession, feedback: DataFrame, table_path: str, files_path: str, as_of, days: int, dedup: bool = True, schema=None) -> DataFrame:
+    """The warehouse table's last ``days`` with feedback to training files. Only the partitions of these days are read,
+    before exports are de-duplicated, and the files are in no order."""
+    clock = dates.as_clock(as_of)
     start = F.date_sub(F.to_date(clock), days)
-    training = labels.with_feedback(table, feedback, start, F.to_date(clock))
+    table = writers.read_training_table(spark, table_path, schema, start)
+    table = labels.newest_export(table) if dedup else table
+    training = labels.with_feedback(table, feedback, start, F.to_date(clock), ordered=False)
     writers.write_training_files(training, files_path)
-    return ledger_table.sparkSession.read.parquet(files_path)
+    return spark.read.parquet(files_path)
+
+
+def export_incremental(ledger_table: DataFrame, users: DataFrame, feedback: DataFrame, table_path: str, files_path: str, as_of) -> DataFrame:
+    """The weekly action: the last days are exported, and days beyond the retention leave the training files."""
+    export_training(ledger_table, users, feedback, table_path, files_path, as_of, INCREMENTAL_EXPORT_DAYS)
+    files = ledger_table.sparkSession.read.parquet(files_path)
+    return ledger.retain_recent(files, "date", KEEP_DAYS, as_of)
+
+
+def export_stats(spark: SparkSession, table_path: str) -> DataFrame:
+    """The statistics action over the warehouse table."""
+    return reports.training_stats(writers.read_training_table(spark, table_path))
 
 
 def prepare_training(source: DataFrame, user_ids=None, start=None, end=None, limit_per_user=None) -> DataFrame:
@@ -156,12 +184,36 @@ def metrics_report(feedback: DataFrame, as_of, days: int = 30, by_category: bool
 def train(training: DataFrame, settings: model.Settings | None = None) -> model.Trained:
     """Check, balance, weight, split by time, fit both classifiers and score the held-out rows."""
     settings = settings or model.Settings()
+    lacking = reports.missing_columns(training)
+    if lacking:
+        raise ValueError(f"Missing required columns: {[name for name, _ in lacking]}")
+    diversity = reports.diversity_grade(training).first()
+    if diversity["grade"] == "critical":
+        raise ValueError(f"Training needs at least two categories, found {diversity['unique_categories']}")
     # the split reads the balanced rows several times
     balanced = reliable_checkpoint(sampling.with_weights(sampling.balance_categories(training)), "balanced")
     parts = sampling.split_by_time(balanced)
     return model.fit(parts.filter("is_train"), parts.filter("NOT is_train"), settings)
 
 
+def ingest(requests: DataFrame, ledger_table: DataFrame, scorer, as_of) -> Loaded:
+    """Ingest requests: those that pass the gate are scored, written in ledger layout and merged; rejected ones keep their
+    error. ``scorer`` appends category, subcategory, confidence and model_version."""
+    scored = rules.apply_prediction(scorer(rules.accept_requests(requests)))
+    good, bad = ledger.split_writable(scored)
+    accepted = reliable_checkpoint(ledger.ledger_rows(good, as_of), "ingested")
+    return Loaded(ledger.upsert(ledger_table, accepted, as_of, order=["date"]), accepted, bad, rules.ingest_errors(requests))
+
+
+def retrain_from_ledger(
+    ledger_table: DataFrame, users: DataFrame, feedback: DataFrame, table_path: str, files_path: str, registry_path: str, model_path: str, as_of,
+    min_feedback: int = 100, days: int = 7, settings: model.Settings | None = None,
+) -> str | None:
+    """The whole retraining: ledger and feedback are exported, and the model is trained on the files that gives."""
+    training = export_training(ledger_table, users, feedback, table_path, files_path, as_of)
+    return retrain(ledger_table.sparkSession, training, feedback, registry_path, model_path, as_of, min_feedback, days, settings)
+
+
 def retrain(
     spark: SparkSession, training: DataFrame, feedback: DataFrame, registry_path: str, model_path: str, as_of,
     min_feedback: int = 100, days: int = 7, settings: model.Settings | None = None,

@@ -14,6 +14,14 @@ from ..operators.templates import TEMPLATE_NAMES
 AS_OF = "2024-01-31 00:00:00"
 
 # Fixed values of the test views.
+# Double metaphone codes of the cleaned vendor names below, and of the cleaned customer names.
+CODES_SQL = """codes AS (SELECT * FROM (VALUES
+  ('amazon com digital', 'AMSNKMTJTL', 'AMSNKMTKTL'), ('amz mktp us k', 'AMSMKTPSK', 'AMTSMKTPSK'), ('a mazon prime', 'AMSNPRM', ''),
+  ('aramark jpmc cafe', 'ARMRKJPMKF', ''), ('great clips', 'KRTKLPS', ''), ('osu bookstore', 'ASPKSTR', ''),
+  ('the ohio state tavern bar', '0HSTTTFRNPR', 'THSTTTFRNPR'), ('mohela student', 'MHLSTTNT', ''), ('best buy', 'PSTP', ''),
+  ('lending club', 'LNTNKKLP', ''), ('sam s online club', 'SMSNLNKLP', ''), ('', '', ''), ('customer', 'KSTMR', '')
+) AS c(cleaned, one, two))"""
+
 VENDORS = [
     "AMAZON.COM*DIGITAL", "AMZ Mktp US*2K4", "A.MAZON PRIME", "Aramark JPMC Cafe", "Great Clips #1234",
     "OSU Bookstore", "The Ohio State Tavern & Bar", "MOHELA  Student", "BEST BUY 00012", "Lending Club",

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 _LEAF = "mimeType STRING, body STRUCT<data: STRING>"
 
 # A message has recursive parts; Spark types do not recurse. Three levels are typed, and whatever sits
-# below the third is kept as JSON text so that the extractor can send such a message to quarantine.
+# below the third is kept as JSON text, which the extractor reads to its end.
 MESSAGE_DDL = (
     "id STRING, threadId STRING, labelIds ARRAY<STRING>, user_id STRING, "
     "payload STRUCT<mimeType: STRING, headers: ARRAY<STRUCT<name: STRING, value: STRING>>, "

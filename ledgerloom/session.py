@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +20,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # stream state on disk, so that it may outgrow an executor's memory
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -47,11 +52,36 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder for one run's intermediate tables and stream checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only when it is unset (tests on one
-    machine) a local temporary folder is used.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where that is unset, a local master gets a temporary
+    folder that goes when the process ends; on a cluster it is an error, because executors would each write to their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _local_folder()
+    path = f"{base.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+@functools.cache
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work folders that this process has made. Call it when their tables are no longer read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _made:
+        path = hadoop.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reliable_checkpoint(df, name: str = "cut"):

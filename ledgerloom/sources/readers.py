@@ -110,12 +110,11 @@ def read_training_csv(spark: SparkSession, path: str, ddl: str = TRAINING_CSV_DD
     return derive_training_texts(spark.read.schema(ddl).option("header", "true").csv(path))
 
 
-def derive_training_texts(df: DataFrame, phonetic: bool = True) -> DataFrame:
+def derive_training_texts(df: DataFrame) -> DataFrame:
     unknown = lambda c: F.coalesce(text.blank_to_null(c), F.lit("unknown"))
     df = df.withColumn("vendor_cleaned", text.clean_vendor(F.col("vendor"), "unknown"))
-    if phonetic:
-        code = F.when(F.col("vendor_cleaned") != "unknown", primary_code(F.col("vendor_cleaned")))
-        df = df.withColumn("cleaned_metaphone", unknown(code))
+    code = F.when(F.col("vendor_cleaned") != "unknown", primary_code(F.col("vendor_cleaned")))
+    df = df.withColumn("cleaned_metaphone", unknown(code))
     filled = {c: unknown(F.col(c)) for c in ("vendor", "template_used", "account") if c in df.columns}
     return df.withColumns({**filled, **dates.date_parts(F.col("date"))})
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_training_table(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -20,9 +21,15 @@ def write_training_table(df: DataFrame, path: str, mode: str = "append") -> None
     )
 
 
-def read_training_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table with columns that later appends added."""
-    return spark.read.option("mergeSchema", "true").parquet(path).drop("date_day")
+def read_training_table(spark: SparkSession, path: str, schema: T.StructType | None = None, since: Column | None = None) -> DataFrame:
+    """The table with columns that later appends added, from the day ``since`` on (only those partitions are read).
+
+    With a ``schema`` no file footer is opened to find the columns."""
+    if schema is not None:
+        table = spark.read.schema(T.StructType([*schema.fields, T.StructField("date_day", T.DateType())])).parquet(path)
+    else:
+        table = spark.read.option("mergeSchema", "true").parquet(path)
+    return (table if since is None else table.filter(F.col("date_day") >= since)).drop("date_day")
 
 
 def write_training_files(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:

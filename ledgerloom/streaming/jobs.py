@@ -7,14 +7,18 @@ snapshot number again.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas
 from ..operators import extraction, ledger, rules
+from ..operators.common import latest_by
+from ..session import reliable_checkpoint
 
-LATE = "1 day"
+COUNTED = ["user_id", "transaction_id", "user_category", "predicted_category", "last_modified"]
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -42,15 +46,33 @@ def extract(messages: DataFrame, as_of, templates=None) -> DataFrame:
 
 
 def start_extract(messages: DataFrame, as_of, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
-    """Append parsed messages to ``out``, partitioned into transactions and quarantine."""
-    writer = extract(messages, as_of).writeStream.outputMode("append").format("parquet")
-    return _run(writer.option("path", out).partitionBy("parse_status"), checkpoint, once, interval)
+    """Append parsed messages to ``out``, partitioned into transactions and quarantine.
+
+    A message without a date gets ``as_of``, or without that the time at which its batch runs; a repeated batch replaces
+    its own folder."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        now = as_of or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
+        extract(batch, now).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("parse_status").parquet(f"{out}/batch={number}")
 
+    return _run(messages.writeStream.foreachBatch(save), checkpoint, once, interval)
 
-def drop_duplicates(rows: DataFrame, key: str = "transaction_id", at: str = "date", late: str = LATE) -> DataFrame:
-    """First row per key; repeats are recognised while the watermark has not passed them. Rows later than the
-    watermark are dropped here and belong to the batch path."""
-    return rows.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late).dropDuplicatesWithinWatermark([key]).drop("_at")
+
+def start_unique(rows: DataFrame, out: str, checkpoint: str, key: str = "transaction_id", once: bool = True, interval: str = "10 minutes"):
+    """Collect a stream whose rows may repeat, at any distance in time. Each batch is written with one row per key;
+    ``read_unique`` keeps the first batch's row. There is no watermark, so no row is too late, and no state that grows."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _run(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
+
+
+def read_unique(spark: SparkSession, out: str, key: str = "transaction_id") -> DataFrame:
+    """The row of each key that arrived first."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col("batch")).alias("_row")).select(key, "_row.*")
 
 
 # ----------------------------------------------------------------------------------------------- upserts
@@ -59,16 +81,18 @@ def drop_duplicates(rows: DataFrame, key: str = "transaction_id", at: str = "dat
 # newest snapshot with the changes folded in, and a job that runs now and then writes that as a new snapshot.
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the complete sub-folders ``prefix=N``. A folder counts once it has Spark's success mark."""
+def _numbers(spark: SparkSession, path: str, prefix: str, above: int | None = None) -> list[int]:
+    """Numbers of the complete sub-folders ``prefix=N`` over ``above``. A folder counts once it has Spark's success mark;
+    only those over ``above`` are asked for it."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
-    names = [s.getPath() for s in files.listStatus(folder) if s.isDirectory()]
-    done = [p.getName() for p in names if files.exists(hadoop.Path(p, "_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done if n.startswith(f"{prefix}="))
+    names = [s.getPath() for s in files.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith(f"{prefix}=")]
+    numbered = [(int(p.getName().split("=")[1]), p) for p in names]
+    wanted = [(n, p) for n, p in numbered if above is None or n > above]
+    return sorted(n for n, p in wanted if files.exists(hadoop.Path(p, "_SUCCESS")))
 
 
 def save_changes(path: str):
@@ -91,7 +115,7 @@ def current_ledger(spark: SparkSession, path: str, as_of, order: list[str]) -> D
     """The newest snapshot with all later changes applied in batch order."""
     upto = _numbers(spark, f"{path}/ledger", "upto")[-1]
     snapshot = spark.read.parquet(f"{path}/ledger/upto={upto}")
-    later = [n for n in _numbers(spark, f"{path}/changes", "batch") if n > upto]
+    later = _numbers(spark, f"{path}/changes", "batch", upto)
     if not later:
         return snapshot
     folders = [f"{path}/changes/batch={n}" for n in later]
@@ -101,8 +125,9 @@ def current_ledger(spark: SparkSession, path: str, as_of, order: list[str]) -> D
 
 def compact(spark: SparkSession, path: str, as_of, order: list[str]) -> None:
     """Write the current ledger as a new snapshot. The folder read from is never the one written to."""
-    later = _numbers(spark, f"{path}/changes", "batch")
-    if later and later[-1] > _numbers(spark, f"{path}/ledger", "upto")[-1]:
+    upto = _numbers(spark, f"{path}/ledger", "upto")[-1]
+    later = _numbers(spark, f"{path}/changes", "batch", upto)
+    if later:
         current_ledger(spark, path, as_of, order).write.mode("overwrite").parquet(f"{path}/ledger/upto={later[-1]}")
 
 
@@ -124,7 +149,7 @@ def start_hourly_metrics(predictions: DataFrame, out: str, checkpoint: str, late
 
 
 def category_counts(rows: DataFrame) -> DataFrame:
-    """Running count and last use per user and category."""
+    """Count and last use per user and category."""
     category = F.coalesce("user_category", "predicted_category", F.lit(rules.UNCATEGORIZED)) if "user_category" in rows.columns \
         else F.coalesce("predicted_category", F.lit(rules.UNCATEGORIZED))
     return rows.groupBy("user_id", category.alias("category")).agg(
@@ -133,19 +158,34 @@ def category_counts(rows: DataFrame) -> DataFrame:
 
 
 def start_category_counts(rows: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
-    """Write the counts that changed, one folder per batch; the newest count of a key is its largest."""
+    """Collect the categories of transactions, one folder per batch with the newest row of each transaction in it."""
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept = [c for c in COUNTED if c in batch.columns]
+        latest_by(batch.select(*kept), ["user_id", "transaction_id"], ["last_modified"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(category_counts(rows).writeStream.outputMode("update").foreachBatch(save), checkpoint, once, interval)
+    return _run(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
 
 
 def read_category_counts(spark: SparkSession, out: str) -> DataFrame:
-    changes = spark.read.parquet(out)
-    return changes.groupBy("user_id", "category").agg(
-        F.max("transaction_count").alias("transaction_count"), F.max_by("last_used", "transaction_count").alias("last_used")
-    )
+    """Counts of the newest row of each transaction: one that was sent again counts once, one whose category was
+    corrected counts under the new category only."""
+    newest = latest_by(spark.read.parquet(out), ["user_id", "transaction_id"], ["last_modified", "batch"])
+    return category_counts(newest)
+
+
+def compact_category_rows(spark: SparkSession, out: str) -> None:
+    """Replace all batches so far by one with the newest row of each transaction, in the place of the last."""
+    numbers = _numbers(spark, out, "batch")
+    if len(numbers) < 2:
+        return
+    rows = latest_by(spark.read.parquet(out), ["user_id", "transaction_id"], ["last_modified", "batch"]).drop("batch")
+    rows = reliable_checkpoint(rows, "category-rows")
+    rows.write.mode("overwrite").parquet(f"{out}/batch={numbers[-1]}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for number in numbers[:-1]:
+        path = hadoop.Path(f"{out}/batch={number}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def split_late(rows: DataFrame, at: str, floor) -> tuple[DataFrame, DataFrame]:

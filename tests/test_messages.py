@@ -101,10 +101,26 @@ def test_one_broken_message_leaves_the_others(spark):
     assert [r.parse_status for r in rows] == ["ok", "no_template", "extract_error"]
 
 
-def test_deep_parts_go_to_quarantine(spark):
-    leaf = ("text/html", (encode("x"),), '[{"mimeType":"text/html"}]')
-    parts = [("m", (None,), [("m", (None,), [leaf])])]
-    assert parse(spark, message("", parts=parts)).parse_status == "too_deep"
+def test_parts_are_read_at_any_depth(spark):
+    import json
+
+    body = "A transaction of $5.00 at SHOP was approved. Visa ending in 1234"
+    below = {"mimeType": "text/html", "body": {"data": encode(body)}}
+    for _ in range(3):
+        below = {"mimeType": "m", "parts": [{"mimeType": "text/plain", "body": {"data": encode("x")}}, below]}
+    parts = [("m", (None,), [("m", (None,), [("m", (None,), json.dumps([below]))])])]
+    row = parse(spark, message("", parts=parts))
+    assert (row.parse_status, row.amount, row.account) == ("ok", 5.0, "1234")
+
+
+def test_numeric_entities_with_leading_zeros(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import mime
+
+    texts = ["&#0000000000065;", "&#x00000000041;", "&#99999999999999999999;x", "&#xFFFFFFFFFFFF;y", "&#65;&#x42"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(mime.unescape_entities(F.col("t")).alias("u")).collect()
+    assert [r.u for r in rows] == ["A", "A", "x", "y", "AB"]
 
 
 def test_group_counts():
