@@ -28,7 +28,7 @@ ANCHOR = 32
 CONTEXTS = 20_000  # of one anchor that one task sorts
 CHUNK = 1 << 22  # bytes that are hashed together
 SORTED = 1 << 20  # bytes of contexts that are sorted together, but for an anchor that has more
-BROADCAST_ROWS = 2_000_000  # a longer list is joined by a shuffle
+SENT_ANCHORS = 2_000_000  # repeated anchors that are sent to the tasks; a longer list is joined by a shuffle
 
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLES = np.random.Generator(np.random.PCG64(3)).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -312,8 +312,8 @@ def repeated_ranges(keyed: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     counts = keyed.select("text").mapInPandas(_count_anchors, "anchor bigint, times bigint").groupBy("anchor").agg(F.sum("times").alias("times"))
     repeated = reliable_checkpoint(counts.where("times > 1").select("anchor"), "anchors")
     rows = keyed.select("key", "key2", "text")
-    if repeated.count() <= BROADCAST_ROWS:
-        wanted = np.sort(repeated.toPandas()["anchor"].to_numpy(dtype=np.int64))
+    if repeated.count() <= SENT_ANCHORS:
+        wanted = np.sort(repeated.toArrow()["anchor"].to_numpy())
         found = rows.mapInPandas(_occurrences(spark.sparkContext.broadcast(wanted)), OCCURRENCES)
     else:
         found = rows.mapInPandas(_occurrences(None), OCCURRENCES).join(repeated, "anchor")
@@ -329,7 +329,7 @@ def repeated_ranges(keyed: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     def asked(which) -> DataFrame:
         requests = known.where(which).select("_at.*", "anchor", "times")
         by_text = requests.groupBy("key", "key2").agg(F.collect_list(F.struct("anchor", "start", "number", "times")).alias("asked"))  # of one text
-        return rows.join(F.broadcast(by_text) if requests.count() <= BROADCAST_ROWS else by_text, ["key", "key2"])
+        return rows.join(by_text, ["key", "key2"])
 
     cut = asked((F.col("_contexts") > 1) & (F.col("_contexts") <= contexts)).mapInPandas(
         _cut_contexts(False), "key bigint, key2 int, anchor bigint, start int, times bigint, bytes binary"
