@@ -142,7 +142,7 @@ def predict_languages(documents: DataFrame, prototypes: DataFrame) -> DataFrame:
     """
     learned = sorted(((r["lang"], r["vector"]) for r in prototypes.collect()), key=lambda x: x[0])
     names = [lang for lang, _ in learned]
-    matrix = np.array([v for _, v in learned], dtype=np.float64).reshape(len(names), -1)
+    matrix = np.array([v for _, v in learned], dtype=np.float64).reshape(len(names), DIMENSIONS)
     if names:
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
@@ -161,7 +161,9 @@ def predict_languages(documents: DataFrame, prototypes: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": lang, "score": score})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(predict, f"doc_id {kind}, lang_pred string, score double")
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no whole numbers with nulls
+    found = rows.mapInPandas(predict, "doc_id string, lang_pred string, score double")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def held_out(parts: int, left: int):

@@ -147,7 +147,7 @@ def mix_documents(documents: DataFrame, **settings) -> DataFrame:
     have the same number of copies up to the one at the cut.
     """
     named = {"_d": F.col("doc_id"), "_o": F.col("source"), "_z": word_count(F.col("text"))}
-    order = Window.partitionBy("_d", "_o", "_z").orderBy(F.lit(0))
+    order = Window.partitionBy("_d", "_o", "_z").orderBy(F.md5(F.col("_row.text").cast("binary")))
     rows = documents.select(F.struct(*documents.columns).alias("_row"), *[c.alias(n) for n, c in named.items()]).withColumn("_m", F.row_number().over(order))
     mix = pareto_mix(sized_documents(documents), **settings)
     turn = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies"))

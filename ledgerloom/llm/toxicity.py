@@ -163,7 +163,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, learn_from, sample:
     rows = labels.where(learn_from & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rows.where("toxic = 1").orderBy(*order).limit(sample).unionByName(rows.where("toxic = 0").orderBy(*order).limit(sample))
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # 2 * sample rows at most
+    wanted = [r["doc_id"] for r in chosen.select("doc_id").collect()]  # 2 * sample rows at most
+    return documents.select("doc_id", "text").where(F.col("doc_id").isin(wanted)).join(chosen, "doc_id").select("toxic", "text")
 
 
 def train(documents: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> Model:
@@ -190,4 +191,5 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double, predicted int")
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas has no whole numbers with nulls
+    return rows.mapInPandas(run, "doc_id string, score double, predicted int").withColumn("doc_id", F.col("doc_id").cast(kind))
