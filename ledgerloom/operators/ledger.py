@@ -1,16 +1,17 @@
 """Upserts and patches of the ledger and the user table.
 
-Without a table format that has MERGE, a new snapshot is the full outer join of the old one and the batch on
-the row key. Write it to a new folder and then move the pointer; never overwrite the folder being read.
+Without a table format that has MERGE, a new state is the full outer join of the old one and the batch on the row
+key. ``upsert`` gives the whole of it; ``upsert_table`` keeps a table in partitions and replaces those that a batch touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..functions.phonetic import codes
+from ..session import reliable_checkpoint
 from .rules import UNCATEGORIZED, document_key, is_writable
 
 KEY = ["user_id", "transaction_id"]
@@ -111,6 +112,34 @@ def upsert(ledger: DataFrame, batch: DataFrame, as_of, order: list[str] | None =
     return joined.select(*out)
 
 
+BUCKET = "ledger_bucket"
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+
+def create_table(ledger: DataFrame, path: str, buckets: int = 256) -> None:
+    """The ledger as a table in partitions by a hash of the user; ``rebalance`` splits the files of a large one."""
+    table = ledger.withColumn(BUCKET, _bucket(buckets)).hint("rebalance", BUCKET)
+    table.write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
+
+
+def upsert_table(path: str, batch: DataFrame, as_of, order: list[str] | None = None, buckets: int = 256) -> None:
+    """Merge a batch into the table of ``create_table``: only the partitions of the batch's users are read, joined and
+    replaced. The new rows are written aside first, so that no folder is read while it is replaced. ``buckets`` is that of the table."""
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]  # numbers below ``buckets``
+    table = spark.read.parquet(path)
+    old = table.where(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    merged = reliable_checkpoint(upsert(old, batch, as_of, order).withColumn(BUCKET, _bucket(buckets)).hint("rebalance", BUCKET), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def patch(ledger: DataFrame, updates: DataFrame, as_of) -> DataFrame:
     """Overwrite the fields given in ``updates`` (one row per key) and stamp the row."""
     fields = [c for c in updates.columns if c not in KEY]

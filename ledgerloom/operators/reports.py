@@ -31,12 +31,20 @@ def _since(df: DataFrame, column: str, days: int, as_of) -> DataFrame:
 # ---------------------------------------------------------------------------------------- training stats
 
 
-def training_stats(training: DataFrame) -> DataFrame:
+def _distinct(column: str, few: bool, approximate: bool):
+    """Number of distinct values. ``few``: labels and versions, whose set fits one row; counted so, they do not multiply the
+    rows before the shuffle as several exact distinct counts do."""
+    if approximate:
+        return F.approx_count_distinct(column)
+    return F.size(F.collect_set(column)).cast("bigint") if few else F.count_distinct(column)
+
+
+def training_stats(training: DataFrame, approximate: bool = False) -> DataFrame:
     return training.agg(
         F.count("*").alias("total_records"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.count_distinct("category").alias("unique_categories"),
-        F.count_distinct("subcategory").alias("unique_subcategories"),
+        _distinct("user_id", False, approximate).alias("unique_users"),
+        _distinct("category", True, approximate).alias("unique_categories"),
+        _distinct("subcategory", True, approximate).alias("unique_subcategories"),
         F.count_if("is_user_corrected").alias("user_corrected_count"),
         F.min("date").alias("earliest_date"),
         F.max("date").alias("latest_date"),
@@ -46,16 +54,16 @@ def training_stats(training: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- feedback
 
 
-def feedback_stats(feedback: DataFrame, as_of, days: int = 30) -> DataFrame:
+def feedback_stats(feedback: DataFrame, as_of, days: int = 30, approximate: bool = False) -> DataFrame:
     recent = _since(feedback, "feedback_timestamp", days, as_of)
     stats = recent.agg(
         F.count("*").alias("total_feedback"),
-        F.count_distinct("user_id").alias("unique_users"),
-        F.count_distinct("transaction_id").alias("unique_transactions"),
+        _distinct("user_id", False, approximate).alias("unique_users"),
+        _distinct("transaction_id", False, approximate).alias("unique_transactions"),
         F.coalesce(F.avg("prediction_confidence"), F.lit(0.0)).alias("avg_confidence"),
-        F.count_distinct("model_version").alias("model_versions"),
+        _distinct("model_version", True, approximate).alias("model_versions"),
         F.count_if(F.col("original_category") != F.col("user_category")).alias("category_changes"),
-        F.count_distinct("user_category").alias("unique_categories"),
+        _distinct("user_category", True, approximate).alias("unique_categories"),
     )
     changed = _share(F.col("category_changes"), F.col("total_feedback"))
     return stats.withColumn("accuracy_rate", F.coalesce(1 - changed, F.lit(0.0)))
@@ -207,9 +215,9 @@ def category_index(ledger: DataFrame) -> DataFrame:
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
     """Values by frequency with their share of all rows; NULL is not counted as a value.
 
-    The total is a scalar from a scan without columns, not a window over all groups."""
+    The total is a scalar from the same counts, not a second scan and not a window over all groups."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     out = (
         counts.filter(F.col("value").isNotNull())
         .select("value", "n", (F.col("n") / total).alias("share"))

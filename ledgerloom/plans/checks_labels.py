@@ -213,6 +213,17 @@ def k7(spark, sf):
     return spark.read.parquet(current).select(*UPSERT_COLUMNS)
 
 
+@register("k7_upsert_touched_partitions", UPSERT_SQL, [TX_SQL])
+def k7_table(spark, sf):
+    """The changes one after the other into a partitioned table."""
+    old, batch = _ledger_and_batch(spark, sf)
+    path = work_path(spark, "k7-table")
+    ledger.create_table(old, path, 16)
+    for seq in (1, 2):
+        ledger.upsert_table(path, batch.filter(F.col("seq") == seq), AS_OF, ["seq"], 16)
+    return ledger.read_table(spark, path).select(*UPSERT_COLUMNS)
+
+
 @register(
     "k8_patched_rows",
     f"""SELECT transaction_id, CASE WHEN {ID} % 5 = 0 THEN 'patched' ELSE vendor END AS vendor, amount,

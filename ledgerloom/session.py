@@ -49,6 +49,13 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "ledge
     return spark
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, for a cluster on which it is not installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ledgerloom-code-"), "ledgerloom"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(made)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder for one run's intermediate tables and stream checkpoints.
 

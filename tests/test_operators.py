@@ -183,6 +183,83 @@ def test_model_is_repeatable_and_beats_the_majority(spark, sf):
     assert one.accuracy().filter("target = 'category'").first().accuracy > top
 
 
+def test_training_needs_two_categories_and_all_columns(spark, sf):
+    data = views.td(spark, sf)
+    with pytest.raises(ValueError, match="two categories"):
+        jobs.train(data.withColumn("category", F.lit("one")))
+    with pytest.raises(ValueError, match="Missing required columns"):
+        jobs.train(data.drop("amount"))
+
+
+def test_export_reads_only_the_wanted_days(spark, sf, tmp_path):
+    from ledgerloom.sources import writers
+
+    rows = views.td(spark, sf).withColumn("category", F.coalesce("category", F.lit("x")))
+    writers.write_training_table(rows, str(tmp_path / "table"))
+    table = writers.read_training_table(spark, str(tmp_path / "table"), rows.schema, F.lit("1998-01-01").cast("date"))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date_day" in plan
+    assert table.count() == rows.filter("date >= '1998-01-01'").count()
+
+
+def test_upsert_leaves_untouched_partitions(spark, tmp_path):
+    import glob
+
+    from ledgerloom.operators import ledger
+
+    path = str(tmp_path / "ledger")
+    ledger.create_table(spark.createDataFrame([(f"u{i}", "t", "A") for i in range(40)], "user_id string, transaction_id string, vendor string"), path, 8)
+    before = set(glob.glob(f"{path}/*/*.parquet"))
+    ledger.upsert_table(path, spark.createDataFrame([("u3", "t", "B"), ("u3", "new", "C")], "user_id string, transaction_id string, vendor string"), AS_OF, buckets=8)
+    after = set(glob.glob(f"{path}/*/*.parquet"))
+    assert len({f.split("/")[-2] for f in before - after}) == 1 and len({f.split("/")[-2] for f in before & after}) >= 5
+    rows = {(r.user_id, r.transaction_id): r.vendor for r in ledger.read_table(spark, path).collect()}
+    assert len(rows) == 41 and rows["u3", "t"] == "B" and rows["u3", "new"] == "C" and rows["u4", "t"] == "A"
+
+
+def test_repeated_changes_of_a_new_row_keep_its_first_notes(spark):
+    from ledgerloom.operators import ledger
+
+    old = spark.createDataFrame([], "user_id string, transaction_id string, vendor string, notes string")
+    batch = spark.createDataFrame([("u", "t", 1, "A", "first"), ("u", "t", 2, "B", "second")], "user_id string, transaction_id string, seq int, vendor string, notes string")
+    row = ledger.upsert(old, batch, AS_OF, ["seq"]).first()
+    assert (row.vendor, row.notes) == ("B", "first")
+
+
+def test_fractions_of_a_second_stay(spark):
+    import datetime as dt
+
+    parsed = spark.createDataFrame(
+        [("m", "i", "u", "1234", "T", dt.datetime(2024, 1, 2, 10, 0, 0, 123456), 5.0, "SHOP", "ok")],
+        "message_id string, id string, user_id string, account string, template_used string, date timestamp_ntz, amount double, vendor string, parse_status string",
+    )
+    row = jobs.stage_transactions(parsed).first()
+    assert row.date == dt.datetime(2024, 1, 2, 10, 0, 0, 123456) and row.errors == []
+
+
+def test_work_folder_is_shared_or_temporary(spark, monkeypatch):
+    from ledgerloom import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Far:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://far:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_path(Far(), "x")
+    path = session.work_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    session.clear_work(spark)
+    import os
+
+    assert not os.path.exists(path)
+
+
 def test_retraining_needs_feedback(spark, sf):
     assert jobs.retrain(spark, views.td(spark, sf), views.fb(spark, sf).limit(0), "/nowhere", "/nowhere", AS_OF) is None
 

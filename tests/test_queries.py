@@ -7,6 +7,9 @@ from tests import oracle
 
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 
+# reports over the last day or week, which may have no rows in the smallest tables
+MAY_BE_EMPTY: set[str] = set()
+
 
 @pytest.fixture(scope="module")
 def con(sf):
@@ -21,8 +24,7 @@ def test_every_check_has_its_query():
 def test_query(name, spark, sf, con):
     if name in CHECKS:
         problem = oracle.compare(spark, con, sf, QUERIES[name], CHECKS[name])
-        # on the smallest tables a report over the last day may have no rows
-        assert problem in (None, "EMPTY"), problem
+        assert problem is None or (problem == "EMPTY" and name in MAY_BE_EMPTY), problem
     else:
         assert QUERIES[name](spark, sf).count() > 0
 
