@@ -259,14 +259,7 @@ def k7_layout(spark, sf):
 @register("k1_partitioned_table", "SELECT transaction_id, user_id, category, date, amount FROM td", [TD_SQL])
 def k1(spark, sf):
     path = work_path(spark, "k1")
-    month = td(spark, sf).withColumn("date_day", F.trunc("date", "month"))
-    (
-        month.hint("rebalance", "date_day")
-        .sortWithinPartitions("date_day", "user_id", "category")
-        .write.mode("append")
-        .partitionBy("date_day")
-        .parquet(path)
-    )
+    writers.write_training_table(td(spark, sf), path)
     return writers.read_training_table(spark, path).select("transaction_id", "user_id", "category", "date", "amount")
 
 

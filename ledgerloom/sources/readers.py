@@ -58,7 +58,9 @@ def scan_ledger(
 ) -> DataFrame:
     """Ledger by users and date range. The limit counts per user, oldest rows first."""
     out = ledger
-    if user_ids:
+    if isinstance(user_ids, DataFrame):  # a list of any length
+        out = out.join(user_ids.select("user_id").distinct(), "user_id", "left_semi")
+    elif user_ids:
         out = out.filter(F.col("user_id").isin(list(user_ids)))
     if start is not None:
         out = out.filter(F.col("date") >= dates.as_clock(start))
