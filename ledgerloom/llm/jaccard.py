@@ -1,15 +1,17 @@
 """Similarity join on word n-grams: documents whose sets of n-grams have a Jaccard similarity of a threshold or more.
 
-Which pairs may reach the threshold is decided by prefixes: with all n-grams in one order, two such documents share one
-among the first ``n - ceil(threshold * n) + 1`` of each. The order is by frequency, rare ones first, so that frequent
-passages and license lines fall out of the prefixes; it only decides how much work is done, not what is found.
-Documents that are chained by shared prefix entries form a family. Within a family, blocks of documents become
-incidence matrices whose products, added up over column blocks, are the overlaps of all pairs; pairs below the bound
-that follows from the two sizes are discarded.
-
-Documents with equal sets are one class, of which one member is compared. Families over ``BLOCK`` documents are compared in
-three steps, so that a large group of copies costs in proportion to its size: inside blocks, then one document of each
-component so found, then, where a family still is in several parts, all pairs of blocks from different parts.
+Which pairs may reach the threshold is decided by prefixes: with all n-grams in one order, two such documents share
+``SHARED`` entries (all of them, if they are shorter) among the first ``n - ceil(threshold * n) + SHARED`` of each. The order
+is by frequency, rare ones first, so that frequent passages and license lines fall out of the prefixes; it only decides how
+much work is done, not what is found. Documents that share too few entries with others of their size are linked with none.
+Documents that share a prefix entry and have sizes near enough form a family; equal families are one. The documents of a
+family become blocks, rows of incidence matrices, whose products, added up over column blocks, are the overlaps of all
+pairs; pairs below the bound that follows from the two sizes are discarded.
+
+Documents with equal sets are one class, of which one member is compared. Each document is first compared in the largest of
+its families. Only families that are not in one component then are compared whole. Families over ``BLOCK`` documents are
+compared in three steps, so that a large group of copies costs in proportion to its size: inside blocks, then one
+document of each component so found, then, where a family still is in several parts, all pairs of blocks from different parts.
 """
 
 from __future__ import annotations
@@ -23,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components, whole_groups
+from ledgerloom.llm.lookup import with_list
 from ledgerloom.session import reliable_checkpoint
 
 WORDS = 4
 PERCENT = 85
 BLOCK = 1024  # documents of an incidence matrix
 COLUMNS = 2048  # columns of it that are multiplied at a time
-FREQUENT = 1 << 18  # frequent n-grams whose order is known; the others count as equally rare
+SHARED = 8  # prefix entries that two linked documents share at least, if they are that long
+FREQUENT = 1 << 21  # frequent n-grams whose order is known; the others count as equally rare
 HELD = 1 << 22  # n-grams of a task that are counted together
-BROADCAST_ROWS = 2_000_000  # a longer list of documents is joined by a shuffle
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -88,7 +91,7 @@ def _frequent_of_task(words: int):
 
         def flush():
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= 3
+            often = times >= 2
             return pd.DataFrame({"gram": values[often].view(np.int64), "times": times[often]})
 
         for frame in frames:
@@ -108,14 +111,22 @@ def frequent_grams(documents: DataFrame, words: int = WORDS) -> tuple[np.ndarray
     """The most frequent n-grams of the corpus, ascending, and the logarithm of how often each was counted: FREQUENT at
     most, which are collected and sent to the tasks."""
     counted = documents.select("text").mapInPandas(_frequent_of_task(words), "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times"))
-    top = counted.where("times >= 8").orderBy(F.desc("times"), "gram").limit(FREQUENT).toPandas()
-    grams = top["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    top = counted.where("times >= 2").orderBy(F.desc("times"), "gram").limit(FREQUENT).toArrow()
+    grams = top["gram"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(grams)
-    return grams[order], np.log2(top["times"].to_numpy(dtype=np.float64)[order] + 1).astype(np.uint8)
+    return grams[order], np.log2(top["times"].to_numpy().astype(np.float64)[order] + 1).astype(np.uint8)
 
 
 def _prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    """So many of the first entries that a linked document shares SHARED of them, or all that the smaller needs to have in common."""
+    needed = -(-percent * n // 100)
+    return n - needed + min(SHARED, needed)
+
+
+def _least_shared(percent: int):
+    """Entries that a document of ``n`` shares with any linked one at least: as _prefix_length has it for the smallest possible partner."""
+    smallest = F.ceil(F.col("n") * percent / 100)
+    return F.least(F.lit(SHARED), F.ceil(smallest * percent / 100))
 
 
 def signatures(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -208,61 +219,96 @@ def _links_of_blocks(percent: int):
     return compare
 
 
-def _compared(blocks: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) inside the groups ``g1, g2, g3`` of rows with ``doc_id, grams``: each document and the first of its component."""
+def _compared(blocks: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) inside the groups ``g1, g2, g3`` of ``blocks`` (with doc_id): each document and the first of its component.
+
+    Sets are made anew from the texts of the wanted documents, and dealt to the groups in one shuffle.
+    """
     keys = ["g1", "g2", "g3"]
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    dealt = blocks.select(*keys, "doc_id", "grams").repartition(*keys).sortWithinPartitions(*keys)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sets = shingle_sets(list(frame["text"]), words)
+            yield frame[["doc_id", *keys]].assign(grams=[s.tobytes() for s in sets])
+
+    blocks = reliable_checkpoint(blocks.select("doc_id", *keys).distinct(), "blocks")
+    texts = with_list(documents.select("doc_id", "text"), blocks)
+    dealt = texts.mapInPandas(gather, f"doc_id {kind}, g1 bigint, g2 bigint, g3 bigint, grams binary")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
     return reliable_checkpoint(dealt.mapInPandas(_links_of_blocks(percent), f"a {kind}, b {kind}"), "links")
 
 
+def _size_class(percent: int):
+    """Classes of set sizes: linked documents are in the same or in neighbouring ones. A little wider than the threshold, for rounding."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * (1 + 1e-6)))).cast("int")
+
+
 def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``label`` for each doc_id: the smallest of its component."""
     found = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
     return rows.join(found, "doc_id", "left").withColumn("label", F.coalesce("_c", "doc_id")).drop("_c")
 
 
-def _family_links(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges between documents of a family (``doc_id, family, n, grams``) that lead to the same components as all links."""
+def _family_links(narrow: DataFrame, documents: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Edges between documents of a family (``doc_id, family, n``) that lead to the same components as all links."""
 
-    def salt(count: str | F.Column):
+    def salt(count: str):
         return F.pmod(F.xxhash64("doc_id", "n"), F.ceil(F.col(count) / block).cast("bigint"))
 
-    sizes = members.groupBy("family").agg(F.count("*").alias("_size"))
-    sized = members.join(sizes, "family")
-    first = _compared(sized.select("doc_id", "grams", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(0).alias("g3")), percent)
-    large = sized.where(F.col("_size") > block)
+    sizes = narrow.groupBy("family").agg(F.count("*").alias("_size"))
+    sized = reliable_checkpoint(narrow.join(sizes.where("_size > 1"), "family"), "sized")
+    first = _compared(sized.select("doc_id", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(0).cast("bigint").alias("g3")), documents, words, percent)
+    large = sized.where(F.col("_size") > block).drop("_size")
     if large.limit(1).count() == 0:
         return first
     # one document of each component of a block
-    labelled = _labelled(large.drop("_size"), first)
-    heads = labelled.where(F.col("label") == F.col("doc_id"))
+    heads = _labelled(large, first).where(F.col("label") == F.col("doc_id"))
     counts = heads.groupBy("family").agg(F.count("*").alias("_size"))
-    second = _compared(heads.join(counts, "family").select("doc_id", "grams", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(1).alias("g3")), percent)
+    second = _compared(heads.join(counts, "family").select("doc_id", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(1).cast("bigint").alias("g3")), documents, words, percent)
     edges = first.unionByName(second)
     # families that are still in several parts: blocks of equal size class of large parts, and of all the small ones together
-    labelled = _labelled(large.drop("_size"), edges)
+    labelled = reliable_checkpoint(_labelled(large, edges), "labelled")
     parts = labelled.groupBy("family", "label").agg(F.count("*").alias("_part"))
     open_families = parts.groupBy("family").count().where("count > 1").select("family")
-    labelled = reliable_checkpoint(labelled.join(open_families, "family").join(parts, ["family", "label"]), "parts")
-    part = F.when(F.col("_part") > block, F.col("label"))  # null: small parts
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    classed = labelled.withColumn("_of", part).withColumn("_class", step)
-    per_block = classed.groupBy("family", "_of", "_class").agg(F.count("*").alias("_size")).withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
-    same = (F.col("family") == F.col("_f")) & F.col("_of").eqNullSafe(F.col("_o")) & (F.col("_class") == F.col("_k"))
-    keyed = per_block.select(F.col("family").alias("_f"), F.col("_of").alias("_o"), F.col("_class").alias("_k"), "_blocks")
-    classed = classed.join(keyed, same).drop("_f", "_o", "_k").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n"), F.col("_blocks")))
-    blocks = per_block.select("family", "_of", "_class", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_salt"))
-    blocks = blocks.withColumn("_name", F.xxhash64("family", F.coalesce(F.col("_of").cast("string"), F.lit("")), "_class", "_salt"))
-    other = blocks.select(F.col("family").alias("_f"), F.col("_of").alias("_o"), F.col("_class").alias("_k"), F.col("_name").alias("_m"))
-    apart = F.col("_of").isNull() | ~F.col("_of").eqNullSafe(F.col("_o"))
-    near = (F.col("family") == F.col("_f")) & (F.abs(F.col("_class") - F.col("_k")) <= 1) & apart
-    # each pair once for both of its blocks: the pair is named by the smaller and the larger name
-    pairs = blocks.join(other, near).select("family", "_of", "_class", "_salt", F.least("_name", "_m").alias("g2"), F.greatest("_name", "_m").alias("g3"))
-    here = (F.col("family") == F.col("_f")) & F.col("_of").eqNullSafe(F.col("_o")) & (F.col("_class") == F.col("_k")) & (F.col("_salt") == F.col("_s"))
-    pairs = pairs.distinct().select(F.col("family").alias("_f"), F.col("_of").alias("_o"), F.col("_class").alias("_k"), F.col("_salt").alias("_s"), "g2", "g3")
-    dealt = classed.join(pairs, here).select("doc_id", "grams", F.col("family").alias("g1"), "g2", "g3")
-    return edges.unionByName(_compared(dealt, percent))
+    parted = labelled.join(open_families, "family", "left_semi").join(parts, ["family", "label"])
+    # "of": the large part, or nothing for small parts
+    part = F.when(F.col("_part") > block, F.col("label").cast("string")).otherwise("")
+    classed = parted.withColumn("_of", part).withColumn("_class", _size_class(percent))
+    keys = ["family", "_of", "_class"]
+    per_block = classed.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    classed = classed.join(per_block, keys).withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n"), F.col("_blocks").cast("bigint")))
+    blocks = per_block.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks").cast("bigint") - 1)))
+    blocks = reliable_checkpoint(blocks.select(*keys, "_salt", F.xxhash64(*keys, "_salt").alias("_name")), "block_names")
+    other = blocks.select("family", F.col("_of").alias("_o"), F.col("_class").alias("_k"), F.col("_name").alias("_m"))
+    # each block takes part in its pairs, which both of their blocks name alike; equal and next size classes only, and
+    # not two blocks of one large part
+    near = (F.abs(F.col("_class") - F.col("_k")) <= 1) & ((F.col("_of") == "") | (F.col("_of") != F.col("_o")))
+    pairs = blocks.join(other, "family").where(near).select(*keys, "_salt", F.least("_name", "_m").alias("g2"), F.greatest("_name", "_m").alias("g3"))
+    dealt = classed.join(pairs.distinct(), [*keys, "_salt"]).select("doc_id", F.col("family").alias("g1"), "g2", "g3")
+    return edges.unionByName(_compared(dealt, documents, words, percent))
+
+
+def _families(heads: DataFrame, percent: int) -> DataFrame:
+    """``family, size, doc_id, n``: sets of documents that share a prefix entry and are of neighbouring size classes.
+
+    Families are named by a hash of their members, so that entries with the same documents make one family. Two documents
+    whose sizes rule a link out are none.
+    """
+    entries = heads.select("doc_id", "n", F.explode("prefix").alias("gram"))
+    lists = entries.groupBy("gram").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").select("gram")
+    shared = entries.join(lists, "gram").distinct()
+    classed = shared.withColumn("_class", _size_class(percent)).withColumn("_band", F.explode(F.array(F.col("_class"), F.col("_class") - 1)))
+    classed = reliable_checkpoint(classed.drop("_class"), "shared")
+    # documents that share too few entries with others of their size are linked with none
+    met = classed.join(classed.groupBy("gram", "_band").count().where("count > 1").select("gram", "_band"), ["gram", "_band"])
+    enough = met.groupBy("doc_id", "n").agg(F.count_distinct("gram").alias("_met")).where(F.col("_met") >= _least_shared(percent)).select("doc_id", "n")
+    classed = reliable_checkpoint(met.join(enough, ["doc_id", "n"]), "met")
+    named = classed.groupBy("gram", "_band").agg(
+        F.bit_xor(F.xxhash64("doc_id", "n")).alias("family"), F.count("*").alias("size"), F.min("n").alias("_small"), F.max("n").alias("_big")
+    )
+    named = named.where(f"size > 2 OR size = 2 AND 100 * _small >= {percent} * _big").select("gram", "_band", "family", "size")
+    return reliable_checkpoint(classed.join(named, ["gram", "_band"]).select("family", "size", "doc_id", "n").distinct(), "families")
 
 
 def similarity_join(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -274,25 +320,19 @@ def similarity_join(documents: DataFrame, words: int = WORDS, percent: int = PER
     signed = reliable_checkpoint(signatures(documents, frequent_grams(documents, words), words, percent), "signatures")
     used = signed.where("doc_id IS NOT NULL AND n > 0")
     classes = reliable_checkpoint(used.groupBy("high", "low").agg(F.min("doc_id").alias("head")), "classes")
-    heads = used.join(classes, (used["doc_id"] == classes["head"]) & (used["high"] == classes["high"]) & (used["low"] == classes["low"]), "left_semi")
-    entries = heads.select("doc_id", F.explode("prefix").alias("gram"))
-    lists = entries.groupBy("gram").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most").select("gram", "_least")
-    chained = entries.join(lists, "gram").where("doc_id <> _least").select(F.col("doc_id").alias("a"), F.col("_least").alias("b")).distinct()
-    families = components(chained)
-    families = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
-    families = reliable_checkpoint(families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-    few = families.count() <= BROADCAST_ROWS
-    texts = documents.select("doc_id", "text").join(F.broadcast(families) if few else families, "doc_id")
-
-    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = shingle_sets(list(frame["text"]), words)
-            kept = pd.DataFrame({"doc_id": frame["doc_id"], "family": frame["family"], "n": [len(s) for s in sets], "grams": [s.tobytes() for s in sets]})
-            yield kept[kept["n"] > 0]
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    members = texts.mapInPandas(gather, f"doc_id {kind}, family {kind}, n int, grams binary")
-    edges = _family_links(reliable_checkpoint(members, "members"), percent, block)
+    first = classes.select(F.col("head").alias("doc_id"), F.col("high").alias("_high"))
+    heads = with_list(used.select("doc_id", "n", "high", "prefix"), first).where("high = _high")
+    families = _families(heads, percent)
+
+    # each document in the largest of its families
+    largest = families.groupBy("doc_id", "n").agg(F.max(F.struct("size", "family")).alias("_f")).select("doc_id", "n", "_f.family")
+    texts = documents.select("doc_id", "text")
+    edges = _family_links(largest, texts, words, percent, block)
+    # families that are not in one component yet
+    labelled = _labelled(families.select("doc_id", "n", "family"), edges)
+    several = labelled.groupBy("family").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most").select("family")
+    rest = reliable_checkpoint(labelled.join(several, "family", "left_semi").select("doc_id", "n", "family"), "rest")
+    edges = edges.unionByName(_family_links(rest, texts, words, percent, block))
     found = components(edges).select(F.col("node").alias("head"), F.col("component").alias("_component"))
     classes = classes.join(found, "head", "left").select("high", "low", F.coalesce("_component", "head").alias("_component"))
     own = signed.select("doc_id", "n", "high", "low").join(classes, ["high", "low"], "left")
