@@ -24,7 +24,7 @@ from ledgerloom.session import reliable_checkpoint
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
-ROWS_PER_GROUP = 50_000  # pieces of one length that one task numbers
+ROWS_PER_GROUP = 2_000  # pieces of one length that one task numbers
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -41,7 +41,7 @@ def cut_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = tokens.encoder(vocabulary, folder)
         for frame in frames:
-            rows = [(d, *p) for d, t in zip(frame["doc_id"], frame["text"]) for p in pieces_of(np.append(of(t), np.int32(END_ID)), capacity)]
+            rows = [(d, *p) for d, ids in zip(frame["doc_id"], of.many(frame["text"])) for p in pieces_of(np.append(ids, np.int32(END_ID)), capacity)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -154,24 +154,37 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
 
     Null and empty texts are one piece, the end id. Repeated rows are packed as often as they occur. An empty table gives an
     empty one. Documents of more than ``capacity`` tokens are cut into full pieces and a rest. The counts by length, at most
-    ``capacity`` rows, come to the driver, and the plan made of them is broadcast: each entry of it uses up a length or a
+    ``capacity`` rows, come to the driver, and the plan made of them goes to the tasks: each entry of it uses up a length or a
     set of equal sequences, so its size depends on ``capacity`` only.
     """
     spark = documents.sparkSession
     pieces = reliable_checkpoint(cut_pieces(documents, capacity, vocabulary, folder), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    places = spark.createDataFrame(Plan(counts, capacity).places(), "_length bigint, _first bigint, _last bigint, _sequence bigint, _each bigint, _offset bigint")
-    groups = max(1, -(-sum(counts.values()) // ROWS_PER_GROUP))
-    salted = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    plan = np.array(sorted(Plan(counts, capacity).places()), dtype=np.int64).reshape(-1, 6)
+    sent = spark.sparkContext.broadcast(plan)
+    # frequent lengths are numbered in several groups; there are at most `capacity` of them
+    often = [F.lit(x) for n, c in sorted(counts.items()) if c > ROWS_PER_GROUP for x in (n, -(-c // ROWS_PER_GROUP))]
+    groups = F.coalesce(F.try_element_at(F.create_map(*often), F.col("length")), F.lit(1)) if often else F.lit(1)
+    salted = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), groups.cast("bigint")))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("length", "_group").agg(F.count("*").alias("_n")).select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     in_group = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.withColumn("_in_group", F.row_number().over(in_group) - 1).join(firsts, ["length", "_group"]).withColumn("_number", F.col("_before") + F.col("_in_group"))
-    on = (F.col("length") == F.col("_length")) & (F.col("_number") >= F.col("_first")) & (F.col("_number") < F.col("_last"))
-    placed = numbered.join(F.broadcast(places), on)
-    turn = F.col("_number") - F.col("_first")
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("_sequence") + F.floor(turn / F.col("_each"))).alias("sequence_id"),
-        (F.col("_offset") + F.pmod(turn, F.col("_each")) * F.col("length")).alias("offset"),
-    )
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lengths, firsts, _, sequences, each, offsets = sent.value.T
+        for frame in frames:
+            length, number = frame["length"].to_numpy(), frame["_number"].to_numpy()
+            at = np.zeros(len(frame), dtype=np.int64)
+            for n in np.unique(length):  # entries of a length are in order of their first numbers
+                low, high = np.searchsorted(lengths, [n, n + 1])
+                own = length == n
+                at[own] = low + np.searchsorted(firsts[low:high], number[own], side="right") - 1
+            turn = number - firsts[at]
+            yield frame.drop(columns="_number").assign(sequence_id=sequences[at] + turn // each[at], offset=offsets[at] + turn % each[at] * length)
+
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    narrow = numbered.select(F.col("doc_id").cast("string").alias("doc_id"), *columns[1:], "_number")
+    placed = narrow.mapInPandas(place, f"doc_id string, {PIECES}, sequence_id bigint, offset bigint")
+    return placed.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -8,11 +8,14 @@ the ids of the text. Stretches recur; a worker encodes each once and remembers i
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 REMEMBERED = 1_200_000
+TOGETHER = 50_000  # stretches that are looked up at a time
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -34,13 +37,20 @@ def tokenizer(name: str, folder: str | None = None):
     return loaded
 
 
-def _safe_end(character: str) -> bool:
-    """Whether a stretch may begin or end with it: no white space by any definition, no mark that joins what is before it."""
-    return character.isalnum() if character > "\x7f" else "!" <= character <= "~"
+# Fixed values of the tokenizers' rules, cautiously: characters that are surely no white space and join nothing before
+# them, letters, and signs but the apostrophe, with which a letter can be one token.
+_VISIBLE = r"!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_LETTER = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF"
+_SIGN = r"!-&(-/:-@\[-`{-~"
+# a space where a text may not be cut: what is before or after it is not surely visible
+_DOUBTFUL = re.compile(f" (?:(?<![{_VISIBLE}] )|(?![{_VISIBLE}]))")
+# a stretch of words, signs and single line ends, and its parts
+_PLAIN = re.compile(f" ?[{_LETTER}{_SIGN}]+(?:\n[{_LETTER}{_SIGN}]+)*")
+_PARTS = re.compile(f" ?[{_LETTER}]+| ?[{_SIGN}]+|\n")
 
 
 class Encoder:
-    """Ids of texts, remembered by stretch."""
+    """Ids of texts, remembered by stretch; a new stretch is put together from remembered parts where that is safe."""
 
     def __init__(self, name: str, folder: str | None = None):
         self.library = tokenizer(name, folder)
@@ -48,51 +58,85 @@ class Encoder:
 
     def _clear(self) -> None:
         self.memo: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int32)  # of all stretches, one after the other
-        self.starts, self.sizes = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)  # of each stretch
+        self.ids = np.zeros(1 << 16, dtype=np.int32)  # of all that is remembered, one after the other
+        self.starts, self.sizes = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
         self.used = 0
 
-    def _learn(self, stretches: list[str]) -> None:
-        for encoded, stretch in zip(self.library.encode_batch_fast(stretches, add_special_tokens=False), stretches):
-            ids, n = encoded.ids, len(self.memo)
-            if n == len(self.starts):
-                self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.append(self.ids, np.zeros_like(self.ids))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.memo[stretch], self.starts[n], self.sizes[n] = n, self.used, len(ids)
-            self.used += len(ids)
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self.memo), len(ids)
+        while n + len(names) > len(self.starts):
+            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
+        while self.used + total > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.used : self.used + total] = ids
+        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[n : n + len(names)] = sizes
+        self.memo.update(zip(names, range(n, n + len(names))))
+        self.used += total
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember new stretches: parts that are new come from the library, the stretches from their parts."""
+        cut = [_PARTS.findall(s) if _PLAIN.fullmatch(s) else [s] for s in new]
+        unknown = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.memo))
+        found = [e.ids for e in self.library.encode_batch_fast(unknown, add_special_tokens=False)]
+        self._keep(unknown, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
+        several = [i for i, parts in enumerate(cut) if len(parts) > 1]
+        if several:
+            at = np.array([self.memo[p] for i in several for p in cut[i]], dtype=np.int64)
+            ends = np.append(0, np.cumsum(self.sizes[at]))
+            last = np.cumsum([len(cut[i]) for i in several])
+            self._keep([new[i] for i in several], self._gathered(at), np.diff(np.append(0, ends[last])))
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of what is remembered at these places, one after the other."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
     @staticmethod
     def stretches(text: str) -> list[str]:
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        out = [parts[0]] + [" " + p for p in parts[1:]]
-        if all(p and _safe_end(p[0]) and _safe_end(p[-1]) for p in parts):
-            return out
-        joined = [out[0]]
-        for before, part, stretch in zip(parts, parts[1:], out[1:]):
-            if before and part and _safe_end(before[-1]) and _safe_end(part[0]):
-                joined.append(stretch)
-            else:
-                joined[-1] += stretch
-        return joined
+        """Parts of a text, cut before each space that is surely single and between visible characters."""
+        if not _DOUBTFUL.search(text):
+            first, *rest = text.split(" ")
+            return [first, *map(" ".__add__, rest)]
+        out, begin = [], 0
+        doubtful = {m.start() for m in _DOUBTFUL.finditer(text)}
+        for at in [m.start() for m in re.finditer(" ", text)]:
+            if at not in doubtful:
+                out.append(text[begin:at])
+                begin = at
+        return [*out, text[begin:]]
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The ids of one text; none for null and empty texts."""
-        if not text:
-            return np.zeros(0, dtype=np.int32)
+        return next(self.many([text]))
+
+    def many(self, texts) -> Iterator[np.ndarray]:
+        """The ids of each text, looked up for many texts at a time."""
+        held: list[str] = []
+        counts: list[int] = []
+        for text in texts:
+            new = self.stretches(text) if text else []
+            held += new
+            counts.append(len(new))
+            if len(held) >= TOGETHER:
+                yield from self._looked_up(held, counts)
+                held, counts = [], []
+        yield from self._looked_up(held, counts)
+
+    def _looked_up(self, stretches: list[str], counts: list[int]) -> list[np.ndarray]:
         if len(self.memo) > REMEMBERED or self.used > 8 * REMEMBERED:
             self._clear()
-        stretches = self.stretches(text)
-        new = [s for s in dict.fromkeys(stretches) if s not in self.memo]
-        if new:
-            self._learn(new)
-        places = np.array([self.memo[s] for s in stretches], dtype=np.int64)
-        sizes = self.sizes[places]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1])]
+        places = list(map(self.memo.get, stretches))
+        if None in places:
+            missing = [i for i, p in enumerate(places) if p is None]
+            self._learn(list(dict.fromkeys([stretches[i] for i in missing])))
+            for i in missing:
+                places[i] = self.memo[stretches[i]]
+        at = np.array(places, dtype=np.int64)
+        ids = self._gathered(at)
+        ends = np.append(0, np.cumsum(self.sizes[at]))[np.append(0, np.cumsum(counts)).astype(np.int64)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=2)

@@ -162,9 +162,9 @@ def write_shards(documents: DataFrame, path: str, vocabulary: str = VOCABULARY,
             return pd.DataFrame({"part": [part], "seq": [seq], "n_tokens": [held], "shard": [data]})
 
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            for doc_id, own in zip(frame["doc_id"], of.many(frame["text"])):
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                ids.append(np.append(of(text), np.int32(END_ID)))
+                ids.append(np.append(own, np.int32(END_ID)))
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:
                     yield shard()
