@@ -1,13 +1,8 @@
-import random
-
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-
+from corpus_helpers import prose
 
-def prose(seed, words, letters="etaoinshrdlu"):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(words))
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 @pytest.fixture(scope="session")
@@ -42,7 +37,3 @@ def clashing(odd):
 
     names = ["size", "key", "row", "id", "body", "copies", "_d", "_s", "_row", "taken", "family", "gram", "anchor", "piece", "score", "rank", "count", "order"]
     return odd.withColumns({n: F.lit(n) for n in names})
-
-
-def same(a, b):
-    return sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from conftest import prose, same
+from corpus_helpers import prose, same
 from ledgerloom.llm import components, jaccard, language, mixing, packing, suffixes, tokens, toxicity, wavelet
 
 

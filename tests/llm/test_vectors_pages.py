@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from conftest import same
+from corpus_helpers import same
 from ledgerloom.llm import exact_search, neighbours, pages, queries
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
