@@ -115,9 +115,11 @@ def _prototypes_of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
             own = langs[group]
             found = sorted(set(own))
             by_lang = np.stack([counts[own == lang].sum(axis=0, dtype=np.float64) for lang in found])
-            vectors = by_lang @ trigram_vectors(parts).astype(np.float64)
+            # whole numbers: single precision is exact below 2 ** 24
+            kind = np.float32 if by_lang.sum(axis=1).max() < 1 << 24 else np.float64
+            vectors = by_lang.astype(kind) @ trigram_vectors(parts).astype(kind)
             for lang, vector in zip(found, vectors):
-                sums[lang] = sums.get(lang, 0) + vector
+                sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
     if sums:
         yield pd.DataFrame({"lang": list(sums), "vector": [v.astype(np.int64) for v in sums.values()]})
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000  # about 100 MB of a worker, which keeps them while it runs other stages
 TOGETHER = 50_000  # stretches that are looked up at a time
 
 
