@@ -115,10 +115,10 @@ def pareto_mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_copies
         ranges.withColumn("_missing", F.col("target") - F.sum("_certain").over(Window.partitionBy("_s")))
         .where(F.col("_range").isNotNull())
         .withColumn("_start", F.sum("_words").over(by_range) - F.col("_words"))
-        .where((F.col("_start") < F.col("_missing")) & (F.col("_start") + F.col("_words") > F.col("_missing")))
+        .where((F.col("_start") < F.col("_missing")) & (F.col("_start") + F.col("_words") >= F.col("_missing")))
         .select("_s", F.col("_range").alias("_cut"), "_start", "_missing")
     )
-    # no cut: the missing words are all the words there are, or none
+    # no cut: none are missing, or more than there are
     missing = ranges.groupBy("_s").agg((F.first("target") - F.sum("_certain")).alias("_left"))
     cut = missing.join(cuts, "_s", "left")
     marked = ranked.join(cut, "_s")

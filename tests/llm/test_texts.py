@@ -58,6 +58,22 @@ def test_mix_of_nothing_and_with_clashing_columns(nothing, odd, clashing):
     assert same(mixed.select(*odd.columns), mixing.mix_documents(odd))
 
 
+def test_mix_cut_at_the_end_of_a_range_equals_its_sql(spark, tmp_path):
+    import oracle
+    from ledgerloom.llm import queries
+
+    # documents of equal length, each in a range of its own: the words missing are those of the first ranges exactly
+    docs = spark.range(18).selectExpr("id AS doc_id", "'one two three four five six seven eight nine ten' AS text", "substr('abc', 1 + cast(id / 6 AS int), 1) AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(spark, con, str(tmp_path), queries.QUERIES["op1_pareto_mix"], queries.MIX_SQL) is None
+    taken = Counter()
+    for r in mixing.pareto_mix(mixing.sized_documents(docs)).collect():
+        taken[r["source"]] += r["taken"]
+    assert taken == {"a": 120, "b": 50, "c": 100}
+
+
 # toxicity
 
 
