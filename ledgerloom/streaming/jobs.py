@@ -134,18 +134,34 @@ def compact(spark: SparkSession, path: str, as_of, order: list[str]) -> None:
 # ----------------------------------------------------------------------------------------------- metrics
 
 
-def hourly_metrics(predictions: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Predictions and mean confidence per closed hour and model."""
-    timed = predictions.withColumn("_at", F.col("created_at").cast("timestamp")).withWatermark("_at", late)
-    return timed.groupBy(F.window("_at", "1 hour").alias("w"), "model_version").agg(
-        F.count("*").alias("predictions"), F.avg("prediction_confidence").alias("avg_confidence")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "model_version", "predictions", "avg_confidence")
-
-
-def start_hourly_metrics(predictions: DataFrame, out: str, checkpoint: str, late: str = "1 hour", once: bool = True,
-                         interval: str = "10 minutes"):
-    writer = hourly_metrics(predictions, late).writeStream.outputMode("append").format("parquet").option("path", out)
-    return _run(writer, checkpoint, once, interval)
+def hourly_parts(predictions: DataFrame) -> DataFrame:
+    """Counts and confidence sums per hour and model; parts of the same hour and model can be added."""
+    at = F.col("created_at").cast("timestamp")
+    return predictions.groupBy(F.date_trunc("hour", at).cast("timestamp_ntz").alias("hour"), "model_version").agg(
+        F.count("*").alias("predictions"), F.count("prediction_confidence").alias("confidences"),
+        F.sum("prediction_confidence").alias("confidence_sum"), F.max(at.cast("timestamp_ntz")).alias("newest"),
+    )
+
+
+def start_hourly_metrics(predictions: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
+    """Collect predictions, one folder per batch with its counts and sums per hour and model. There is no watermark, so
+    no prediction is too late."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        hourly_parts(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _run(predictions.writeStream.foreachBatch(save), checkpoint, once, interval)
+
+
+def read_hourly_metrics(spark: SparkSession, out: str, late: str = "1 hour") -> DataFrame:
+    """Predictions and mean confidence per closed hour and model, of all batches so far. An hour is closed when the newest
+    prediction is ``late`` past its end; predictions that come after that are still counted in it."""
+    parts = spark.read.parquet(out)
+    newest = parts.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_closed"))
+    closed = parts.join(newest, F.col("hour") + F.expr("INTERVAL 1 HOUR") <= F.col("_closed"))
+    return closed.groupBy("hour", "model_version").agg(
+        F.sum("predictions").alias("predictions"), (F.sum("confidence_sum") / F.sum("confidences")).alias("avg_confidence")
+    )
 
 
 def category_counts(rows: DataFrame) -> DataFrame:

@@ -162,6 +162,21 @@ def test_repeated_stream_batch_changes_nothing(spark, sf):
     assert rows(streams.current_ledger(spark, path, AS_OF, ["seq"])) == want
 
 
+def test_late_predictions_are_counted_in_their_hour(spark):
+    ddl = "created_at string, model_version string, prediction_confidence double"
+    path, out, state = (work_path(spark, f"late-{n}") for n in ("in", "out", "state"))
+    batches = [
+        [("2024-01-01 10:05:00", "m1", 0.5), ("2024-01-01 15:00:00", "m1", 0.9), ("2024-01-01 14:00:00", "m1", 0.7)],
+        [("2024-01-01 10:10:00", "m1", 0.7), ("2024-01-01 10:59:59", "m2", None), ("2024-01-01 13:59:59", "m1", 0.4), (None, "m1", 0.1)],
+    ]
+    for batch in batches:
+        df = spark.createDataFrame(batch, ddl).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(path)
+        streams.start_hourly_metrics(streams.read_stream(spark, path, df.schema), out, state).awaitTermination()
+    got = {(r.hour.hour, r.model_version): (r.predictions, r.avg_confidence) for r in streams.read_hourly_metrics(spark, out).collect()}
+    assert got == {(10, "m1"): (2, pytest.approx(0.6)), (10, "m2"): (1, None), (13, "m1"): (1, pytest.approx(0.4))}
+
+
 def test_folded_changes_equal_applying_them_in_turn(spark):
     ddl = "user_id string, transaction_id string, vendor string, amount double, predicted_category string, model_version string, seq int"
     old = spark.createDataFrame([("u", "1", "old", 1.0, "a", "m1", 0), ("u", "2", "old", 1.0, "a", "m1", 0)], ddl).drop("seq")
