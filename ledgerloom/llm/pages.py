@@ -30,6 +30,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+TO_THE_END = frozenset("script style title textarea iframe".split())  # of the first kind: raw text, which unclosed goes on to the end of the page
+SELF_CLOSED = frozenset(["svg", "math"])  # of the first kind: complete with "/>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {  # an opening tag ends these, up to the container
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -44,10 +46,11 @@ APART_WORDS = frozenset(
 MAIN_WORDS = "article body content entry main post story text page".split()
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(.*?)(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][a-z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)",
-    re.I | re.S,
+    re.I | re.S | re.A,
 )
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW.split("|")}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -83,15 +86,26 @@ def blocks(page: str | None) -> tuple[list[Block], str]:
             text.clear()
         linked = 0
 
-    for match in _TOKEN.finditer(page or ""):
-        raw, inside, end, tag, attributes, end2, tag2, attributes2, plain = match.groups()
+    page, at, unclosed = page or "", 0, set()
+    while match := _TOKEN.match(page, at):
+        at = match.end()
+        raw, raw_attributes, end, tag, attributes, end2, tag2, attributes2, plain = match.groups()
         if plain is not None:
             text.append(plain)
             if in_link:
                 linked += len(plain)
             continue
         if raw is not None:
-            if raw.lower() == "title" and not title:
+            raw = raw.lower()
+            if raw in SELF_CLOSED and raw_attributes.endswith("/"):
+                continue
+            ended = None if raw in unclosed else _END[raw].search(page, at)
+            if ended is None:
+                unclosed.add(raw)  # nor is there an end for later ones
+                if raw not in TO_THE_END:
+                    continue
+            inside, at = (page[at : ended.start()], ended.end()) if ended else (page[at:], len(page))
+            if raw == "title" and not title:
                 title = _SPACE.sub(" ", html.unescape(inside)).strip()
             continue
         if tag is None:
@@ -331,7 +345,8 @@ def extract(pages: DataFrame, chain: Chain) -> DataFrame:
 
     A null or empty page, one without text and one without main text give an empty text. Character references are
     decoded, white space inside a block is one space, blocks are joined in page order by one space; nothing else is
-    changed or cut. Repeated rows stay. Broken markup is read as far as it goes: an unclosed comment or script ends with the page.
+    changed or cut. Repeated rows stay. Broken markup is read as far as it goes: an unclosed comment,
+    script, style, title, textarea or iframe ends with the page, of other unclosed elements only the tag is left out.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

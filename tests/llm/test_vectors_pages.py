@@ -94,6 +94,29 @@ def test_blocks_of_a_page():
     assert found[0][2] == 4 and "t:nav" in found[1][0] and "c:ad" in found[2][0] and "t:ul" not in found[2][0]
 
 
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<svg viewBox=\"0 0 1 1\"/>", "<math />", "<SVG/>", "<video-player src='a'></video-player>", "<title-bar></title-bar>", "<button-group>", "<select:x>",
+        "<video src=a>", "<button>", "<template>", "<noscript>", "<object data=a />", "<script>var a</script >", "<script>var a</script x>", "<style>p {}</STYLE\n>",
+        "<svg><path d='M0'/></svg>", "<iframe src=a></iframe>", "<textarea>no</textarea>",
+    ],
+)
+def test_text_after_an_element_without_text_stays(markup):
+    found, title = pages.blocks(f"<title>A tale</title><p>Before.</p>{markup}<p>Once.</p>{markup}<p>Ended.</p>")
+    assert [t for _, t, _ in found] == ["Before.", "Once.", "Ended."] and title == "A tale"
+    if markup != "<video src=a>":
+        later = "<svg><text>no</text></svg><video>no</video>"
+        assert [t for _, t, _ in pages.blocks(f"<p>Before.</p>{markup}<p>Once.</p>{later}")[0]] == ["Before.", "Once."]
+
+
+def test_raw_text_without_an_end_goes_on_to_the_end_of_the_page():
+    for name in ("script", "style", "textarea", "iframe", "title"):
+        assert [t for _, t, _ in pages.blocks(f"<p>Before.</p><{name}><p>no</p>")[0]] == ["Before."]
+    found, _ = pages.blocks("<button><p>a" * 20_000)  # each is looked up once
+    assert len(found) == 20_000
+
+
 @pytest.fixture(scope="module")
 def chain(spark):
     return pages.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), 60)
