@@ -13,7 +13,9 @@ from .views import AS_OF, FB_SQL, PRED_SQL, TD_SQL, TX_SQL, USR_SQL, fb, pred, t
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
-# Small trees: the registered queries show that the flow is whole and repeatable.
+FULL = model.Settings(as_of=AS_OF)
+
+# Small trees for tests that fit several models.
 SMALL = model.Settings(
     trees=8, depth=6, as_of=AS_OF,
     sizes={"vendor": 256, "vendor_cleaned": 256, "cleaned_metaphone": 256, "template_used": 128, "account": 256, "day": 64,
@@ -31,15 +33,15 @@ def _labelled(spark, sf):
 
 def _trained(spark, sf):
     rows = sampling.split_by_time(sampling.with_weights(_labelled(spark, sf)))
-    return model.fit(rows.filter("is_train"), rows.filter("NOT is_train"), SMALL)
+    return model.fit(rows.filter("is_train"), rows.filter("NOT is_train"), FULL)
 
 
 @register("m1_feature_vectors", "SELECT transaction_id, true AS unit_blocks FROM td", [TD_SQL])
 def m1(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
-    rows = model.feature_frame(td(spark, sf), SMALL)
-    vectors = model.fit_features(rows, SMALL).transform(rows)
+    rows = model.feature_frame(td(spark, sf), FULL)
+    vectors = model.fit_features(rows, FULL).transform(rows)
     block = vector_to_array("template_used_unit")
     norm = F.aggregate(F.transform(block, lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
     return vectors.select("transaction_id", (F.abs(norm - 1) < 1e-9).alias("unit_blocks"))
@@ -60,7 +62,7 @@ def m2(spark, sf):
 )
 def m3(spark, sf):
     trained = _trained(spark, sf)
-    scored = model.score(trained.model, _labelled(spark, sf), "transaction_model_v1", SMALL)
+    scored = model.score(trained.model, _labelled(spark, sf), "transaction_model_v1", FULL)
     labels = F.col("category").isNotNull() & F.col("subcategory").isNotNull()
     fits = (F.col("confidence") > 0) & (F.col("confidence") <= 1)
     return scored.select("transaction_id", labels.alias("has_labels"), fits.alias("confidence_fits"), "source", "model_version")
@@ -78,7 +80,7 @@ def m4(spark, sf):
 
     trained = _trained(spark, sf)
     empty = spark.createDataFrame([], schemas.struct(schemas.TRANSACTION_DDL))
-    loaded = jobs.ingest(_requests(spark, sf), empty, lambda rows: model.score(trained.model, rows, "transaction_model_v1", SMALL), AS_OF)
+    loaded = jobs.ingest(_requests(spark, sf), empty, lambda rows: model.score(trained.model, rows, "transaction_model_v1", FULL), AS_OF)
     has_category = F.col("predicted_category").isNotNull().alias("has_category")
     return loaded.ledger.select("transaction_id", "user_id", "vendor_cleaned", "date", has_category, "model_version")
 
@@ -95,7 +97,7 @@ def m6(spark, sf):
     path = work_path(spark, "m6")
     known = registry(spark, sf).withColumn("updated_at", F.col("created_at"))
     known.write.parquet(f"{path}/registry")
-    jobs.retrain(spark, _labelled(spark, sf), fb(spark, sf), f"{path}/registry", f"{path}/models", AS_OF, settings=SMALL)
+    jobs.retrain(spark, _labelled(spark, sf), fb(spark, sf), f"{path}/registry", f"{path}/models", AS_OF, settings=FULL)
     return spark.read.parquet(f"{path}/registry").select("model_id", "version", "status", "traffic_percentage")
 
 
@@ -108,14 +110,14 @@ def m10(spark, sf):
     from ..functions import text
 
     trained = _trained(spark, sf)
-    scored = model.score_distinct(trained.model, _labelled(spark, sf), "transaction_model_v1", SMALL)
+    scored = model.score_distinct(trained.model, _labelled(spark, sf), "transaction_model_v1", FULL)
     key = text.score_key(F.col("vendor"), F.lit(None).cast("string"), F.col("amount"), F.col("template_used"))
     return scored.agg(F.count("*").alias("n"), F.count("category").alias("scored"), F.count_distinct(key).alias("keys"))
 
 
 @register("b4_trained_report")
 def b4(spark, sf):
-    return jobs.train(_labelled(spark, sf), SMALL).report("category")
+    return jobs.train(_labelled(spark, sf), FULL).report("category")
 
 
 @register(

@@ -198,6 +198,23 @@ def test_model_is_repeatable_and_beats_the_majority(spark, sf):
     assert one.accuracy().filter("target = 'category'").first().accuracy > top
 
 
+def test_model_queries_run_with_the_default_sizes(spark, sf, monkeypatch):
+    from ledgerloom.plans import checks_jobs
+
+    used = []
+
+    def stop(*args, **named):
+        used.extend(a for a in [*args, *named.values()] if isinstance(a, model.Settings))
+        raise InterruptedError
+
+    for name in ("fit", "fit_features"):
+        monkeypatch.setattr(model, name, stop)
+    for query in (checks_jobs.m1, checks_jobs.m2, checks_jobs.m3, checks_jobs.m4, checks_jobs.m6, checks_jobs.m10, checks_jobs.b4):
+        with pytest.raises(InterruptedError):
+            query(spark, sf)
+    assert len(used) == 7 and all(s == model.Settings(as_of=AS_OF) for s in used)
+
+
 def test_training_needs_two_categories_and_all_columns(spark, sf):
     data = views.td(spark, sf)
     with pytest.raises(ValueError, match="two categories"):
