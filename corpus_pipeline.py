@@ -15,9 +15,6 @@ from ledgerloom.session import work_path
 
 ORACLE_SQL = None  # learned languages, suffix sorting and tokenizer ids are beyond SQL
 
-LEAST_COSINE = 0.02  # below it a text is in no learned language
-
-
 NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-duplicate stage: five-word shingles, similarity 0.8
 
 
@@ -35,7 +32,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Prototypes are learned from the labelled documents of op7's folds.
 
-    Rejected: null texts, texts without letters, and texts with a cosine below LEAST_COSINE to every language.
+    Rejected: null texts and texts without letters, op7's ``und``. There is no least cosine: that of a text with only
+    unseen trigrams is noise, so a limit would drop such texts by chance.
     ``lang`` stays as it is. Rows with equal doc_id and text have equal decisions. Without labelled documents there are no
     languages to recognise, and all go.
     """
@@ -43,7 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prototypes = language.learn_prototypes(docs.where(~language.held_out(3, 1)))
     packed = _packed(docs)
     found = language.predict_languages(packed.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), prototypes)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(F.col("doc_id").alias("key")).distinct()
+    kept = found.where(F.col("lang_pred") != language.UNKNOWN).select(F.col("doc_id").alias("key")).distinct()
     return packed.join(kept, "key", "left_semi").select("row.*")
 
 

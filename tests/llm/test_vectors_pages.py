@@ -201,3 +201,14 @@ def test_pipeline_stages(spark, odd, clashing, nothing, sf):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf)
         assert empty.count() == 0
+
+
+def test_language_stage_drops_no_text_by_chance(spark, sf):
+    import corpus_pipeline
+    from corpus_helpers import prose
+
+    learned = [(i, prose(i, 80), "en", "a", 1) for i in range(30)]
+    unseen = [(100 + i, prose(i, 3, "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03"), None, "a", 1) for i in range(40)]
+    docs = spark.createDataFrame([*learned, *unseen, (200, " 12 ", None, "a", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, sf).collect()}
+    assert kept == {*range(30), *range(100, 140)}
