@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, pages, suffixes, toxicity, wavelet
+from ledgerloom.llm import exact_search, jaccard, language, mixing, neighbours, packing, pages, pieces, repair, suffixes, toxicity, variants, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -120,6 +120,42 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.
 """
 
 
+VARIANT_SQL = r"""
+WITH RECURSIVE t AS (  -- crc32 of each byte
+  SELECT list_transform(range(256), lambda i: list_reduce(range(9), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 2 * i)) AS crc
+), d AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), r AS (
+  SELECT id, run, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL
+), b AS (
+  SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS bytes
+  FROM r
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, t.crc[1 + (xor(c, x::BIGINT) & 255)]), 4294967295::BIGINT)) AS h FROM b, t
+), o AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h
+), w AS (
+  SELECT word, sum(n)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), c AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), s AS (
+  SELECT x.word, y.word AS other FROM c x JOIN c y ON x.cut = y.cut AND x.i = y.i AND x.word <> y.word
+  UNION SELECT c.word, w.word FROM c JOIN w ON c.cut = w.word
+  UNION SELECT w.word, c.word FROM c JOIN w ON c.cut = w.word
+), m AS (
+  SELECT s.word, count(*) AS n_near, arg_min(s.other, (-w.n, s.other)) AS best, max(w.n) AS best_n FROM s JOIN w ON s.other = w.word GROUP BY s.word
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+  FROM w LEFT JOIN m USING (word)
+), z AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON z.next = f.word
+)
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON f.word = z.word WHERE z.next IS NULL
+"""
+
+
 @_query("op1_pareto_mix", MIX_SQL)
 def op1(spark, sf_dir):
     mix = mixing.pareto_mix(mixing.sized_documents(_read(spark, sf_dir, "documents")))
@@ -174,3 +210,20 @@ def op10(spark, sf_dir):
 @_query("op9_ngram_jaccard", JOIN_SQL)
 def op9(spark, sf_dir):
     return jaccard.similarity_join(_read(spark, sf_dir, "documents"))
+
+
+@_query("op11_spelling_variants", VARIANT_SQL)
+def op11(spark, sf_dir):
+    return variants.group_variants(_read(spark, sf_dir, "documents"))
+
+
+@_query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    return repair.repair_damaged(_read(spark, sf_dir, "conversations"))
+
+
+@_query("op13_pieces")
+def op13(spark, sf_dir):
+    coded = pieces.encode_and_decode(_read(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
