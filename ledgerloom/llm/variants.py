@@ -35,6 +35,7 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR = 7, 2, 10
 HELD = 300_000  # words that a task sums up before it sends them
 ALONE, TOGETHER = 20, 4  # groups of a single letter, and those that share the rest
 LEVELS = ALONE + TOGETHER
+MOST = 255  # counts are held in a byte; words over that only meet more others in the leaves
 NODE = 20_000  # words of a node that is not divided any more
 LEAF = 12  # words that are compared without going further down
 LOOKED_UP = 100_000  # words that go down a trie at a time
@@ -83,11 +84,11 @@ def letter_groups(words: DataFrame) -> np.ndarray:
 
 
 def vectors(words: list[bytes], groups: np.ndarray) -> np.ndarray:
-    """Counts of each group in each word, at most 255."""
+    """Counts of each group in each word, at most MOST."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     cells = np.repeat(np.arange(len(words)) * LEVELS, sizes) + groups[np.frombuffer(b"".join(words), dtype=np.uint8)]
     counts = np.bincount(cells, minlength=len(words) * LEVELS)
-    return np.minimum(counts, 255).astype(np.uint8).reshape(len(words), LEVELS)
+    return np.minimum(counts, MOST).astype(np.uint8).reshape(len(words), LEVELS)
 
 
 def _latin(column: pd.Series) -> list[bytes]:
@@ -124,17 +125,17 @@ def dealt(words: DataFrame, groups: np.ndarray, depth: int) -> DataFrame:
             if not len(frame):
                 continue
             own = vectors(_latin(frame["word"]), groups)[:, :depth]
-            every = np.arange(len(own))
-            parts = [(every, own, 0)]
+            parts = [(np.arange(len(own)), own, 0)]
             for more in range(depth):
-                ones = own.copy()
-                ones[:, more] += own[:, more] < 255
-                parts.append((every, ones, 1))
+                able = np.flatnonzero(own[:, more] < MOST)  # beyond it one more makes no difference
+                ones = own[able]
+                ones[:, more] += 1
+                parts.append((able, ones, 1))
                 for less in range(more + 1, depth):
-                    some = np.flatnonzero(own[:, less] > 0)
+                    some = np.flatnonzero(ones[:, less] > 0)
                     both = ones[some]
                     both[:, less] -= 1
-                    parts.append((some, both, 2))
+                    parts.append((able[some], both, 2))
             words, counts = frame["word"].to_numpy(), frame["n"].to_numpy()
             for rows, keys, kind in parts:
                 flat = keys.tobytes()
