@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..session import work_path
 from ..streaming import jobs as streams
+from ..streaming import late
 from .checks_labels import UPSERT_COLUMNS, UPSERT_SQL, _ledger_and_batch
 from .registry import register, rounded
 from .views import AS_OF, MSG_SQL, PRED_SQL, TX_SQL, msg, pred, table, tx
@@ -99,3 +100,88 @@ def r5(spark, sf):
 def r6(spark, sf):
     on_time, late = streams.split_late(table(spark, sf, "events"), "ts", dates.as_clock("2024-01-10 00:00:00"))
     return on_time.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+# ------------------------------------------------------------------------------------- streams behind a watermark
+
+# Days arrive in three turns, those with number 2 modulo 3 first, so that most days of the later turns are behind the
+# watermark. Late is what the newest time of the turns before, less an hour, has reached.
+_TURNS = (2, 1, 0)
+_DAY_SQL = "(CAST(created_at AS DATE) - DATE '1970-01-01') % 3"
+_LATE_SQL = """turns AS (SELECT *, {day} AS turn FROM pred),
+  behind AS (SELECT t.*, epoch_ms(t.created_at) <= (SELECT max(epoch_ms(b.created_at)) - 3600000 FROM turns b WHERE b.turn > t.turn) AS late FROM turns t)""".format(day=_DAY_SQL)
+
+
+def _in_turns(spark, rows, name, start):
+    """Write the rows of one turn after the other to a folder and run a stream over it each time."""
+    source = work_path(spark, f"{name}-in")
+    day = F.coalesce(F.datediff("created_at", F.lit("1970-01-01").cast("date")), F.lit(0))
+    for turn in _TURNS:
+        arriving = rows.filter(F.pmod(day, F.lit(3)) == turn).repartitionByRange(4, F.date_trunc("day", "created_at"))
+        arriving.sortWithinPartitions("created_at").write.mode("append").parquet(source)
+        start(streams.read_stream(spark, source, rows.schema))
+
+
+def _routed(spark, rows, name, until=None, then=None):
+    """The router's folder; ``then`` starts the stream on it after each turn."""
+    out, state = work_path(spark, f"{name}-routed"), work_path(spark, f"{name}-router")
+
+    def start(source):
+        _finish(late.start_router(source, "created_at", "1 hour", out, state, until))
+        if then:
+            _finish(then(late.in_time(spark, out, rows.schema)))
+
+    _in_turns(spark, rows, name, start)
+    return out
+
+
+@register(
+    "r6_routed_rows",
+    "SELECT transaction_id, created_at, coalesce(late, false) AS late FROM behind",
+    [PRED_SQL, _LATE_SQL],
+)
+def r6_routed(spark, sf):
+    rows = pred(spark, sf).select("transaction_id", "created_at")
+    return late.read_routed(spark, _routed(spark, rows, "r6"), rows.schema)
+
+
+@register("r2_unique_within_watermark", "SELECT transaction_id, created_at FROM pred", [PRED_SQL])
+def r2_within(spark, sf):
+    """Every row comes twice; the copies of late rows are late too."""
+    rows = pred(spark, sf).select("transaction_id", "created_at")
+    out, state = work_path(spark, "r2-within-out"), work_path(spark, "r2-within-state")
+    routed = _routed(spark, rows.unionByName(rows), "r2-within", then=lambda arrived: late.start_unique_within(arrived, "created_at", "1 hour", out, state))
+    return late.read_unique_within(spark, out, routed, rows.schema, "created_at")
+
+
+@register(
+    "r4_closed_hours",
+    """SELECT date_trunc('hour', created_at) AS hour, model_version, count(*) AS predictions, floor(avg(prediction_confidence) * 1e9 + 0.5) / 1e9 AS avg_confidence
+    FROM pred GROUP BY 1, 2 HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT max(created_at) FROM pred) - INTERVAL 1 HOUR""",
+    [PRED_SQL],
+)
+def r4_closed(spark, sf):
+    """Hours of the first turn are closed by the stream; most others are late and folded in by the batch job. Means of these
+    values do not end in a five at the tenth place, so the order of their sums does not show."""
+    rows = pred(spark, sf)
+    out, state = work_path(spark, "r4-closed-out"), work_path(spark, "r4-closed-state")
+    start = lambda arrived: late.start_closed_hours(arrived, "1 hour", out, state, every=2)
+    routed = _routed(spark, rows, "r4-closed", late.hour_end("created_at"), start)
+    late.fold_late_hours(late.late_rows(spark, routed, rows.schema), out)
+    return rounded(late.read_closed_hours(spark, out), "avg_confidence", places=9)
+
+
+@register(
+    "r5_running_counts",
+    """SELECT user_id, coalesce(user_category, predicted_category, 'Uncategorized') AS category, count(*) AS transaction_count,
+    max(last_modified) AS last_used FROM tx GROUP BY 1, 2""",
+    [TX_SQL],
+)
+def r5_running(spark, sf):
+    """Every transaction was sent before, under another category, and comes twice."""
+    rows = tx(spark, sf).select("user_id", "user_category", "predicted_category", "last_modified", "transaction_id")
+    before = rows.withColumns({"user_category": F.lit("first guess"), "last_modified": F.col("last_modified") - F.expr("INTERVAL 1 DAY")})
+    source = _as_stream(spark, before.unionByName(rows).unionByName(rows), "r5-running-in", "transaction_id")
+    out = work_path(spark, "r5-running-out")
+    _finish(late.start_running_counts(source, out, work_path(spark, "r5-running-state"), every=2))
+    return late.read_running_counts(spark, out)

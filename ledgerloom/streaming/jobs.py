@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from .. import schemas
 from ..operators import extraction, ledger, rules
 from ..operators.common import latest_by
-from ..session import reliable_checkpoint
+from . import parts
 
 COUNTED = ["user_id", "transaction_id", "user_category", "predicted_category", "last_modified"]
 
@@ -32,7 +32,7 @@ def message_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_
     return read_stream(spark, path, schemas.struct(schemas.MESSAGE_DDL), fmt, files_per_trigger)
 
 
-def _run(writer: DataStreamWriter, checkpoint: str, once: bool, interval: str):
+def run_stream(writer: DataStreamWriter, checkpoint: str, once: bool, interval: str):
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
@@ -55,24 +55,25 @@ def start_extract(messages: DataFrame, as_of, out: str, checkpoint: str, once: b
         now = as_of or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%d %H:%M:%S")
         extract(batch, now).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("parse_status").parquet(f"{out}/batch={number}")
 
-    return _run(messages.writeStream.foreachBatch(save), checkpoint, once, interval)
+    return run_stream(messages.writeStream.foreachBatch(save), checkpoint, once, interval)
 
 
-def start_unique(rows: DataFrame, out: str, checkpoint: str, key: str = "transaction_id", once: bool = True, interval: str = "10 minutes"):
+def start_unique(rows: DataFrame, out: str, checkpoint: str, key: str = "transaction_id", once: bool = True, interval: str = "10 minutes", every: int = 20):
     """Collect a stream whose rows may repeat, at any distance in time. Each batch is written with one row per key;
-    ``read_unique`` keeps the first batch's row. There is no watermark, so no row is too late, and no state that grows."""
+    ``read_unique`` keeps the first batch's row. There is no watermark, so no row is too late, and no state that grows;
+    at each ``every``-th batch the ones before are folded into one. ``late.start_unique_within`` drops copies as they come."""
+    save = parts.save_part(out, lambda batch: batch.dropDuplicates([key]), lambda rows: _first_of_each(rows, key), every)
+    return run_stream(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
+def _first_of_each(rows: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col("batch")).alias("_row")).select(key, "_row.*")
 
 
 def read_unique(spark: SparkSession, out: str, key: str = "transaction_id") -> DataFrame:
     """The row of each key that arrived first."""
-    rows = spark.read.parquet(out)
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.col("batch")).alias("_row")).select(key, "_row.*")
+    return _first_of_each(parts.read_parts(spark, out), key)
 
 
 # ----------------------------------------------------------------------------------------------- upserts
@@ -81,20 +82,6 @@ def read_unique(spark: SparkSession, out: str, key: str = "transaction_id") -> D
 # newest snapshot with the changes folded in, and a job that runs now and then writes that as a new snapshot.
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str, above: int | None = None) -> list[int]:
-    """Numbers of the complete sub-folders ``prefix=N`` over ``above``. A folder counts once it has Spark's success mark;
-    only those over ``above`` are asked for it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [s.getPath() for s in files.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith(f"{prefix}=")]
-    numbered = [(int(p.getName().split("=")[1]), p) for p in names]
-    wanted = [(n, p) for n, p in numbered if above is None or n > above]
-    return sorted(n for n, p in wanted if files.exists(hadoop.Path(p, "_SUCCESS")))
-
-
 def save_changes(path: str):
     """``foreachBatch`` function: a repeated batch overwrites its own folder."""
 
@@ -106,16 +93,16 @@ def save_changes(path: str):
 
 def start_upsert(rows: DataFrame, initial: DataFrame, path: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
     """Collect a stream of ledger rows next to the ledger; ``initial`` becomes the first snapshot."""
-    if not _numbers(initial.sparkSession, f"{path}/ledger", "upto"):
+    if not parts.numbers(initial.sparkSession, f"{path}/ledger", "upto"):
         initial.write.mode("overwrite").parquet(f"{path}/ledger/upto=-1")
-    return _run(rows.writeStream.foreachBatch(save_changes(path)), checkpoint, once, interval)
+    return run_stream(rows.writeStream.foreachBatch(save_changes(path)), checkpoint, once, interval)
 
 
 def current_ledger(spark: SparkSession, path: str, as_of, order: list[str]) -> DataFrame:
     """The newest snapshot with all later changes applied in batch order."""
-    upto = _numbers(spark, f"{path}/ledger", "upto")[-1]
+    upto = parts.numbers(spark, f"{path}/ledger", "upto")[-1]
     snapshot = spark.read.parquet(f"{path}/ledger/upto={upto}")
-    later = _numbers(spark, f"{path}/changes", "batch", upto)
+    later = parts.numbers(spark, f"{path}/changes", "batch", upto)
     if not later:
         return snapshot
     folders = [f"{path}/changes/batch={n}" for n in later]
@@ -124,11 +111,14 @@ def current_ledger(spark: SparkSession, path: str, as_of, order: list[str]) -> D
 
 
 def compact(spark: SparkSession, path: str, as_of, order: list[str]) -> None:
-    """Write the current ledger as a new snapshot. The folder read from is never the one written to."""
-    upto = _numbers(spark, f"{path}/ledger", "upto")[-1]
-    later = _numbers(spark, f"{path}/changes", "batch", upto)
+    """Write the current ledger as a new snapshot. The folder read from is never the one written to; it and the changes
+    after it stay for readers that have begun with it, what is older goes."""
+    upto = parts.numbers(spark, f"{path}/ledger", "upto")[-1]
+    later = parts.numbers(spark, f"{path}/changes", "batch", upto)
     if later:
         current_ledger(spark, path, as_of, order).write.mode("overwrite").parquet(f"{path}/ledger/upto={later[-1]}")
+        parts.remove(spark, f"{path}/changes", "batch", upto)
+        parts.remove(spark, f"{path}/ledger", "upto", upto - 1)
 
 
 # ----------------------------------------------------------------------------------------------- metrics
@@ -143,65 +133,63 @@ def hourly_parts(predictions: DataFrame) -> DataFrame:
     )
 
 
-def start_hourly_metrics(predictions: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
-    """Collect predictions, one folder per batch with its counts and sums per hour and model. There is no watermark, so
-    no prediction is too late."""
+def _added_hours(rows: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("predictions", "confidences", "confidence_sum")]
+    return rows.groupBy("hour", "model_version").agg(*sums, F.max("newest").alias("newest"))
 
-    def save(batch: DataFrame, number: int) -> None:
-        hourly_parts(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(predictions.writeStream.foreachBatch(save), checkpoint, once, interval)
+def start_hourly_metrics(predictions: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes", every: int = 20):
+    """Collect predictions, one folder per batch with its counts and sums per hour and model, folded at each ``every``-th
+    batch. There is no watermark, so no prediction is too late. ``late.start_closed_hours`` writes each hour once, when it is closed."""
+    return run_stream(predictions.writeStream.foreachBatch(parts.save_part(out, hourly_parts, _added_hours, every)), checkpoint, once, interval)
 
 
 def read_hourly_metrics(spark: SparkSession, out: str, late: str = "1 hour") -> DataFrame:
     """Predictions and mean confidence per closed hour and model, of all batches so far. An hour is closed when the newest
     prediction is ``late`` past its end; predictions that come after that are still counted in it."""
-    parts = spark.read.parquet(out)
-    newest = parts.agg((F.max("newest") - F.expr(f"INTERVAL {late}")).alias("_closed"))
-    closed = parts.join(newest, F.col("hour") + F.expr("INTERVAL 1 HOUR") <= F.col("_closed"))
+    hours = parts.read_parts(spark, out)
+    newest = hours.agg(F.max("newest") - F.expr(f"INTERVAL {late}"))
+    closed = hours.where(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= newest.scalar())
     return closed.groupBy("hour", "model_version").agg(
         F.sum("predictions").alias("predictions"), (F.sum("confidence_sum") / F.sum("confidences")).alias("avg_confidence")
     )
 
 
+def category_counts_of(rows: DataFrame) -> Column:
+    """The category that a row counts under."""
+    known = [c for c in ("user_category", "predicted_category") if c in rows.columns]
+    return F.coalesce(*known, F.lit(rules.UNCATEGORIZED))
+
+
 def category_counts(rows: DataFrame) -> DataFrame:
     """Count and last use per user and category."""
-    category = F.coalesce("user_category", "predicted_category", F.lit(rules.UNCATEGORIZED)) if "user_category" in rows.columns \
-        else F.coalesce("predicted_category", F.lit(rules.UNCATEGORIZED))
-    return rows.groupBy("user_id", category.alias("category")).agg(
+    return rows.groupBy("user_id", category_counts_of(rows).alias("category")).agg(
         F.count("*").alias("transaction_count"), F.max("last_modified").alias("last_used")
     )
 
 
-def start_category_counts(rows: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes"):
-    """Collect the categories of transactions, one folder per batch with the newest row of each transaction in it."""
+def _newest_of_each(rows: DataFrame) -> DataFrame:
+    return latest_by(rows, ["user_id", "transaction_id"], ["last_modified", "batch"])
 
-    def save(batch: DataFrame, number: int) -> None:
-        kept = [c for c in COUNTED if c in batch.columns]
-        latest_by(batch.select(*kept), ["user_id", "transaction_id"], ["last_modified"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return _run(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
+def start_category_counts(rows: DataFrame, out: str, checkpoint: str, once: bool = True, interval: str = "10 minutes", every: int = 20):
+    """Collect the categories of transactions, one folder per batch with the newest row of each transaction in it, folded at
+    each ``every``-th batch. ``late.start_running_counts`` keeps the categories as state and writes changes of counts only."""
+    kept = [c for c in COUNTED if c in rows.columns]
+    save = parts.save_part(out, lambda batch: latest_by(batch.select(*kept), ["user_id", "transaction_id"], ["last_modified"]), _newest_of_each, every)
+    return run_stream(rows.writeStream.foreachBatch(save), checkpoint, once, interval)
 
 
 def read_category_counts(spark: SparkSession, out: str) -> DataFrame:
     """Counts of the newest row of each transaction: one that was sent again counts once, one whose category was
     corrected counts under the new category only."""
-    newest = latest_by(spark.read.parquet(out), ["user_id", "transaction_id"], ["last_modified", "batch"])
-    return category_counts(newest)
+    return category_counts(_newest_of_each(parts.read_parts(spark, out)))
 
 
 def compact_category_rows(spark: SparkSession, out: str) -> None:
-    """Replace all batches so far by one with the newest row of each transaction, in the place of the last."""
-    numbers = _numbers(spark, out, "batch")
-    if len(numbers) < 2:
-        return
-    rows = latest_by(spark.read.parquet(out), ["user_id", "transaction_id"], ["last_modified", "batch"]).drop("batch")
-    rows = reliable_checkpoint(rows, "category-rows")
-    rows.write.mode("overwrite").parquet(f"{out}/batch={numbers[-1]}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for number in numbers[:-1]:
-        path = hadoop.Path(f"{out}/batch={number}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Fold all batches so far into a snapshot with the newest row of each transaction. It has a folder of its own, so a
+    batch that is repeated afterwards replaces nothing of it."""
+    parts.fold(spark, out, _newest_of_each)
 
 
 def split_late(rows: DataFrame, at: str, floor) -> tuple[DataFrame, DataFrame]:

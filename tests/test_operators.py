@@ -315,3 +315,103 @@ def test_extract_and_load_with_a_scorer(spark, sf):
     row = loaded.ledger.agg(F.count("*").alias("n"), F.min("predicted_category").alias("c"), F.max("model_version").alias("m")).first()
     assert row.n == loaded.accepted.count() > 0 and (row.c, row.m) == ("Food", "transaction_model_v1")
     assert loaded.rejected.filter("reason = 'no_template'").count() > 0
+
+
+# streams behind a watermark
+
+
+def _arrive(spark, path, values, ddl):
+    df = spark.createDataFrame(values, ddl)
+    for field in df.schema.fields:
+        if field.name in ("created_at", "last_modified"):
+            df = df.withColumn(field.name, F.col(field.name).cast("timestamp_ntz"))
+    df.coalesce(2).write.mode("append").parquet(path)
+    return df.schema
+
+
+def test_rows_behind_the_watermark_are_late_and_none_is_lost(spark):
+    from ledgerloom.streaming import late
+
+    source, out, state = (work_path(spark, f"router-{n}") for n in ("in", "out", "state"))
+    turns = [[("a", "2024-01-01 10:00:00"), ("b", "2024-01-01 12:00:00")], [("c", "2024-01-01 11:00:00"), ("d", "2024-01-01 11:00:01"), ("e", None)], [("f", "2024-01-01 10:30:00")]]
+    for turn in turns:
+        schema = _arrive(spark, source, turn, "transaction_id string, created_at string")
+        late.start_router(streams.read_stream(spark, source, schema), "created_at", "1 hour", out, state).awaitTermination()
+    got = {r.transaction_id: r.late for r in late.read_routed(spark, out, schema).collect()}
+    assert got == {"a": False, "b": False, "c": True, "d": False, "e": True, "f": True}
+
+
+def test_duplicates_are_dropped_with_bounded_state_and_late_ones_by_the_table(spark):
+    from ledgerloom.streaming import late
+
+    source, routed, out = (work_path(spark, f"within-{n}") for n in ("in", "routed", "out"))
+    states = [work_path(spark, f"within-state-{n}") for n in (1, 2)]
+    for day in range(1, 7):
+        rows = [(f"{day}-{n}", f"2024-01-{day:02d} {n:02d}:00:00") for n in range(24)]
+        rows += rows[:5] + [(f"{day - 1}-7", f"2024-01-{day - 1:02d} 07:00:00"), (f"late-{day}", "2024-01-01 00:00:00"), (f"late-{day - 1}", "2024-01-01 00:00:00")] * (day > 1)
+        schema = _arrive(spark, source, rows, "transaction_id string, created_at string")
+        late.start_router(streams.read_stream(spark, source, schema), "created_at", "1 hour", routed, states[0]).awaitTermination()
+        query = late.start_unique_within(late.in_time(spark, routed, schema), "created_at", "1 hour", out, states[1])
+        query.awaitTermination()
+        held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+        assert held <= 2 * 24  # of a day and the one before, however many days there are
+    got = [r.transaction_id for r in late.read_unique_within(spark, out, routed, schema, "created_at").collect()]
+    assert len(got) == len(set(got)) and set(got) == {f"{d}-{n}" for d in range(1, 7) for n in range(24)} | {f"late-{d}" for d in range(1, 7)}
+
+
+def test_running_counts_follow_corrections_and_output_stays_small(spark):
+    import glob
+
+    from ledgerloom.streaming import late
+
+    source, out, state = (work_path(spark, f"running-{n}") for n in ("in", "out", "state"))
+    ddl = "user_id string, transaction_id string, user_category string, predicted_category string, last_modified string"
+    for batch in range(12):
+        at = f"2024-01-{batch + 1:02d} 00:00:00"
+        rows = [("u", "1", None, f"c{batch % 3}", at), ("u", "2", "fixed", None, "2024-01-05 00:00:00"), ("v", "1", None, None, None), ("v", "9", None, "old", "2023-01-01 00:00:00")]
+        if batch == 11:
+            rows += [("v", "9", None, "older", "2022-01-01 00:00:00"), ("v", "8", "x", None, at), ("v", "8", "y", None, "2024-02-01 00:00:00")]
+        schema = _arrive(spark, source, rows, ddl)
+        late.start_running_counts(streams.read_stream(spark, source, schema), out, state, every=3).awaitTermination()
+    got = {(r.user_id, r.category): (r.transaction_count, str(r.last_used)) for r in late.read_running_counts(spark, out).collect()}
+    assert got == {
+        ("u", "c2"): (1, "2024-01-12 00:00:00"), ("u", "fixed"): (1, "2024-01-05 00:00:00"), ("v", "Uncategorized"): (1, "None"),
+        ("v", "old"): (1, "2023-01-01 00:00:00"), ("v", "y"): (1, "2024-02-01 00:00:00"),
+    }
+    assert len(glob.glob(f"{out}/*=*")) <= 8
+
+
+def test_a_batch_repeated_after_folding_changes_nothing(spark):
+    import glob
+
+    from ledgerloom.operators.common import latest_by
+
+    out, ddl = work_path(spark, "folded"), "user_id string, transaction_id string, predicted_category string, last_modified string"
+    newest = lambda rows: latest_by(rows, ["user_id", "transaction_id"], ["last_modified"])
+    batches = [spark.createDataFrame([("u", str(n), f"c{b}", f"2024-01-0{b + 1}") for n in range(b, 9, b + 1)], ddl) for b in range(5)]
+    save = streams.parts.save_part(out, newest, streams._newest_of_each, every=100)
+    for number, batch in enumerate(batches):
+        save(batch, number)
+    want = rows(streams.read_category_counts(spark, out))
+    assert sum(r.transaction_count for r in streams.read_category_counts(spark, out).collect()) == 9
+    streams.compact_category_rows(spark, out)
+    assert rows(streams.read_category_counts(spark, out)) == want
+    save(batches[-1], 4)  # the batch was not committed before a crash
+    assert rows(streams.read_category_counts(spark, out)) == want
+    streams.compact_category_rows(spark, out)
+    save(batches[0], 5)
+    streams.compact_category_rows(spark, out)
+    assert rows(streams.read_category_counts(spark, out)) == want and len(glob.glob(f"{out}/*=*")) <= 4
+
+
+def test_compaction_removes_what_no_reader_needs(spark, sf):
+    import glob
+
+    old, batch = _ledger_and_batch(spark, sf)
+    path = work_path(spark, "removed")
+    old.write.parquet(f"{path}/ledger/upto=-1")
+    for number in range(6):
+        streams.save_changes(path)(batch, number)
+        streams.compact(spark, path, AS_OF, ["seq"])
+        assert len(glob.glob(f"{path}/changes/batch=*")) <= 2 and len(glob.glob(f"{path}/ledger/upto=*")) <= 2
+    assert rows(streams.current_ledger(spark, path, AS_OF, ["seq"])) == rows(ledger.upsert(old, batch, AS_OF, ["seq"]))
