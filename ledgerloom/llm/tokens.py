@@ -2,20 +2,25 @@
 
 Texts are cut before single spaces that stand between characters which no tokenizer takes for white space. Neither
 vocabulary has a token or a rule that reaches across such a place, so the ids of the stretches are, one after the other,
-the ids of the text. Stretches recur; a worker encodes each once and remembers it from task to task, up to ``REMEMBERED`` at a time.
+the ids of the text. Stretches recur; a worker remembers them and their parts from task to task, those asked for last. New words
+are encoded many at a time: one after the other they are a text in which each is a piece of its own for both tokenizers.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
-REMEMBERED = 400_000  # about 100 MB of a worker, which keeps them while it runs other stages
+from ledgerloom.llm.memory import Memory
+
+REMEMBERED = 800_000  # stretches, and half as many parts: at most about 250 MB of a worker, which keeps them while it runs other stages
 TOGETHER = 50_000  # stretches that are looked up at a time
+JOINED = 2_000  # words that the library encodes as one text
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -47,6 +52,7 @@ _DOUBTFUL = re.compile(f" (?:(?<![{_VISIBLE}] )|(?![{_VISIBLE}]))")
 # a stretch of words, signs and single line ends, and its parts
 _PLAIN = re.compile(f" ?[{_LETTER}{_SIGN}]+(?:\n[{_LETTER}{_SIGN}]+)*")
 _PARTS = re.compile(f" ?[{_LETTER}]+| ?[{_SIGN}]+|\n")
+_WORD = re.compile(f" [{_LETTER}]+")
 
 
 class Encoder:
@@ -54,44 +60,48 @@ class Encoder:
 
     def __init__(self, name: str, folder: str | None = None):
         self.library = tokenizer(name, folder)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, dtype=np.int32)  # of all that is remembered, one after the other
-        self.starts, self.sizes = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
-        self.used = 0
-
-    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, total = len(self.memo), len(ids)
-        while n + len(names) > len(self.starts):
-            self.starts, self.sizes = np.append(self.starts, np.zeros_like(self.starts)), np.append(self.sizes, np.zeros_like(self.sizes))
-        while self.used + total > len(self.ids):
-            self.ids = np.append(self.ids, np.zeros_like(self.ids))
-        self.ids[self.used : self.used + total] = ids
-        self.starts[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(names)] = sizes
-        self.memo.update(zip(names, range(n, n + len(names))))
-        self.used += total
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember new stretches: parts that are new come from the library, the stretches from their parts."""
-        cut = [_PARTS.findall(s) if _PLAIN.fullmatch(s) else [s] for s in new]
-        unknown = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.memo))
-        found = [e.ids for e in self.library.encode_batch_fast(unknown, add_special_tokens=False)]
-        self._keep(unknown, np.array([i for x in found for i in x], dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64))
-        several = [i for i, parts in enumerate(cut) if len(parts) > 1]
-        if several:
-            at = np.array([self.memo[p] for i in several for p in cut[i]], dtype=np.int64)
-            ends = np.append(0, np.cumsum(self.sizes[at]))
-            last = np.cumsum([len(cut[i]) for i in several])
-            self._keep([new[i] for i in several], self._gathered(at), np.diff(np.append(0, ends[last])))
-
-    def _gathered(self, at: np.ndarray) -> np.ndarray:
-        """The ids of what is remembered at these places, one after the other."""
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        vocabulary = self.library.get_vocab()
+        self.opens, self.closes = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
+        # The space before a word in byte-level tokens, the end of a word in others
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memory, self.parts = Memory(REMEMBERED), Memory(REMEMBERED // 2)  # ids as bytes
+
+    def _library_ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """The ids of new parts; words with a space in front are encoded as one text and found again by their ends."""
+        words = [p for p in parts if _WORD.fullmatch(p)]
+        others = [p for p in parts if not _WORD.fullmatch(p)]
+        found = dict(zip(others, self._library_ids(others)))
+        for begin in range(0, len(words), JOINED):
+            some = words[begin : begin + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1 if self.closes.any() else np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                found.update(zip(some, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                found.update(zip(some, self._library_ids(some)))
+        return [found[p] for p in parts]
+
+    @staticmethod
+    def _learnt(memory: Memory, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The values of the keys: remembered ones, and those that ``learn`` makes of the others."""
+        values, missing = memory.find(keys)
+        if missing:
+            new = list(dict.fromkeys([keys[i] for i in missing]))
+            fresh = dict(zip(new, learn(new)))
+            memory.young.update(fresh)
+            for i in missing:
+                values[i] = fresh[keys[i]]
+        return values
+
+    def _stretches(self, new: list[str]) -> list[bytes]:
+        cut = [[s] if _WORD.fullmatch(s) or not _PLAIN.fullmatch(s) else _PARTS.findall(s) for s in new]
+        values = iter(self._learnt(self.parts, list(chain.from_iterable(cut)), self._encoded))
+        return [next(values) if len(c) == 1 else b"".join(islice(values, len(c))) for c in cut]
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -125,18 +135,9 @@ class Encoder:
         yield from self._looked_up(held, counts)
 
     def _looked_up(self, stretches: list[str], counts: list[int]) -> list[np.ndarray]:
-        if len(self.memo) > REMEMBERED or self.used > 8 * REMEMBERED:
-            self._clear()
-        places = list(map(self.memo.get, stretches))
-        if None in places:
-            missing = [i for i, p in enumerate(places) if p is None]
-            self._learn(list(dict.fromkeys([stretches[i] for i in missing])))
-            for i in missing:
-                places[i] = self.memo[stretches[i]]
-        at = np.array(places, dtype=np.int64)
-        ids = self._gathered(at)
-        ends = np.append(0, np.cumsum(self.sizes[at]))[np.append(0, np.cumsum(counts)).astype(np.int64)]
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        values = self._learnt(self.memory, stretches, self._stretches)
+        ends = np.append(0, np.cumsum(counts)).astype(np.int64).tolist()
+        return [np.frombuffer(b"".join(values[a:b]), dtype=np.int32) for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
