@@ -1,8 +1,12 @@
 """Registered model steps and whole jobs."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import model, sampling
+from ..operators.ledger_table import LedgerTable
+from ..sources import writers
 from ..session import work_path
 from . import jobs
 from .. import schemas
@@ -85,6 +89,29 @@ def m4(spark, sf):
     return loaded.ledger.select("transaction_id", "user_id", "vendor_cleaned", "date", has_category, "model_version")
 
 
+@register(
+    "m4_stored_ingest",
+    f""", bad AS (SELECT DISTINCT {ID} // 8 AS request FROM tx WHERE {ID} % 801 = 0 OR {ID} % 101 = 0 OR {ID} % 103 = 0),
+    r AS (SELECT *, {ID} // 8 NOT IN (SELECT request FROM bad) AS ok, {ID} % 2 = 0 AS known FROM tx)
+    SELECT transaction_id, user_id, ok AS scored, CASE WHEN ok THEN 'transaction_model_v1' ELSE 'before' END AS model_version,
+      CASE WHEN known THEN 'kept' END AS notes, CASE WHEN known THEN date ELSE {NOW} END AS created_at, CASE WHEN ok THEN {NOW} ELSE date END AS last_modified
+    FROM r WHERE ok OR known""",
+    [TX_SQL],
+)
+def m4_stored(spark, sf):
+    """Requests through the gate, scored and merged into a stored ledger that knows every other row under another label."""
+    from .checks_rules import _requests
+
+    known = tx(spark, sf).filter(F.col("transaction_id").cast("bigint") % 2 == 0)
+    known = known.withColumns({c: F.lit("before") for c in ("predicted_category", "predicted_subcategory", "model_version")})
+    known = known.withColumns({"notes": F.lit("kept"), "created_at": F.col("date"), "status": F.lit("processed")})
+    table = LedgerTable.create(known, work_path(spark, "m4-ledger"), buckets=8)
+    trained = _trained(spark, sf)
+    loaded = jobs.ingest(_requests(spark, sf), table, lambda rows: model.score(trained.model, rows, "transaction_model_v1", FULL), AS_OF)
+    scored = (F.col("predicted_category") != "before").alias("scored")
+    return loaded.ledger.select("transaction_id", "user_id", scored, "model_version", "notes", "created_at", "last_modified")
+
+
 @register(
     "m6_retrained_registry",
     """SELECT model_id, version, status, traffic_percentage FROM reg
@@ -120,15 +147,14 @@ def b4(spark, sf):
     return jobs.train(_labelled(spark, sf), FULL).report("category")
 
 
-@register(
-    "b2_export_job",
-    """, latest AS (SELECT td.*, row_number() OVER (PARTITION BY transaction_id ORDER BY date) AS rn FROM td)
+B2_SQL = """, latest AS (SELECT td.*, row_number() OVER (PARTITION BY transaction_id ORDER BY date) AS rn FROM td)
     SELECT l.transaction_id, l.user_id, l.date, coalesce(f.user_category, category) AS category, f.feedback_id IS NOT NULL AS is_user_corrected
     FROM latest l LEFT JOIN fb f ON l.transaction_id = f.transaction_id AND l.user_id = f.user_id
     WHERE rn = 1 AND l.user_id IN (SELECT user_id FROM usr WHERE email_sync_enabled) AND coalesce(f.user_category, category) <> 'Uncategorized'
-      AND date >= TIMESTAMP '2001-08-02' - INTERVAL 180 DAY""",
-    [TD_SQL, FB_SQL, USR_SQL],
-)
+      AND date >= TIMESTAMP '2001-08-02' - INTERVAL 180 DAY"""
+
+
+@register("b2_export_job", B2_SQL, [TD_SQL, FB_SQL, USR_SQL])
 def b2(spark, sf):
     """Exported twice, as the weekly job does; the overlap is removed on reading."""
     path = work_path(spark, "b2")
@@ -139,6 +165,44 @@ def b2(spark, sf):
     return out.select("transaction_id", "user_id", "date", "category", "is_user_corrected")
 
 
+@register("b2_export_all", B2_SQL.replace("SELECT l.transaction_id,", "SELECT DATE '2001-08-02' AS export_day, l.transaction_id,"), [TD_SQL, FB_SQL, USR_SQL])
+def b2_all(spark, sf):
+    """The full action on two days; the files of the first are too old by the second."""
+    path = work_path(spark, "b2-all")
+    for as_of in ("2001-06-01 00:00:00", "2001-08-02 00:00:00"):
+        jobs.export_all(tx(spark, sf), usr(spark, sf), fb(spark, sf), f"{path}/table", f"{path}/files", as_of)
+    return spark.read.parquet(f"{path}/files").select("transaction_id", "user_id", "date", "category", "is_user_corrected", "export_day")
+
+
+@register(
+    "b2_export_incremental",
+    """SELECT transaction_id, user_id, date, category FROM td
+    WHERE user_id IN (SELECT user_id FROM usr WHERE email_sync_enabled) AND date BETWEEN TIMESTAMP '2001-08-02' - INTERVAL 7 DAY AND TIMESTAMP '2001-08-02'""",
+    [TD_SQL, USR_SQL],
+)
+def b2_incremental(spark, sf):
+    """The weekly action twice; the table's overlapping rows are removed on reading."""
+    from ..operators import labels
+
+    path = work_path(spark, "b2-week")
+    for _ in range(2):
+        jobs.export_incremental(tx(spark, sf), usr(spark, sf), path, "2001-08-02 00:00:00")
+    return labels.newest_export(writers.read_training_table(spark, path)).select("transaction_id", "user_id", "date", "category")
+
+
+@register(
+    "k10_dropped_days",
+    "SELECT feedback_id, feedback_timestamp FROM fb WHERE feedback_timestamp >= TIMESTAMP '2024-01-21'",
+    [FB_SQL],
+)
+def k10_days(spark, sf):
+    """A table by day from which the days before the retention are dropped."""
+    path = work_path(spark, "k10-days")
+    writers.replace_days(fb(spark, sf).select("feedback_id", "feedback_timestamp"), path, "feedback_timestamp")
+    writers.drop_days_before(spark, path, "date_day", datetime.date(2024, 1, 21))
+    return spark.read.parquet(path).drop("date_day")
+
+
 @register(
     "b6_monitoring_points",
     f""", h AS (SELECT count(DISTINCT (date_trunc('hour', created_at), model_version)) AS n FROM pred WHERE created_at > {NOW} - INTERVAL 24 HOUR),

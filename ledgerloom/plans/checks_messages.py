@@ -6,8 +6,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import extraction
+from ..operators.ledger_table import LedgerTable
 from ..operators.templates import TEMPLATE_NAMES, TEMPLATES
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, work_path
 from . import jobs
 from .registry import register
 from .views import AS_OF, MSG_SQL, TX_SQL, USR_SQL, msg, parsed, tx, usr
@@ -169,31 +170,42 @@ good AS (SELECT message_id AS transaction_id, id AS id_api, user_id, account, te
   CASE WHEN date <= {NOW} THEN date ELSE {NOW} END AS date FROM unread WHERE parse_status = 'ok')"""
 
 
-def _loaded(spark, sf):
-    """All unread messages into a ledger that already knows a third of them."""
-    empty = tx(spark, sf).select(
+def _known_third(spark, sf):
+    """A ledger that already knows a third of the messages' transactions."""
+    return tx(spark, sf).select(
         F.concat(F.lit("ord-"), "transaction_id", F.lit("@example.com")).alias("transaction_id"), F.lit(None).cast("string").alias("id_api"),
         "user_id", "account", "template_used", F.lit("old vendor").alias("vendor"), F.lit("").alias("vendor_cleaned"), F.lit(0.5).alias("amount"), "date",
         "predicted_category", "user_category", F.col("date").alias("created_at"), F.col("date").alias("last_modified"), F.lit("processed").alias("status"),
     ).filter(F.regexp_extract("transaction_id", r"(\d+)", 1).cast("bigint") % 3 == 0)
-    return jobs.extract_and_load(msg(spark, sf), empty, AS_OF, usr(spark, sf))
 
 
-@register(
-    "b1_extract_and_load",
-    f""", old AS (SELECT concat('ord-', transaction_id, '@example.com') AS transaction_id, user_id, date, user_category, predicted_category
+def _loaded(spark, sf):
+    """All unread messages into that ledger."""
+    return jobs.extract_and_load(msg(spark, sf), _known_third(spark, sf), AS_OF, usr(spark, sf))
+
+
+B1_SQL = f""", old AS (SELECT concat('ord-', transaction_id, '@example.com') AS transaction_id, user_id, date, user_category, predicted_category
       FROM tx WHERE CAST(transaction_id AS BIGINT) % 3 = 0)
     SELECT coalesce(g.transaction_id, o.transaction_id) AS transaction_id, coalesce(g.user_id, o.user_id) AS user_id,
       coalesce(g.vendor, 'old vendor') AS vendor, coalesce(g.amount, 0.5) AS amount, coalesce(g.date, o.date) AS date,
       CASE WHEN g.transaction_id IS NOT NULL THEN 'Uncategorized' ELSE o.predicted_category END AS predicted_category, o.user_category,
       coalesce(o.date, {NOW}) AS created_at, CASE WHEN g.transaction_id IS NOT NULL THEN {NOW} ELSE o.date END AS last_modified
-    FROM good g FULL JOIN old o ON g.transaction_id = o.transaction_id AND g.user_id = o.user_id""",
-    [MSG_SQL, USR_SQL, LOADED_SQL, TX_SQL],
-)
+    FROM good g FULL JOIN old o ON g.transaction_id = o.transaction_id AND g.user_id = o.user_id"""
+B1_COLUMNS = ["transaction_id", "user_id", "vendor", "amount", "date", "predicted_category", "user_category", "created_at", "last_modified"]
+
+
+@register("b1_extract_and_load", B1_SQL, [MSG_SQL, USR_SQL, LOADED_SQL, TX_SQL])
 def b1(spark, sf):
-    return _loaded(spark, sf).ledger.select(
-        "transaction_id", "user_id", "vendor", "amount", "date", "predicted_category", "user_category", "created_at", "last_modified"
-    )
+    return _loaded(spark, sf).ledger.select(*B1_COLUMNS)
+
+
+@register("b1_stored_ledger", B1_SQL, [MSG_SQL, USR_SQL, LOADED_SQL, TX_SQL])
+def b1_stored(spark, sf):
+    """The same run into a stored table, twice: the second run changes nothing."""
+    table = LedgerTable.create(_known_third(spark, sf), work_path(spark, "b1-ledger"), buckets=8)
+    for _ in range(2):
+        loaded = jobs.extract_and_load(msg(spark, sf), table, AS_OF, usr(spark, sf))
+    return loaded.ledger.select(*B1_COLUMNS)
 
 
 @register(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import extraction, labels, ledger, model, reports, rules, sampling
+from ..operators.ledger_table import LedgerTable
 from ..session import reliable_checkpoint
 from ..sources import readers, writers
 
@@ -76,11 +78,20 @@ def parse_table(messages: DataFrame, as_of, users: DataFrame | None = None, scor
     return reliable_checkpoint(staged.withColumn("result", result).drop("errors"), "parsed")
 
 
+def _stored(target: DataFrame | LedgerTable, accepted: DataFrame, as_of, order: list[str]) -> DataFrame:
+    """The ledger with the accepted rows: merged into its table, or as a new state of a DataFrame."""
+    if isinstance(target, LedgerTable):
+        target.merge(accepted, as_of, order)
+        return target.read()
+    return ledger.upsert(target, accepted, as_of, order=order)
+
+
 def extract_and_load(
-    messages: DataFrame, ledger_table: DataFrame, as_of, users: DataFrame | None = None, scorer=None
+    messages: DataFrame, ledger_table: DataFrame | LedgerTable, as_of, users: DataFrame | None = None, scorer=None
 ) -> Loaded:
     """Unread messages into the ledger: parse, score, validate, clean, upsert, and count per user. With ``users``, only
-    those with sync on and an address are processed, and each gets a summary and a sync stamp."""
+    those with sync on and an address are processed, and each gets a summary and a sync stamp. A ``LedgerTable`` is
+    changed in place; of a DataFrame the new state is returned."""
     table = parse_table(messages, as_of, users, scorer)
     good = table.filter(F.col("result") == "ok").drop("result", "parse_status")
     accepted = ledger.ledger_rows(good, as_of)
@@ -95,7 +106,9 @@ def extract_and_load(
     if users is not None:
         summary = reports.run_summary(outcomes, rules.enabled_users(users))
         stamped = ledger.stamp_sync(users, summary.filter("ok"), as_of)
-    updated = ledger.upsert(ledger_table, accepted, as_of, order=["date", "id_api"])
+    if isinstance(ledger_table, LedgerTable):
+        accepted = reliable_checkpoint(accepted, "accepted")
+    updated = _stored(ledger_table, accepted, as_of, ["date", "id_api"])
     return Loaded(updated, accepted, rejected, outcomes, summary, stamped)
 
 
@@ -122,11 +135,22 @@ def export_files(spark: SparkSession, feedback: DataFrame, table_path: str, file
     return spark.read.parquet(files_path)
 
 
-def export_incremental(ledger_table: DataFrame, users: DataFrame, feedback: DataFrame, table_path: str, files_path: str, as_of) -> DataFrame:
-    """The weekly action: the last days are exported, and days beyond the retention leave the training files."""
-    export_training(ledger_table, users, feedback, table_path, files_path, as_of, INCREMENTAL_EXPORT_DAYS)
-    files = ledger_table.sparkSession.read.parquet(files_path)
-    return ledger.retain_recent(files, "date", KEEP_DAYS, as_of)
+EXPORT_DAY = "export_day"
+
+
+def export_all(ledger_table: DataFrame, users: DataFrame, feedback: DataFrame, table_path: str, files_path: str, as_of, keep_days: int = KEEP_DAYS) -> DataFrame:
+    """The full action: the ledger to the warehouse, training files in a folder of the day of ``as_of``, and the folders of
+    exports more than ``keep_days`` old removed. Returns this export's rows."""
+    day = datetime.datetime.fromisoformat(as_of).date()
+    rows = export_training(ledger_table, users, feedback, table_path, f"{files_path}/{EXPORT_DAY}={day}", as_of)
+    writers.drop_days_before(ledger_table.sparkSession, files_path, EXPORT_DAY, day - datetime.timedelta(days=keep_days))
+    return rows
+
+
+def export_incremental(ledger_table: DataFrame, users: DataFrame, table_path: str, as_of) -> None:
+    """The weekly action: the last days are appended to the warehouse table; training files stay as they are."""
+    clock = dates.as_clock(as_of)
+    writers.write_training_table(labels.export_rows(ledger_table, users, dates.days_before(clock, INCREMENTAL_EXPORT_DAYS), clock), table_path)
 
 
 def export_stats(spark: SparkSession, table_path: str) -> DataFrame:
@@ -196,13 +220,13 @@ def train(training: DataFrame, settings: model.Settings | None = None) -> model.
     return model.fit(parts.filter("is_train"), parts.filter("NOT is_train"), settings)
 
 
-def ingest(requests: DataFrame, ledger_table: DataFrame, scorer, as_of) -> Loaded:
+def ingest(requests: DataFrame, ledger_table: DataFrame | LedgerTable, scorer, as_of) -> Loaded:
     """Ingest requests: those that pass the gate are scored, written in ledger layout and merged; rejected ones keep their
     error. ``scorer`` appends category, subcategory, confidence and model_version."""
     scored = rules.apply_prediction(scorer(rules.accept_requests(requests)))
     good, bad = ledger.split_writable(scored)
     accepted = reliable_checkpoint(ledger.ledger_rows(good, as_of), "ingested")
-    return Loaded(ledger.upsert(ledger_table, accepted, as_of, order=["date"]), accepted, bad, rules.ingest_errors(requests))
+    return Loaded(_stored(ledger_table, accepted, as_of, ["date"]), accepted, bad, rules.ingest_errors(requests))
 
 
 def retrain_from_ledger(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +55,25 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, wanted: Callable[[str], bool]) -> list[str]:
+    """Delete the partition folders of a table whose value is ``wanted``; returns their values. No file is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    dropped = []
+    for status in files.listStatus(folder) if files.exists(folder) else []:
+        name, _, value = status.getPath().getName().partition("=")
+        if status.isDirectory() and name == column and wanted(value):
+            files.delete(status.getPath(), True)
+            dropped.append(value)
+    return sorted(dropped)
+
+
+def drop_days_before(spark: SparkSession, path: str, column: str, day: datetime.date) -> list[str]:
+    """Retention by whole partitions: delete the folders of the days before ``day``. Others keep their files."""
+    return drop_partitions(spark, path, column, lambda value: value < day.isoformat() and not value.startswith("__"))
+
+
 def replace_days(df: DataFrame, path: str, column: str) -> None:
     """Overwrite only the day partitions that occur in ``df``."""
     (

@@ -415,3 +415,77 @@ def test_compaction_removes_what_no_reader_needs(spark, sf):
         streams.compact(spark, path, AS_OF, ["seq"])
         assert len(glob.glob(f"{path}/changes/batch=*")) <= 2 and len(glob.glob(f"{path}/ledger/upto=*")) <= 2
     assert rows(streams.current_ledger(spark, path, AS_OF, ["seq"])) == rows(ledger.upsert(old, batch, AS_OF, ["seq"]))
+
+
+# the stored ledger and exports
+
+
+def test_merge_shuffles_no_ledger_and_keeps_untouched_files(spark):
+    import glob
+    import re
+
+    from ledgerloom.operators.ledger_table import LedgerTable
+
+    ddl = "user_id string, transaction_id string, vendor string, amount double, date string, created_at string, last_modified string"
+    moment = lambda df: df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("date", "created_at", "last_modified")})
+    old = moment(spark.createDataFrame([(f"u{n % 7}", str(n), "old", 1.0, f"2024-{1 + n % 6:02d}-03", "2024-01-01", "2024-01-01") for n in range(120)] + [("u", "alone", "old", 1.0, "2023-01-01", "2024-01-01", None)], ddl))
+    batch = moment(spark.createDataFrame([
+        ("u1", "1", "new", 5.0, "2024-02-03", None, None), ("u9", "n1", "new", 2.0, "2024-03-01", None, None), ("u9", "n2", "new", 2.0, "2024-09-01", None, None),
+        ("u", "alone", "moved", 2.0, "2024-02-09", None, None), ("u9", "n3", "new", 2.0, None, None, None),
+    ], ddl)).drop("created_at", "last_modified")
+    path = work_path(spark, "bucketed")
+    table = LedgerTable.create(old, path, buckets=4)
+    before = set(glob.glob(f"{path}/*/*.parquet"))
+    months = table.months_of(batch)
+    assert months == ["2023-01", "2024-02", "2024-03", "2024-09", "none"]
+    plan = table.merged(batch, AS_OF, None, months)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "Scan parquet" in line and "Bucketed: true" in line)
+    lines = plan.splitlines()
+    depth = lambda line: len(re.match(r"[ :+\-*()\d]*", line).group())
+    above, at = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):  # the scan's ancestors
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    assert any("SortMergeJoin" in line or "ShuffledHashJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    want = rows(ledger.upsert(old, batch, AS_OF))
+    table.merge(batch, AS_OF)
+    assert rows(table.read()) == want
+    after = set(glob.glob(f"{path}/*/*.parquet"))
+    assert {f.split("=")[1][:7] for f in before & after} == {"2024-01", "2024-04", "2024-05", "2024-06"}
+    assert not any("2023-01" in f for f in after)
+    table.merge(batch, AS_OF)
+    assert rows(table.read()) == want
+    spark.sql(f"DROP TABLE {table.name}")
+    assert rows(LedgerTable(spark, path, buckets=4).read()) == want  # as another session opens it
+
+
+def test_export_actions(spark, sf, tmp_path):
+    import glob
+
+    source = [views.tx(spark, sf), views.usr(spark, sf), views.fb(spark, sf)]
+    table, files = str(tmp_path / "table"), str(tmp_path / "files")
+    for as_of in ("2001-06-20 00:00:00", "2001-07-10 00:00:00", "2001-08-02 00:00:00"):
+        out = jobs.export_all(*source, table, files, as_of)
+    folders = sorted(f.split("/")[-1] for f in glob.glob(f"{files}/*=*"))
+    assert folders == ["export_day=2001-07-10", "export_day=2001-08-02"]
+    known, before = rows(out), set(glob.glob(f"{files}/**/*.parquet", recursive=True))
+    stored = spark.read.parquet(table).count()
+    jobs.export_incremental(source[0], source[1], table, "2001-08-02 00:00:00")
+    assert rows(out) == known and set(glob.glob(f"{files}/**/*.parquet", recursive=True)) == before
+    assert spark.read.parquet(table).count() > stored
+
+
+def test_retention_drops_whole_days_and_keeps_other_files(spark, tmp_path):
+    import datetime
+    import glob
+
+    from ledgerloom.sources import writers
+
+    path = str(tmp_path / "days")
+    writers.replace_days(spark.range(10).selectExpr("id", "if(id = 9, NULL, date_add(DATE '2024-01-01', CAST(id AS INT))) AS day"), path, "day")
+    before = set(glob.glob(f"{path}/*/*.parquet"))
+    assert writers.drop_days_before(spark, path, "date_day", datetime.date(2024, 1, 4)) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    after = set(glob.glob(f"{path}/*/*.parquet"))
+    assert after < before and sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4, 5, 6, 7, 8, 9]
