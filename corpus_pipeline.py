@@ -7,26 +7,26 @@ for the text that suffix-array removal shortens and ``n_chars`` with it. Tables
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import jaccard, language, mixing, packing, queries, suffixes
-from ledgerloom.session import work_path
+from ledgerloom.session import reliable_checkpoint, work_path
 
 ORACLE_SQL = None  # learned languages, suffix sorting and tokenizer ids are beyond SQL
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-duplicate stage: five-word shingles, similarity 0.8
 
 
-def _row_key(*values: Column) -> Column:
-    """A text that only rows with equal values share."""
-    parts = [F.coalesce(v.cast("string"), F.lit("\u0001null")) for v in values]
-    return F.sha2(F.concat_ws("\u0000", *parts), 256)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row`` with all columns and a ``key`` that only rows of equal doc_id and text share; no name of the input can clash.
 
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """``row`` with all columns, and what the stages need, so that no name of the input can clash: ``id, body, key``."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("body"), _row_key(F.col("doc_id"), F.col("text")).alias("key"))
+    The key is a 64-bit hash if no two rows that differ have the same one, which is counted, and a longer one otherwise.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001null")) for c in ("doc_id", "text")]
+    exact, key = F.sha2(F.concat_ws("\u0000", *parts), 256), F.xxhash64(*parts)
+    shared = docs.groupBy(key.alias("key")).agg(F.min(exact).alias("low"), F.max(exact).alias("high")).where("low <> high")
+    return docs.select(F.struct(*docs.columns).alias("row"), (exact if shared.limit(1).count() else key).alias("key"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,45 +35,51 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Rejected: null texts and texts without letters, op7's ``und``. There is no least cosine: that of a text with only
     unseen trigrams is noise, so a limit would drop such texts by chance.
     ``lang`` stays as it is. Rows with equal doc_id and text have equal decisions. Without labelled documents there are no
-    languages to recognise, and all go.
+    languages to recognise, and all go. Only the keys of rejected documents are moved, as long as they are few.
     """
     queries.bounded_batches(spark)
     prototypes = language.learn_prototypes(docs.where(~language.held_out(3, 1)))
-    packed = _packed(docs)
-    found = language.predict_languages(packed.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), prototypes)
-    kept = found.where(F.col("lang_pred") != language.UNKNOWN).select(F.col("doc_id").alias("key")).distinct()
-    return packed.join(kept, "key", "left_semi").select("row.*")
+    keyed = _keyed(docs)
+    found = language.predict_languages(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), prototypes)
+    rejected = found.where(F.col("lang_pred") == language.UNKNOWN).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(reliable_checkpoint(rejected, "rejected"), "key", "left_anti").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that whose doc_id is the group's smallest.
+    """One document of each group of linked texts: that with the smallest key, a hash of doc_id and text.
 
-    Of rows that share that doc_id one stays, the first by a hash of all its values. Rows without doc_id link nothing and stay.
+    Groups are formed by text: rows that share a doc_id but not a text are different documents, and rows without a doc_id
+    are compared like all others. Of rows equal in both, one stays, the first by a hash of all its values. Texts
+    without words link with nothing and stay. Only keys are moved, as long as the documents that go are few.
     """
     queries.bounded_batches(spark)
-    groups = jaccard.similarity_join(docs.select("doc_id", "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
-    first = groups.where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
-    packed = _packed(docs)
-    kept = packed.where("id IS NOT NULL").join(first, "id", "left_semi").withColumn("order", F.sha2(F.to_json("row"), 256))
-    one = kept.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("order"))).where("rank = 1")
-    return one.select("row").unionByName(packed.where("id IS NULL").select("row")).select("row.*")
+    keyed = _keyed(docs)
+    groups = jaccard.similarity_join(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = reliable_checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    twice = reliable_checkpoint(keyed.groupBy("key").count().where("count > 1").select("key"), "twice")
+    left = keyed.join(gone, "key", "left_anti")
+    first = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")
+    repeated = left.join(twice, "key", "left_semi").groupBy("key").agg(first)
+    return left.join(twice, "key", "left_anti").select("row").unionByName(repeated.select("row")).select("row.*")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings of 200 bytes that also start elsewhere; a document that loses all of its text goes.
 
-    ``n_chars`` follows a shortened text. Documents that had no text before stay as they are.
+    ``n_chars`` follows a shortened text. Documents that had no text before stay as they are. Only the texts of documents
+    that lose something are moved, as long as their keys are few enough to be sent to the tasks.
     """
     queries.bounded_batches(spark)
-    packed = _packed(docs)
-    cut = suffixes.remove_repeats(packed.select(F.col("key").alias("doc_id"), F.col("body").alias("text"))).where("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("key"), F.col("kept_text").alias("left_over")).dropDuplicates(["key"])
-    joined = packed.join(cut, "key", "left").where("left_over IS NULL OR trim(left_over) <> ''")
-    new = {"text": F.coalesce("left_over", "body")}
+    keyed = _keyed(docs)
+    cut = suffixes.remove_repeats(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).where("n_removed > 0")
+    changed = reliable_checkpoint(cut.select(F.col("doc_id").alias("key"), F.col("kept_text").alias("left_over")).dropDuplicates(["key"]), "changed")
+    keys = reliable_checkpoint(changed.select("key"), "keys")
+    shorter = keyed.join(keys, "key", "left_semi").join(changed, "key").where("trim(left_over) <> ''")
+    new = {"text": F.col("left_over")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("left_over").isNull(), F.col("row.n_chars")).otherwise(F.char_length("left_over").cast(kind))
-    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.char_length("left_over").cast(docs.schema["n_chars"].dataType)
+    shorter = shorter.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return keyed.join(keys, "key", "left_anti").select("row.*").unionByName(shorter)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
