@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import model, sampling
+from ..operators import model, reports, sampling
 from ..operators.ledger_table import LedgerTable
 from ..sources import writers
 from ..session import work_path
@@ -190,6 +190,24 @@ def b2_incremental(spark, sf):
     return labels.newest_export(writers.read_training_table(spark, path)).select("transaction_id", "user_id", "date", "category")
 
 
+@register(
+    "b2_daily_stats",
+    """SELECT count(*) AS total_records, true AS users_fit, true AS categories_fit, count(*) FILTER (WHERE is_user_corrected) AS user_corrected_count,
+    min(date) AS earliest_date, max(date) AS latest_date, count(DISTINCT category) AS unique_categories FROM td""",
+    [TD_SQL],
+)
+def b2_stats(spark, sf):
+    """The statistics action over one row a day, after the last years were counted again. Estimates are held against the exact counts."""
+    path, rows = work_path(spark, "b2-stats"), td(spark, sf)
+    for years in (rows.filter("date < '2000-01-01'"), rows.filter("date >= '1998-01-01'")):
+        jobs.update_daily_stats(spark, years, path)
+    exact = reports.training_stats(rows)
+    stats = jobs.export_daily_stats(spark, path).withColumns({"_users": exact.select("unique_users").scalar(), "_categories": exact.select("unique_categories").scalar()})
+    fits = F.abs(F.col("unique_users") - F.col("_users")) <= F.col("_users") * 0.05
+    same = F.col("unique_categories") == F.col("_categories")
+    return stats.select("total_records", fits.alias("users_fit"), same.alias("categories_fit"), "user_corrected_count", "earliest_date", "latest_date", "unique_categories")
+
+
 @register(
     "k10_dropped_days",
     "SELECT feedback_id, feedback_timestamp FROM fb WHERE feedback_timestamp >= TIMESTAMP '2024-01-21'",

@@ -158,6 +158,17 @@ def export_stats(spark: SparkSession, table_path: str) -> DataFrame:
     return reports.training_stats(writers.read_training_table(spark, table_path))
 
 
+def update_daily_stats(spark: SparkSession, rows: DataFrame, stats_path: str) -> None:
+    """Keep one row a day of the warehouse table, in a folder a year. ``rows`` are whole years of it, which are replaced."""
+    days = reports.daily_stats(rows).withColumn("year", F.year("day"))
+    days.repartition("year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(stats_path)
+
+
+def export_daily_stats(spark: SparkSession, stats_path: str) -> DataFrame:
+    """The statistics action over the rows of ``update_daily_stats``."""
+    return reports.stats_of_days(spark.read.parquet(stats_path))
+
+
 def prepare_training(source: DataFrame, user_ids=None, start=None, end=None, limit_per_user=None) -> DataFrame:
     """Ledger rows to the labelled training layout."""
     return rules.prepare_training_rows(readers.scan_ledger(source, user_ids, start, end, limit_per_user))
