@@ -46,7 +46,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: that with the smallest key, a hash of doc_id and text.
+    """One document of each group of linked texts: that with the smallest doc_id, null last, and of those the smallest key.
 
     Groups are formed by text: rows that share a doc_id but not a text are different documents, and rows without a doc_id
     are compared like all others. Of rows equal in both, one stays, the first by a hash of all its values. Texts
@@ -54,8 +54,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     queries.bounded_batches(spark)
     keyed = _keyed(docs)
-    groups = jaccard.similarity_join(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=NEAR_WORDS, percent=NEAR_PERCENT)
-    gone = reliable_checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct(), "gone")
+    joined = jaccard.similarity_join(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    groups = reliable_checkpoint(joined.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct(), "groups")
+    several = groups.where("key <> group").select("group").distinct()
+    linked = groups.join(several, "group").join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
+    first = linked.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    gone = reliable_checkpoint(linked.select("key").distinct().join(first, "key", "left_anti"), "gone")
     twice = reliable_checkpoint(keyed.groupBy("key").count().where("count > 1").select("key"), "twice")
     left = keyed.join(gone, "key", "left_anti")
     first = F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")
