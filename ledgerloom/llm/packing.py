@@ -35,11 +35,11 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]
     return [(i, s, min(capacity, len(ids) - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)])) for i, s in enumerate(starts)]
 
 
-def cut_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+def cut_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str | None = None, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """The pieces of each document's ids, the end id last; a null or empty text has the end id alone."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = tokens.encoder(vocabulary, folder)
+        of = tokens.encoder(vocabulary, folder, remembered)
         for frame in frames:
             rows = [(d, *p) for d, ids in zip(frame["doc_id"], of.many(frame["text"])) for p in pieces_of(np.append(ids, np.int32(END_ID)), capacity)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -149,16 +149,16 @@ class Plan:
         return sum(number for _, number in self.filled)
 
 
-def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, folder: str | None = None, remembered: int = tokens.REMEMBERED) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece.
 
     Null and empty texts are one piece, the end id. Repeated rows are packed as often as they occur. An empty table gives an
     empty one. Documents of more than ``capacity`` tokens are cut into full pieces and a rest. The counts by length, at most
     ``capacity`` rows, come to the driver, and the plan made of them goes to the tasks: each entry of it uses up a length or a
-    set of equal sequences, so its size depends on ``capacity`` only.
+    set of equal sequences, so its size depends on ``capacity`` only. A worker remembers ``remembered`` stretches of text.
     """
     spark = documents.sparkSession
-    pieces = reliable_checkpoint(cut_pieces(documents, capacity, vocabulary, folder), "pieces")
+    pieces = reliable_checkpoint(cut_pieces(documents, capacity, vocabulary, folder, remembered), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = np.array(sorted(Plan(counts, capacity).places()), dtype=np.int64).reshape(-1, 6)
     sent = spark.sparkContext.broadcast(plan)

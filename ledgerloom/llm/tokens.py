@@ -58,14 +58,14 @@ _WORD = re.compile(f" [{_LETTER}]+")
 class Encoder:
     """Ids of texts, remembered by stretch; a new stretch is put together from remembered parts where that is safe."""
 
-    def __init__(self, name: str, folder: str | None = None):
+    def __init__(self, name: str, folder: str | None = None, remembered: int = REMEMBERED):
         self.library = tokenizer(name, folder)
         vocabulary = self.library.get_vocab()
         self.opens, self.closes = np.zeros(max(vocabulary.values()) + 1, bool), np.zeros(max(vocabulary.values()) + 1, bool)
         # The space before a word in byte-level tokens, the end of a word in others
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memory, self.parts = Memory(REMEMBERED), Memory(REMEMBERED // 2)  # ids as bytes
+        self.memory, self.parts = Memory(remembered), Memory(remembered // 2)  # ids as bytes
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -141,6 +141,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(name: str, folder: str | None = None) -> Encoder:
+def encoder(name: str, folder: str | None = None, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder, which keeps what it remembers between tasks."""
-    return Encoder(name, folder)
+    return Encoder(name, folder, remembered)
