@@ -16,6 +16,7 @@ from ledgerloom.session import reliable_checkpoint, work_path
 ORACLE_SQL = None  # learned languages, suffix sorting and tokenizer ids are beyond SQL
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-duplicate stage: five-word shingles, similarity 0.8
+REMEMBERED = 100_000  # stretches of text in the packing stage, whose workers still hold memory of the stages before
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences, as op10 gives them."""
     queries.bounded_batches(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [
