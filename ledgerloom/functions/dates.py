@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .staging import bound
 from .text import literal_array, literal_map, strip
 
 # Accepted date formats in the order they are tried.
@@ -100,10 +101,13 @@ def _to_utc(local: Column, zone: Column) -> Column:
 
 def header_wall_clock(text: Column) -> Column:
     """Local time of an RFC 2822 header date, without its zone."""
-    text = _header_text(text)
-    wall = F.regexp_replace(text, _RFC2822, "$1 $2 $3 $4:$5:0$6")
-    wall = F.regexp_replace(wall, r":0(\d{2})$", ":$1")
-    return F.when(text.rlike(_RFC2822), _ntz(F.try_to_timestamp(wall, F.lit("d MMM yyyy H:m:s"))))
+
+    def wall_clock(text: Column) -> Column:
+        wall = F.regexp_replace(text, _RFC2822, "$1 $2 $3 $4:$5:0$6")
+        wall = F.regexp_replace(wall, r":0(\d{2})$", ":$1")
+        return F.when(text.rlike(_RFC2822), _ntz(F.try_to_timestamp(wall, F.lit("d MMM yyyy H:m:s"))))
+
+    return bound(_header_text(text), wall_clock)
 
 
 def _header_text(text: Column) -> Column:
@@ -112,10 +116,12 @@ def _header_text(text: Column) -> Column:
 
 def header_zone(text: Column) -> Column:
     """Zone of an RFC 2822 header date, NULL if it has none."""
-    zone = F.upper(F.regexp_extract(_header_text(text), _RFC2822, 7))
-    named = literal_map(HEADER_ZONES)
-    numeric = _offset_zone(F.substring(zone, 1, 1), F.substring(zone, 2, 2), F.substring(zone, 4, 2))
-    return F.when(zone == "-0000", None).when(zone.rlike("^[+-]"), numeric).otherwise(F.try_element_at(named, zone))
+
+    def offset(zone: Column) -> Column:
+        numeric = _offset_zone(F.substring(zone, 1, 1), F.substring(zone, 2, 2), F.substring(zone, 4, 2))
+        return F.when(zone == "-0000", None).when(zone.rlike("^[+-]"), numeric).otherwise(F.try_element_at(literal_map(HEADER_ZONES), zone))
+
+    return bound(F.upper(F.regexp_extract(_header_text(text), _RFC2822, 7)), offset)
 
 
 def header_instant(text: Column, default_zone: str = "UTC") -> Column:
@@ -145,27 +151,39 @@ def parse_date(text: Column, header_date: Column | None = None, default_zone: st
     """First format that fits wins. Midnight takes the header's time of day; the zone is the offset in the
     text, else a named zone, else the header's zone, else ``default_zone``. The result is in UTC."""
     header_date = F.lit(None).cast("string") if header_date is None else header_date
-    cleaned = F.regexp_replace(drop_zone_names(text), r"\s+", " ")
-    number = format_number(cleaned)
     with_zone = [i for i, fmt in enumerate(DATE_FORMATS, 1) if "%z" in fmt]
-    short_year = [i for i, fmt in enumerate(DATE_FORMATS, 1) if "%y" in fmt]
+
+    def in_utc(cleaned: Column, number: Column, local: Column) -> Column:
+        sign = F.regexp_extract(cleaned, _OFFSET, 1)
+        offset = F.when(sign == "", F.lit("UTC")).otherwise(
+            _offset_zone(sign, F.regexp_extract(cleaned, _OFFSET, 2), F.regexp_extract(cleaned, _OFFSET, 3))
+        )
+        zone = F.when(number.isin(with_zone), offset).otherwise(
+            F.coalesce(named_zone(text), header_zone(header_date), F.lit(default_zone))
+        )
+        sent_at = bound(header_wall_clock(header_date), lambda wall: wall - _ntz(F.date_trunc("day", wall)))
+        time_of_day = F.when(_ntz(F.date_trunc("day", local)) == local, sent_at)
+        filled = local + F.coalesce(time_of_day, F.expr("INTERVAL '0 00:00:00' DAY TO SECOND"))
+        return F.when(local.isNotNull(), _to_utc(filled, zone))
+
+    def parsed(cleaned: Column) -> Column:
+        return bound(
+            format_number(cleaned),
+            lambda number: bound(_local_time(cleaned, number, with_zone), lambda local: in_utc(cleaned, number, local)),
+        )
+
+    return F.when(text.isNotNull(), bound(F.regexp_replace(drop_zone_names(text), r"\s+", " "), parsed))
+
+
+def _local_time(cleaned: Column, number: Column, with_zone: list[int]) -> Column:
+    """Local time of a text that has the shape of the format with that number."""
     plain = F.regexp_replace(cleaned, r"(?i)^[a-z]{3},\s*|(?<=\d{2})\s*(?:z|[+-]\d{2}:?\d{2})$", "")
     source = F.when(number.isin(with_zone), plain).otherwise(cleaned)
     pattern = F.get(literal_array([_spark_pattern(fmt) for fmt in DATE_FORMATS]), number - 1)
-    local = _ntz(F.try_to_timestamp(source, pattern))
+    short_year = [i for i, fmt in enumerate(DATE_FORMATS, 1) if "%y" in fmt]
     # two-digit years 69..99 belong to the last century
-    local = local - F.make_ym_interval(F.when(number.isin(short_year) & (F.year(local) >= 2069), 100).otherwise(0), F.lit(0))
-    wall = header_wall_clock(header_date)
-    time_of_day = F.when(_ntz(F.date_trunc("day", local)) == local, wall - _ntz(F.date_trunc("day", wall)))
-    filled = local + F.coalesce(time_of_day, F.expr("INTERVAL '0 00:00:00' DAY TO SECOND"))
-    sign = F.regexp_extract(cleaned, _OFFSET, 1)
-    offset = F.when(sign == "", F.lit("UTC")).otherwise(
-        _offset_zone(sign, F.regexp_extract(cleaned, _OFFSET, 2), F.regexp_extract(cleaned, _OFFSET, 3))
-    )
-    zone = F.when(number.isin(with_zone), offset).otherwise(
-        F.coalesce(named_zone(text), header_zone(header_date), F.lit(default_zone))
-    )
-    return _to_utc(filled, zone)
+    back = lambda local: F.make_ym_interval(F.when(number.isin(short_year) & (F.year(local) >= 2069), 100).otherwise(0), F.lit(0))
+    return F.when(number.isNotNull(), bound(_ntz(F.try_to_timestamp(source, pattern)), lambda local: local - back(local)))
 
 
 def iso_to_utc(text: Column) -> Column:

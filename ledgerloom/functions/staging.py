@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,11 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column] | None = None) -> Da
     columns = columns or {}
     fields = [F.col(c) for c in df.columns if c not in columns] + [c.alias(n) for n, c in columns.items()]
     return df.select(F.inline(F.array(F.struct(*fields))))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` names it.
+
+    For a value that is needed on some rows only, where ``evaluate_once`` would compute it on all. A column expression
+    that is named twice is otherwise computed twice inside a CASE."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the greatest in ``order``.
@@ -31,6 +33,19 @@ def top_k_per_group(
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Row numbers from 1 of a sorted table, in its order. No task sees more than its own rows: each numbers those it has, and
+    the rows of the tasks before are added. The table is written once, because sorting it again could cut it elsewhere."""
+    own = 33  # bits of the number inside a task
+    rows = reliable_checkpoint(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", own)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    placed = rows.withColumn("_part", part).join(starts, "_part")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << own) - 1) + 1).alias(name))
+
+
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """Raise when columns are missing; a check of the schema, no job runs."""
     missing = [c for c in names if c not in df.columns]

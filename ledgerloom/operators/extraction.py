@@ -1,8 +1,8 @@
 """Messages to transactions: body, first matching template, fields, outcome.
 
-The work is three narrow projections. Texts are prepared once per message; the templates become one CASE in
-registry order, so a message stops at its first match; literal patterns are compiled once per task. A cheap
-``contains`` test guards the patterns of each template.
+The work is a few narrow projections. Texts are prepared once per message, and each body is searched once for the
+hints of all templates. The templates are tried in registry order, so a message stops at its first match, and a
+template at its first pattern that is missing; each pattern is searched once, compiled once per task.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from ..functions import dates, mime, text
 from ..functions.staging import evaluate_once
 from .common import top_k_per_group
-from .templates import TEMPLATES, Template, groups
+from .templates import TEMPLATES, Template, always_captures, groups
 
 # The cleaned body is ASCII, the raw one is not: its blanks, digits and letter case follow Unicode.
 _FLAGS = {"sanitized": "(?is)", "raw": "(?isUd)"}
-TEMPLATES_PER_STEP = 3
+HINTS_PER_MASK = 20  # templates whose hints share a mask of 64 bits; a template has three at most
 _MATCH_DDL = (
     "struct<template: string, body_type: string, amount_raw: string, account_raw: string, vendor_raw: string, "
     "date_raw: string>"
@@ -83,69 +83,105 @@ def cell_fields(cells: Column) -> dict[str, Column]:
 
 
 def first_group(body: str, pattern: str, flags: str, trim: bool = False) -> str:
-    """First non-empty group of the first occurrence, or the whole match of a pattern without groups; an
-    occurrence with only empty groups gives the empty text. Ask ``rlike`` first."""
+    """First non-empty group of the first occurrence, or the whole match of a pattern without groups; the empty text
+    where nothing is found or nothing is captured."""
     full, n = text.quoted(flags + pattern), groups(pattern)
     parts = [f"regexp_extract({body}, {full}, {i})" for i in (range(1, n + 1) if n else [0])]
     if trim:
         parts = [f"btrim({part}, {text.quoted(text.BLANKS)})" for part in parts]
-    return parts[0] if len(parts) == 1 else "coalesce(" + ", ".join(f"nullif({p}, '')" for p in parts) + ", '')"
+    return parts[0] if len(parts) == 1 else f"coalesce(get(filter(array({', '.join(parts)}), g -> g <> ''), 0), '')"
 
 
-def _candidate(template: Template, kind: str, need_date: bool) -> str:
-    """One WHEN branch: condition and match of one template on one form of the body."""
-    body, low, flags = f"{kind}_body", f"{kind}_low", _FLAGS[kind]
-    fits = lambda column, pattern, how=flags: f"{column} RLIKE {text.quoted(how + pattern)}"
-    tests, date = [], "NULL"
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` in which ``name`` stands for ``value``, computed once and only when it is asked for."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _found(name: str, column: str, pattern: str, flags: str, inner: str) -> str:
+    """``inner`` if the pattern occurs, with its text as ``name``; NULL otherwise. One search, unless the pattern can
+    occur and capture nothing."""
+    if always_captures(pattern):
+        return _bound(name, first_group(column, pattern, flags), f"CASE WHEN {name} <> '' THEN {inner} END")
+    return f"CASE WHEN {column} RLIKE {text.quoted(flags + pattern)} THEN {_bound(name, first_group(column, pattern, flags), inner)} END"
+
+
+def _hint_bits(templates: list[Template]) -> dict[str, int]:
+    """A bit for each different hint."""
+    return {hint: i for i, hint in enumerate(dict.fromkeys(h for t in templates for h in t.hints))}
+
+
+def _hint_mask(low: str, bits: dict[str, int]) -> Column:
+    """The bits of the hints that a lower-case text contains; each hint is looked for once."""
+    parts = [f"CASE WHEN contains({low}, {text.quoted(h)}) THEN {1 << i}L ELSE 0L END" for h, i in bits.items()]
+    return F.expr(" | ".join(parts) or "0L")
+
+
+def _candidate(template: Template, kind: str, need_date: bool, bits: dict[str, int]) -> str:
+    """The match of one template on one form of the body, NULL if it does not fit. Tests run from cheap to costly, and
+    the first that fails ends them."""
+    body, flags = f"{kind}_body", _FLAGS[kind]
+    gates = []
     if template.email_from:
-        tests.append(f"from_addr = {text.quoted(template.email_from)}")
-    if template.subject_pattern:
-        tests.append(fits("subject", template.subject_pattern, _FLAGS["raw"]))
+        gates.append(f"from_addr = {text.quoted(template.email_from)}")
     if template.hints:
-        tests.append("(" + " OR ".join(f"contains({low}, {text.quoted(h)})" for h in template.hints) + ")")
+        gates.append(f"({kind}_hints & {sum(1 << bits[h] for h in template.hints)}L) <> 0")
+    if template.subject_pattern:
+        gates.append(f"subject RLIKE {text.quoted(_FLAGS['raw'] + template.subject_pattern)}")
     if template.cells:
-        tests += [f"cell.{name} <> ''" for name in ("amount", "account", "vendor")]
-        amount, account, vendor = "cell.amount", "cell.account", "cell.vendor"
+        gates += [f"cell.{name} <> ''" for name in ("amount", "account", "vendor")]
+        fields = {"amount": "cell.amount", "account": "cell.account", "vendor": "cell.vendor", "date": "CAST(NULL AS STRING)"}
     else:
-        tests += [fits(body, template.amount), fits(body, template.account)]
-        vendor = text.quoted(template.vendor)
+        fields = {"amount": "a", "account": "c", "vendor": "v", "date": "d"}
+    out = (
+        f"named_struct('template', {text.quoted(template.name)}, 'body_type', '{kind}', 'amount_raw', {fields['amount']}, "
+        f"'account_raw', btrim({fields['account']}, {text.quoted(text.BLANKS)}), 'vendor_raw', {fields['vendor']}, 'date_raw', {fields['date']})"
+    )
+    if not template.cells:
+        # from the innermost: date, vendor, account, amount
+        if not template.date:
+            out = _bound("d", "CAST(NULL AS STRING)", out)
+        elif need_date and always_captures(template.date):
+            out = _found("d", body, template.date, flags, out)
+        else:
+            out = _bound("d", f"nullif({first_group(body, template.date, flags)}, '')", out)
+            if need_date:
+                out = f"CASE WHEN {body} RLIKE {text.quoted(flags + template.date)} THEN {out} END"
         if template.vendor_is_pattern:
             vendor = first_group(body, template.vendor, flags, trim=True)
             if template.subject_vendor:
                 subject = first_group("subject", template.subject_vendor, _FLAGS["raw"], trim=True)
-                vendor = f"coalesce(nullif({vendor}, ''), {subject})"
-            tests.append(f"{vendor} <> ''")
-        if template.date:
-            date = f"nullif({first_group(body, template.date, flags)}, '')"
-            if need_date:
-                tests.append(fits(body, template.date))
-        amount, account = (first_group(body, p, flags) for p in (template.amount, template.account))
-    match = (
-        f"named_struct('template', {text.quoted(template.name)}, 'body_type', '{kind}', 'amount_raw', {amount}, "
-        f"'account_raw', btrim({account}, {text.quoted(text.BLANKS)}), 'vendor_raw', {vendor}, 'date_raw', CAST({date} AS STRING))"
-    )
-    return f"WHEN {' AND '.join(tests)} THEN {match}"
+                vendor = _bound("w", vendor, f"CASE WHEN w <> '' THEN w ELSE {subject} END")
+            out = _bound("v", vendor, f"CASE WHEN v <> '' THEN {out} END")
+        else:
+            out = _bound("v", text.quoted(template.vendor), out)
+        out = _found("c", body, template.account, flags, out)
+        out = _found("a", body, template.amount, flags, out)
+    return f"CASE WHEN {' AND '.join(gates)} THEN {out} END" if gates else out
 
 
-def first_match(templates: list[Template]) -> Column:
+def first_match(templates: list[Template], bits: dict[str, int] | None = None) -> Column:
     """First template in order, tried on the cleaned and then on the raw body. A template whose date is
-    optional is tried with its date on both forms before it is tried without."""
-    branches = []
+    optional is tried with its date on both forms before it is tried without. Needs the ``_hints`` of both bodies."""
+    bits = _hint_bits(templates) if bits is None else bits
+    candidates = []
     for template in templates:
         kinds = ("raw",) if template.cells else ("sanitized", "raw")
         tries = [(kind, True) for kind in kinds] + [(kind, False) for kind in kinds if template.date_optional]
-        branches += [_candidate(template, kind, need_date) for kind, need_date in tries]
-    return F.expr(f"CASE {' '.join(branches)} END").cast(_MATCH_DDL)
+        candidates += [_candidate(template, kind, need_date, bits) for kind, need_date in tries]
+    return F.expr(f"coalesce({', '.join(candidates)})").cast(_MATCH_DDL)
 
 
 def match_templates(bodies: DataFrame, templates: list[Template] | None = None) -> DataFrame:
-    """Append ``match``. The CASE over all templates is longer than one generated method may be, so a few
-    templates are tried per projection, and only on messages that no earlier one took."""
+    """Append ``match``. Each body is searched once for all hints, which decide by bits what templates are tried; a
+    template's patterns are each looked for once and bound by name, up to the first that is missing."""
     templates = templates or TEMPLATES
-    out = bodies.withColumn("match", F.lit(None).cast(_MATCH_DDL))
-    for i in range(0, len(templates), TEMPLATES_PER_STEP):
-        step = first_match(templates[i : i + TEMPLATES_PER_STEP])
-        out = evaluate_once(out, {"match": F.when(F.col("match").isNull(), step).otherwise(F.col("match"))})
+    out = bodies
+    for i in range(0, len(templates), HINTS_PER_MASK):
+        some = templates[i : i + HINTS_PER_MASK]
+        bits = _hint_bits(some)
+        out = evaluate_once(out, {f"{kind}_hints": _hint_mask(f"{kind}_low", bits) for kind in _FLAGS})
+        step = first_match(some, bits)
+        out = evaluate_once(out, {"match": step if not i else F.when(F.col("match").isNull(), step).otherwise(F.col("match"))})
     return out
 
 

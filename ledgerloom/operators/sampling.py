@@ -68,65 +68,85 @@ def balance_categories(
     return df.join(cuts, "category", "left").filter(kept).select(*df.columns)
 
 
-_STEPS = [("day", "INTERVAL '1' DAY"), ("second", "INTERVAL '1' SECOND"), ("microsecond", "INTERVAL '0.000001' SECOND")]
-
-
-def _cell_of(counts: DataFrame, skip: int):
-    """The key whose rows contain row number ``skip`` and how many rows come before that key."""
-    upto = F.sum("n").over(Window.orderBy(F.asc_nulls_first("key")).rowsBetween(Window.unboundedPreceding, 0))
-    hit = counts.withColumn("upto", upto).filter(F.col("upto") > skip).orderBy("upto").limit(1)
-    return hit.select("key", (F.col("upto") - F.col("n")).alias("before")).first()
-
-
-def time_cut(df: DataFrame, target: int, date: str, cell: Column):
-    """Where row number ``target`` (from 0) falls in the order (date, hash cell), NULL dates first: the exact
-    timestamp, the hash cell, and the number of rows ahead of that cell. None when there is no such row.
-
-    Found by narrowing: day, second, microsecond, hash cell. Each step counts the rows inside the interval
-    found before, a range on the date column that reaches the scan. The count tables stay small (days, then
-    86,400, then a million, then 65,536 keys) whatever the size of the input, and one row per step comes
-    back to the driver."""
-    at = F.col(date)
-    rows, ahead, stamp = df, 0, None
-    for unit, width in _STEPS:
-        key = F.date_trunc(unit, at).cast("timestamp_ntz").alias("key")
-        found = _cell_of(rows.groupBy(key).agg(F.count("*").alias("n")), target - ahead)
-        if found is None:
+SKETCH = 10_000  # accuracy of the sketch that brackets the cut
+CELLS = 1 << 16  # intervals into which a bracket is divided
+EDGE = 100_000  # rows that are ranked one by one
+_NONE = -(1 << 63)  # stands for a missing date, which comes first
+
+
+def _micros(date: str) -> Column:
+    return F.coalesce(F.unix_micros(F.col(date).cast("timestamp")), F.lit(_NONE))
+
+
+def bracket(df: DataFrame, share: float, date: str) -> tuple[int, int, int]:
+    """Number of rows, and two instants between which the row at ``share`` of them should be: one scan, a quantile sketch."""
+    around = [max(share - 2 / SKETCH, 0.0), min(share + 2 / SKETCH, 1.0)]
+    found = df.agg(F.count("*").alias("n"), F.percentile_approx(_micros(date), around, SKETCH).alias("q")).first()
+    return (found["n"], *(found["q"] or (0, 0)))
+
+
+def time_cut(df: DataFrame, target: int, low: int, high: int, date: str, cell: Column):
+    """Where row number ``target`` (from 0) falls in the order (date, hash cell), missing dates first: an interval of
+    instants ``[low, high)``, its hash cell or None for all, and the number of rows ahead. None when there is no such row.
+
+    One pass counts the rows before the bracket and in each of CELLS intervals of it, which settles the cut unless more than
+    EDGE rows are in its interval. Then that interval is divided in turn, and a single instant by hash cells. A bracket
+    that does not hold the row is widened, so a sketch may be wrong. Counts of at most CELLS + 2 keys are
+    accumulated, and one row a pass comes back to the driver."""
+    at = _micros(date)
+    high += 1
+    while True:
+        if low == _NONE:  # the bracket starts among missing dates: these, and all instants in it
+            key = F.when(at == _NONE, -1).when(at < high, 0).otherwise(CELLS)
+        else:
+            width = max(1, -(-(high - low) // CELLS))
+            key = F.when(at < low, -1).when(at >= high, CELLS).otherwise(F.floor((at - F.lit(low)) / F.lit(width)).cast("bigint"))
+        counts = df.groupBy(key.cast("bigint").alias("key")).agg(F.count("*").alias("n"), F.min(at).alias("least"), F.max(at).alias("most"))
+        upto = F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+        hit = counts.withColumn("upto", upto).filter(F.col("upto") > target).orderBy("upto").limit(1).first()
+        if hit is None:
             return None
-        stamp, ahead = found["key"], ahead + found["before"]
-        if stamp is None:
-            rows = df.filter(at.isNull())
+        low, high = hit["least"], hit["most"] + 1
+        if hit["n"] <= EDGE:
+            return low, high, None, hit["upto"] - hit["n"]
+        if high == low + 1:
             break
-        low = F.lit(stamp).cast("timestamp_ntz")
-        rows = df.filter((at >= low) & (at < low + F.expr(width)))
-    found = _cell_of(rows.groupBy(cell.alias("key")).agg(F.count("*").alias("n")), target - ahead)
-    return stamp, found["key"], ahead + found["before"]
+    ahead = hit["upto"] - hit["n"]
+    cells = df.filter(at == low).groupBy(cell.alias("key")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.asc_nulls_first("key")).rowsBetween(Window.unboundedPreceding, 0))
+    hit = cells.withColumn("upto", upto).filter(F.col("upto") > target - ahead).orderBy("upto").limit(1).first()
+    return low, high, hit["key"], ahead + hit["upto"] - hit["n"]
 
 
 def split_by_time(
     df: DataFrame, train_share: float = 0.8, date: str = "date", row_id: str = "transaction_id", seed: int = SEED
 ) -> DataFrame:
-    """Append ``is_train``: true for the first ``int(n * share)`` rows by (date, hash of the id).
+    """Append ``is_train``: true for the first ``int(n * share)`` rows by (date, hash of the id), missing dates first.
 
-    Rows before and after the cut are told apart by comparing with constants; only rows in the cut's own
-    hash cell (1/65,536 of the rows that share one timestamp) are ranked. ``df`` is read several times: pass
+    Two scans find the cut, a quantile sketch and one pass of counts; only where very many rows share an interval or an
+    instant are there more. Rows before and after the cut are told apart by comparing with constants; only the at most
+    EDGE rows around it, or 1/65,536 of those that share one timestamp, are ranked. ``df`` is read several times: pass
     a table, not a costly plan."""
-    at, key = F.col(date), sample_key(F.col(row_id), seed)
+    key = sample_key(F.col(row_id), seed)
     cell = F.substring(key, 1, 4)
-    target = int(df.count() * train_share)
-    cut = time_cut(df, target, date, cell)
+    n, low, high = bracket(df, train_share, date)
+    target = int(n * train_share)
+    cut = time_cut(df, target, low, high, date, cell)
     if cut is None:
         return df.withColumn("is_train", F.lit(True))
-    cut_cell, ahead = F.lit(cut[1]), cut[2]
-    if cut[0] is None:
-        at_cut, before_cut = at.isNull(), F.lit(False)
-    else:
-        stamp = F.lit(cut[0]).cast("timestamp_ntz")
-        at_cut, before_cut = F.coalesce(at == stamp, F.lit(False)), at.isNull() | (at < stamp)
-    on_edge = at_cut & (cell == cut_cell)
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", row_id))
-    edge = df.filter(on_edge).withColumns({"_key": key, "_cell": cell}).withColumn("is_train", rank + F.lit(ahead) <= target)
-    rest = df.filter(~on_edge).withColumn("is_train", before_cut | (at_cut & (cell < cut_cell)))
+    low, high, cut_cell, ahead = cut
+    at = F.col(date)
+    if low == _NONE:
+        inside, before = at.isNull(), F.lit(False)
+    else:  # constants of the column's own type, so that the range reaches the scan
+        first, last = (F.timestamp_micros(F.lit(m)).cast(df.schema[date].dataType) for m in (low, high - 1))
+        inside, before = F.coalesce(at.between(first, last), F.lit(False)), at.isNull() | (at < first)
+    on_edge = inside if cut_cell is None else inside & (cell == cut_cell)
+    if cut_cell is not None:
+        before = before | (inside & (cell < cut_cell))
+    rank = F.row_number().over(Window.partitionBy("_edge").orderBy(F.asc_nulls_first(date), "_key", row_id))
+    edge = df.filter(on_edge).withColumns({"_key": key, "_edge": F.lit(0)}).withColumn("is_train", rank + F.lit(ahead) <= target)
+    rest = df.filter(~on_edge).withColumn("is_train", before)
     return rest.unionByName(edge.select(*df.columns, "is_train"))
 
 

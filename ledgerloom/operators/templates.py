@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from re import _parser
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,28 @@ def groups(pattern: str) -> int:
     return re.compile(re.sub(r"^\(\?s\)", "", pattern)).groups
 
 
+def always_captures(pattern: str) -> bool:
+    """True if each occurrence surely captures some text, so that an empty capture means that there is none.
+
+    Sure is a piece that is always part of an occurrence: a group that cannot be empty, or alternatives that all have one.
+    """
+
+    def sure(pieces) -> bool:
+        for kind, value in pieces:
+            if kind is _parser.SUBPATTERN:
+                if (value[0] and value[3].getwidth()[0] > 0) or sure(value[3]):
+                    return True
+            elif kind is _parser.BRANCH:
+                if all(sure(branch) for branch in value[1]):
+                    return True
+            elif kind in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0 and sure(value[2]):
+                return True
+        return False
+
+    parsed = _parser.parse(re.sub(r"^\(\?s\)", "", pattern))
+    return sure(parsed) if groups(pattern) else parsed.getwidth()[0] > 0
+
+
 # Fixed values.
 TEMPLATES = [
     Template(

@@ -69,12 +69,12 @@ def k5(spark, sf):
     "o1_corrected_first",
     """, j AS (SELECT td.transaction_id, date, f.feedback_id IS NOT NULL AS is_user_corrected, f.feedback_id
       FROM td LEFT JOIN fb f ON td.transaction_id = f.transaction_id AND td.user_id = f.user_id)
-    SELECT transaction_id, date, is_user_corrected FROM j ORDER BY is_user_corrected DESC, date DESC, transaction_id LIMIT 500""",
+    SELECT transaction_id, date, is_user_corrected, row_number() OVER (ORDER BY is_user_corrected DESC, date DESC, transaction_id) AS place FROM j""",
     [TD_SQL, FB_SQL],
 )
 def o1(spark, sf):
     rows = labels.with_feedback(td(spark, sf), fb(spark, sf), "1995-01-01", "2001-12-31", only_categorized=False)
-    return rows.limit(500).select("transaction_id", "date", "is_user_corrected")
+    return common.numbered(rows.select("transaction_id", "date", "is_user_corrected"), "place")
 
 
 @register(

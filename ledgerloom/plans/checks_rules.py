@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import common, ledger, rules
-from ..sources import readers
+from ..session import work_path
+from ..sources import mailbox, readers
 from .registry import register
 from .views import CODES_SQL, AS_OF, FB_SQL, PRED_SQL, TD_SQL, TX_SQL, USR_SQL, fb, msg, pred, table, td, tx, usr
 
@@ -28,6 +29,16 @@ def s1(spark, sf):
     return readers.unread_messages(msg(spark, sf), folder="INBOX").select("id", "user_id")
 
 
+@register(
+    "s1_mailbox_pages",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS user_id FROM orders WHERE o_orderkey % 4 <> 0",
+)
+def s1_pages(spark, sf):
+    path = work_path(spark, "s1-pages")
+    mailbox.write_pages(msg(spark, sf), path)
+    return mailbox.read_mailbox(spark, path, folder="INBOX").select("id", "user_id")
+
+
 SUBJECTS = [
     "Your TRANSACTION alert", "External Transfer sent", "A payment through Chase", "Withdrawal or Purchase notice",
     "Deposit received", "Early pay: deposit received", "Charge on account ending in 1234", "Monthly statement of transactions",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..session import work_path
+from ..sources import mailbox
 from ..streaming import jobs as streams
 from ..streaming import late
 from .checks_labels import UPSERT_COLUMNS, UPSERT_SQL, _ledger_and_batch
@@ -35,6 +36,20 @@ def r1(spark, sf):
     return spark.read.parquet(out).select("id", "parse_status", "template_used", "amount", "account", "vendor", "date")
 
 
+@register(
+    "r1_streamed_mailbox",
+    "SELECT id, md5(concat(CAST(o_orderkey % 3 AS VARCHAR), CAST(o_custkey AS VARCHAR))) AS digest FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id, * FROM orders WHERE o_orderkey % 4 <> 0)",
+)
+def r1_mailbox(spark, sf):
+    """Three syncs of the mailbox arrive while one stream goes on from where it stopped."""
+    path, out, state = (work_path(spark, f"r1-mailbox-{n}") for n in ("in", "out", "state"))
+    for sync in range(3):
+        mailbox.write_pages(msg(spark, sf).filter(F.col("id").cast("bigint") % 3 == sync), f"{path}/sync={sync}")
+        arriving = mailbox.stream_mailbox(spark, path, folder="INBOX").select("id", F.md5(F.concat(F.lit(str(sync)), "user_id")).alias("digest"))
+        _finish(arriving.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out))
+    return spark.read.parquet(out)
+
+
 @register("r2_streamed_duplicates", "SELECT transaction_id, created_at FROM pred", [PRED_SQL])
 def r2(spark, sf):
     rows = pred(spark, sf).select("transaction_id", "created_at")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import dates, mime, text
+from ..functions.staging import evaluate_once
 from ..operators import extraction
 from .registry import register
 from .views import AS_OF, MSG_SQL, msg, table
@@ -117,16 +118,23 @@ def p7(spark, sf):
 @register(
     "p7_entities",
     """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'a & b <c> "d"' WHEN 1 THEN 'it''s $5 A' WHEN 2 THEN 'caf and 2024' WHEN 3 THEN 'tail'
-    WHEN 4 THEN 'AT&T & co' WHEN 5 THEN 'x y' WHEN 6 THEN '5 < 6' ELSE '50% (half)' END AS body FROM pages""",
+    WHEN 4 THEN 'AT&T & co' WHEN 5 THEN 'x y' WHEN 6 THEN '5 < 6' ELSE '50% (half)' END AS body, md5(html) AS digest FROM pages""",
 )
 def p7_entities(spark, sf):
+    """Each page's whole html, escaped by one of four rules and decoded again, next to unusual forms of references."""
+    forms = {"&": ["&amp;", "&#38;", "&#x26;", "&AMP;"], "<": ["&lt;", "&#60;", "&#x3C;", "&LT;"], ">": ["&gt;", "&#62;", "&#x3e;", "&GT;"],
+             '"': ["&quot;", "&#34;", "&#x22;", "&QUOT;"], "'": ["&apos;", "&#39;", "&#x27;", "&apos;"], "/": ["&sol;", "&#47;", "&#x2F;", "&sol;"]}
+    escaped = F.col("html")
+    for sign, ways in forms.items():
+        escaped = F.replace(escaped, F.lit(sign), F.get(F.array(*[F.lit(w) for w in ways]), (F.col("page_id") % 4).cast("int")))
     samples = [
         "a &amp; b &lt;c&gt; &quot;d&quot;", "it&apos;s &#36;5 &#x41;", "caf&eacute; and &copy2024", "&amp;lt;tail&nbsp;",
         "AT&T & co", "x&#32;y", "5 &lt 6", "50&percnt; &lpar;half&rpar;",
     ]
     sample = F.get(F.array(*[F.lit(s) for s in samples]), (F.col("page_id") % 8).cast("int"))
-    pages = table(spark, sf, "pages").withColumn("sample", sample)
-    return mime.sanitize_into(pages, "sample", "body").select("page_id", "body")
+    pages = evaluate_once(table(spark, sf, "pages"), {"sample": sample, "escaped": escaped})
+    decoded = F.md5(mime.unescape_entities(F.col("escaped"))).alias("digest")
+    return mime.sanitize_into(pages, "sample", "body").select("page_id", "body", decoded)
 
 
 # -------------------------------------------------------------------------------------------- extraction

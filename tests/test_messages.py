@@ -7,8 +7,8 @@ import pytest
 
 from ledgerloom import schemas
 from ledgerloom.operators import extraction
-from ledgerloom.operators.templates import TEMPLATES, groups
-from ledgerloom.plans import jobs
+from ledgerloom.operators.templates import TEMPLATES, Template, always_captures, groups
+from ledgerloom.plans import jobs, views
 
 AS_OF = "2026-01-01 00:00:00"
 DATE = "Thu, 2 Jan 2025 06:33:33 +0000"
@@ -139,3 +139,52 @@ def test_template_text_with_dollar_brace(spark):
     odd = [replace(BY_NAME["Target Credit Card"], amount=r"(?<=price \$)(\d+)", hints=("price ${",), vendor="It's")]
     row = parse(spark, message("price ${ price $12 ending in 1234"), templates=odd)
     assert (row.amount, row.vendor) == (12.0, "It's")
+
+
+def test_what_a_pattern_always_captures():
+    for pattern in (r"(?<=CK)(\d{4})", r"[\d]{4}", r"(?:a (\d+)|b (\d+))", r"(?:(x)y)+", r"(?s)(?<=at)(.+?)(?= on)"):
+        assert always_captures(pattern), pattern
+    for pattern in (r"(?<=A)(.*)(?=e)", r"(?:a (\d+)|b)", r"(x)?y", r"(?:(x)y)*", r"(([0-9,.]+)*)", r"(?=(x))", r"x*"):
+        assert not always_captures(pattern), pattern
+
+
+def test_an_empty_capture_is_a_match_and_a_missing_one_is_none(spark):
+
+    may_be_empty = Template(name="a", account=r"acct (\d*);", amount=r"\$([0-9.]*) paid", vendor="V")
+    two_groups = Template(name="b", account=r"(?:acct (\d{4})|card (\d{4}))", amount=r"\$(\d+)", vendor=r"(?:at (\w+)|to (\w+))", hints=("card",))
+    texts = {"1": "$ paid acct ;", "2": "$12 card 9876 to SHOP", "3": "$12 card 987", "4": "nothing", "5": "$12 acct 1234 at SHOP"}
+    rows = spark.createDataFrame([(k, t, "", "x") for k, t in texts.items()], "id string, sanitized_body string, raw_body string, from_addr string")
+    rows = rows.selectExpr("*", "lower(sanitized_body) AS sanitized_low", "lower(raw_body) AS raw_low", "'' AS subject")
+    got = {r.id: r.match for r in extraction.match_templates(rows, [may_be_empty, two_groups]).collect()}
+    assert (got["1"].template, got["1"].amount_raw, got["1"].account_raw, got["1"].vendor_raw) == ("a", "", "", "V")
+    assert (got["2"].template, got["2"].account_raw, got["2"].vendor_raw) == ("b", "9876", "SHOP")
+    assert got["3"] is None and got["4"] is None and got["5"] is None
+
+
+def test_each_pattern_is_in_the_plan_once(spark, sf):
+    plan = extraction.parse_messages(views.msg(spark, sf), "2024-01-01 00:00:00")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" RLIKE ") < 60
+
+
+def test_mailbox_pages(spark, sf, tmp_path):
+    import json
+
+    from ledgerloom.sources import mailbox
+
+    path = str(tmp_path / "box")
+    messages = views.msg(spark, sf)
+    mailbox.write_pages(messages, f"{path}/sync=1", page=7)
+    with open(f"{path}/sync=1/extra", "w") as out:  # pages without messages, blank lines, messages without columns
+        out.write("\n" + json.dumps({"messages": []}) + "\n" + json.dumps({"nextPageToken": "x"}) + "\n" + json.dumps({"messages": [{"id": "odd"}]}) + "\n")
+    want = {r.id for r in messages.filter("array_contains(labelIds, 'UNREAD')").collect()}
+    rows = mailbox.read_mailbox(spark, path)
+    assert dict(rows.dtypes) == {c: t for c, t in messages.dtypes if c in rows.columns} and rows.columns == schemas.struct(schemas.MESSAGE_DDL).names
+    assert {r.id for r in rows.collect()} == want
+    assert mailbox.read_mailbox(spark, path, label=None).count() == messages.count() + 1
+    one = rows.filter("user_id IN ('5', '7')")
+    plan = spark._jvm.PythonSQLUtils.explainString(one._jdf.queryExecution(), "formatted")
+    assert "StringContains(labels,,UNREAD,)" in plan and "In(user_id," in plan
+    assert one.count() == messages.filter("array_contains(labelIds, 'UNREAD') AND user_id IN ('5', '7')").count()
+    first, second = (r.payload for r in (rows.orderBy("id").first(), messages.filter("array_contains(labelIds, 'UNREAD')").orderBy("id").first()))
+    assert first == second
+    assert mailbox.read_mailbox(spark, str(tmp_path / "absent")).count() == 0

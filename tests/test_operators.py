@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import labels, ledger, model, reports, rules, sampling
+from ledgerloom.operators import common, labels, ledger, model, reports, rules, sampling
 from ledgerloom.plans import jobs, views
 from ledgerloom.plans.checks_labels import _ledger_and_batch
 from ledgerloom.session import work_path
@@ -58,6 +58,32 @@ def test_split_with_missing_dates_and_microseconds(spark):
     assert {r.transaction_id for r in want[:500]} == {r.transaction_id for r in parts.filter("is_train").collect()}
 
 
+def test_split_cut_is_found_whatever_the_bracket(spark, monkeypatch):
+    df = spark.range(2000).select(
+        F.col("id").cast("string").alias("transaction_id"),
+        F.expr("CASE WHEN id % 3 = 0 THEN timestamp_ntz'2024-01-01 12:00:00' WHEN id % 50 <> 1 THEN timestamp_ntz'2000-01-01' + make_dt_interval(id % 900 * 11, id % 24) END").alias("date"),
+    ).cache()
+    rows = df.withColumn("k", sampling.sample_key(F.col("transaction_id"))).collect()
+    rows.sort(key=lambda r: (r.date is not None, r.date or 0, r.k))
+    monkeypatch.setattr(sampling, "EDGE", 5)
+    monkeypatch.setattr(sampling, "CELLS", 16)
+    found = sampling.bracket
+    for share in (0.0, 0.005, 0.02, 0.5, 0.8, 1.0):
+        for shift in (0, -(10**15), 10**15):  # a sketch that is wrong
+            monkeypatch.setattr(sampling, "bracket", lambda *a: (found(*a)[0], *(q if q < 0 else q + shift for q in found(*a)[1:])))
+            taken = {r.transaction_id for r in sampling.split_by_time(df, share).filter("is_train").collect()}
+            assert taken == {r.transaction_id for r in rows[: int(2000 * share)]}, (share, shift)
+    nothing = sampling.split_by_time(df.limit(0))
+    assert nothing.columns == [*df.columns, "is_train"] and nothing.count() == 0
+
+
+def test_rows_are_numbered_in_order_without_one_task(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("v"), F.lit(1).alias("_n"))
+    got = common.numbered(df.orderBy(F.desc("v")), "place").collect()
+    assert sorted((r.place, r.v) for r in got) == [(i + 1, 4999 - i) for i in range(5000)]
+    assert common.numbered(df.limit(0), "place").count() == 0
+
+
 def test_short_names_rank_by_number(spark):
     rowset = [(f"transaction_model_v{v}", "a", "a" if v != 9 else "b", "2024-01-30 10:00:00") for v in (8, 9, 10)]
     fb = spark.createDataFrame(rowset, "model_version string, original_category string, user_category string, t string").withColumn(
