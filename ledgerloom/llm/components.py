@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerloom.session import reliable_checkpoint
@@ -22,19 +22,21 @@ def components(edges: DataFrame) -> DataFrame:
     def larger_first(frame: DataFrame) -> DataFrame:
         return frame.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
 
-    def mark(frame: DataFrame):
-        return frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def written(frame: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a written table, with a mark of them that is taken while they are written."""
+        seen = Observation()
+        marked = frame.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark"))
+        table = reliable_checkpoint(marked, "edges")
+        return table, (seen.get["n"], seen.get["mark"])
 
-    current = reliable_checkpoint(larger_first(edges), "edges")
-    before = mark(current)
+    current, before = written(larger_first(edges))
     while before[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
         large = larger_first(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("_m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        current = reliable_checkpoint(larger_first(small.unionByName(least.select("a", F.col("_m").alias("b")))), "edges")
-        after = mark(current)
+        current, after = written(larger_first(small.unionByName(least.select("a", F.col("_m").alias("b")))))
         if after == before:
             break
         before = after

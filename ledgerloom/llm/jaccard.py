@@ -201,26 +201,28 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 def _links_of_blocks(percent: int):
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = [], []
+        family, a, b = [], [], []
         for group in whole_groups(frames, "g1", "g2", "g3"):
             if len(group) < 2:
                 continue
             ids = group["doc_id"].to_numpy()
             root = _roots(links([np.frombuffer(s, dtype=np.uint64) for s in group["grams"]], percent))
-            own = np.flatnonzero(root != np.arange(len(root)))
+            own = np.flatnonzero(ids[root] != ids)
+            family += group["g1"].to_numpy()[own].tolist()
             a += ids[own].tolist()
             b += ids[root[own]].tolist()
             if len(a) > 100_000:
-                yield pd.DataFrame({"a": a, "b": b})
-                a, b = [], []
+                yield pd.DataFrame({"family": family, "a": a, "b": b})
+                family, a, b = [], [], []
         if a:
-            yield pd.DataFrame({"a": a, "b": b})
+            yield pd.DataFrame({"family": family, "a": a, "b": b})
 
     return compare
 
 
 def _compared(blocks: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges (a, b) inside the groups ``g1, g2, g3`` of ``blocks`` (with doc_id): each document and the first of its component.
+    """Edges ``family, a, b`` inside the groups ``g1, g2, g3`` of ``blocks`` (with doc_id): each document and the first of its
+    component in the group; the family is ``g1``.
 
     Sets are made anew from the texts of the wanted documents, and dealt to the groups in one shuffle.
     """
@@ -236,7 +238,7 @@ def _compared(blocks: DataFrame, documents: DataFrame, words: int, percent: int)
     texts = with_list(documents.select("doc_id", "text"), blocks)
     dealt = texts.mapInPandas(gather, f"doc_id {kind}, g1 bigint, g2 bigint, g3 bigint, grams binary")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return reliable_checkpoint(dealt.mapInPandas(_links_of_blocks(percent), f"a {kind}, b {kind}"), "links")
+    return reliable_checkpoint(dealt.mapInPandas(_links_of_blocks(percent), f"family bigint, a {kind}, b {kind}"), "links")
 
 
 def _size_class(percent: int):
@@ -244,10 +246,11 @@ def _size_class(percent: int):
     return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * (1 + 1e-6)))).cast("int")
 
 
-def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """``label`` for each doc_id: the smallest of its component."""
-    found = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
-    return rows.join(found, "doc_id", "left").withColumn("label", F.coalesce("_c", "doc_id")).drop("_c")
+def _hung(rows: DataFrame, edges: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``label``: the document of the same family under which ``edges`` hang that of ``column``, or itself."""
+    roots = edges.groupBy("family", F.col("a").alias(column)).agg(F.min("b").alias("_root"))
+    kept = [c for c in rows.columns if c != "label"]
+    return rows.join(roots, ["family", column], "left").select(*kept, F.coalesce("_root", column).alias("label"))
 
 
 def _family_links(narrow: DataFrame, documents: DataFrame, words: int, percent: int, block: int) -> DataFrame:
@@ -261,16 +264,19 @@ def _family_links(narrow: DataFrame, documents: DataFrame, words: int, percent:
     first = _compared(sized.select("doc_id", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(0).cast("bigint").alias("g3")), documents, words, percent)
     large = sized.where(F.col("_size") > block).drop("_size")
     if large.limit(1).count() == 0:
-        return first
-    # one document of each component of a block
-    heads = _labelled(large, first).where(F.col("label") == F.col("doc_id"))
+        return first.select("a", "b")
+    # one document of each component of a block: what the others hang under is known, so no components have to be found
+    hung = reliable_checkpoint(_hung(large, first, "doc_id"), "hung")
+    heads = hung.where(F.col("label") == F.col("doc_id")).drop("label")
     counts = heads.groupBy("family").agg(F.count("*").alias("_size"))
     second = _compared(heads.join(counts, "family").select("doc_id", F.col("family").alias("g1"), salt("_size").alias("g2"), F.lit(1).cast("bigint").alias("g3")), documents, words, percent)
-    edges = first.unionByName(second)
+    edges = first.unionByName(second).select("a", "b")
     # families that are still in several parts: blocks of equal size class of large parts, and of all the small ones together
-    labelled = reliable_checkpoint(_labelled(large, edges), "labelled")
+    labelled = reliable_checkpoint(_hung(hung, second, "label"), "labelled")
     parts = labelled.groupBy("family", "label").agg(F.count("*").alias("_part"))
     open_families = parts.groupBy("family").count().where("count > 1").select("family")
+    if open_families.limit(1).count() == 0:
+        return edges
     parted = labelled.join(open_families, "family", "left_semi").join(parts, ["family", "label"])
     # "of": the large part, or nothing for small parts
     part = F.when(F.col("_part") > block, F.col("label").cast("string")).otherwise("")
@@ -286,7 +292,7 @@ def _family_links(narrow: DataFrame, documents: DataFrame, words: int, percent:
     near = (F.abs(F.col("_class") - F.col("_k")) <= 1) & ((F.col("_of") == "") | (F.col("_of") != F.col("_o")))
     pairs = blocks.join(other, "family").where(near).select(*keys, "_salt", F.least("_name", "_m").alias("g2"), F.greatest("_name", "_m").alias("g3"))
     dealt = classed.join(pairs.distinct(), [*keys, "_salt"]).select("doc_id", F.col("family").alias("g1"), "g2", "g3")
-    return edges.unionByName(_compared(dealt, documents, words, percent))
+    return edges.unionByName(_compared(dealt, documents, words, percent).select("a", "b"))
 
 
 def _families(heads: DataFrame, percent: int) -> DataFrame:
@@ -329,12 +335,20 @@ def similarity_join(documents: DataFrame, words: int = WORDS, percent: int = PER
     texts = documents.select("doc_id", "text")
     edges = _family_links(largest, texts, words, percent, block)
     # families that are not in one component yet
-    labelled = _labelled(families.select("doc_id", "n", "family"), edges)
+    known = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("_known"))
+    labelled = families.select("doc_id", "n", "family").join(known, "doc_id", "left").withColumn("label", F.coalesce("_known", "doc_id"))
     several = labelled.groupBy("family").agg(F.min("label").alias("_least"), F.max("label").alias("_most")).where("_least < _most").select("family")
     rest = reliable_checkpoint(labelled.join(several, "family", "left_semi").select("doc_id", "n", "family"), "rest")
-    edges = edges.unionByName(_family_links(rest, texts, words, percent, block))
-    found = components(edges).select(F.col("node").alias("head"), F.col("component").alias("_component"))
-    classes = classes.join(found, "head", "left").select("high", "low", F.coalesce("_component", "head").alias("_component"))
+    component = F.coalesce("_known", "head")
+    classes = classes.join(known.withColumnRenamed("doc_id", "head"), "head", "left").select("high", "low", component.alias("_component"))
+    if rest.limit(1).count():
+        # the components of the components: only their smallest documents and those without any are joined further
+        found = _family_links(rest, texts, words, percent, block)
+        for end in ("a", "b"):
+            found = found.join(known.select(F.col("doc_id").alias(end), F.col("_known").alias(f"_{end}")), end, "left")
+        found = found.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        joined = components(found).select(F.col("node").alias("_component"), F.col("component").alias("_joined"))
+        classes = classes.join(joined, "_component", "left").select("high", "low", F.coalesce("_joined", "_component").alias("_component"))
     own = signed.select("doc_id", "n", "high", "low").join(classes, ["high", "low"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("_component")), F.col("doc_id")))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

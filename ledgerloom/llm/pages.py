@@ -334,10 +334,16 @@ class Extractor:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain from the ``sample`` pages with the smallest hashes among those that have an article or main element."""
+    """A chain from the ``sample`` different pages with the smallest hashes among those that have an article or main element.
+
+    Tasks send hashes to choose from; only the chosen pages are fetched, once each. Of pages that share a hash the least stays.
+    """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select("html", F.xxhash64("html").alias("_h"))
-    chosen = [r["html"] for r in marked.orderBy("_h", "html").limit(sample).collect()]
-    return train_chain(labelled_sequences(chosen))
+    hashes = [r["_h"] for r in marked.select("_h").distinct().orderBy("_h").limit(sample).collect()]
+    if not hashes:
+        return train_chain(labelled_sequences([]))
+    chosen = marked.where((F.col("_h") <= hashes[-1]) & F.col("_h").isin(hashes)).groupBy("_h").agg(F.min("html").alias("html"))
+    return train_chain(labelled_sequences([r["html"] for r in chosen.orderBy("_h").collect()]))
 
 
 def extract(pages: DataFrame, chain: Chain) -> DataFrame:
