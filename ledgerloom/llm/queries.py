@@ -14,6 +14,8 @@ SQL: dict[str, str] = {}
 
 # of an Arrow batch: with long texts, the usual 10,000 rows would be hundreds of megabytes
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+# shuffle files go when their job is done: all operators pass on written tables, and a result that is asked for twice is made anew
+BATCH["spark.sql.classic.shuffleDependency.fileCleanup.enabled"] = "true"
 
 
 def bounded_batches(spark: SparkSession) -> None:
