@@ -34,6 +34,7 @@ BLOCK = 1024  # documents of an incidence matrix
 COLUMNS = 2048  # columns of it that are multiplied at a time
 SHARED = 8  # prefix entries that two linked documents share at least, if they are that long
 FREQUENT = 1 << 21  # frequent n-grams whose order is known; the others count as equally rare
+TOGETHER = 1 << 20  # characters of texts that are hashed together; a longer text is hashed alone
 HELD = 1 << 22  # n-grams of a task that are counted together
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -65,7 +66,21 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """The ascending distinct hashes of each text's word n-grams; a shorter text is one n-gram, one without words has none."""
+    """The ascending distinct hashes of each text's word n-grams; a shorter text is one n-gram, one without words has none.
+
+    Hashing takes some thirty times the memory of the texts, so few are hashed together.
+    """
+    out, held, size = [], [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= TOGETHER:
+            out += _sets_of(held, words)
+            held, size = [], 0
+    return out + _sets_of(held, words)
+
+
+def _sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     grams = hashes.copy()
     for i in range(1, words):
