@@ -91,23 +91,35 @@ class WaveletMatrix:
     def count(self, value: int) -> int:
         return self.rank(value, self.size)
 
+    def _select(self, level: int, bit: int, numbers: np.ndarray) -> np.ndarray:
+        """Places of a plane's ones (or zeros) with these numbers, from 0: their steps by binary search on the counts, then inside the step."""
+        before = self.ones[level] if bit else np.arange(len(self.ones[level])) * STEP - self.ones[level]
+        step = np.searchsorted(before, numbers, side="right") - 1
+        bits = np.unpackbits(self.planes[level].reshape(-1, STEP // 8)[step], axis=1)
+        reached = np.cumsum(bits if bit else 1 - bits, axis=1, dtype=np.int16) > (numbers - before[step])[:, None]
+        return step * STEP + reached.argmax(axis=1)
+
+    def _places(self, value: int, places: np.ndarray) -> np.ndarray:
+        """Where occurrences that end up at ``places`` of the last order stand in the sequence."""
+        for level in range(len(self.planes) - 1, -1, -1):
+            bit = value >> (len(self.planes) - 1 - level) & 1
+            places = self._select(level, bit, places - self.zeros[level] if bit else places)
+        return places
+
     def occurrences(self, value: int) -> np.ndarray:
         """All places of a value, ascending."""
         if value < 0 or value >> len(self.planes):
             return np.zeros(0, dtype=np.int64)
         low, high = self._range(value, self.size)
-        places = np.arange(low, high)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.size)
-            if value >> (len(self.planes) - 1 - level) & 1:
-                places = np.flatnonzero(bit)[places - self.zeros[level]]
-            else:
-                places = np.flatnonzero(bit == 0)[places]
-        return places
+        parts = [self._places(value, np.arange(at, min(at + STEP, high))) for at in range(low, high, STEP)]
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
     def select(self, value: int, k: int) -> int:
-        """Place of the k-th occurrence, from 0."""
-        return int(self.occurrences(value)[k])
+        """Place of the k-th occurrence, from 0. Reads one step of each plane; IndexError beyond the last occurrence."""
+        low, high = self._range(value, self.size) if 0 <= value and not value >> len(self.planes) else (0, 0)
+        if not 0 <= k < high - low:
+            raise IndexError(k)
+        return int(self._places(value, np.array([low + k]))[0])
 
     def decode(self) -> np.ndarray:
         """All values in order: the planes are undone from the last to the first."""

@@ -319,6 +319,10 @@ def test_wavelet_matrix_answers_from_bytes():
     for value in (0, 7, 299, 511, 70_000):
         places = np.flatnonzero(values == value)
         assert (matrix.occurrences(value) == places).all() and matrix.count(value) == len(places)
+        assert [matrix.select(value, k) for k in range(0, len(places), 97)] == places[::97].tolist()
+        for k in (-1, len(places)):
+            with pytest.raises(IndexError):
+                matrix.select(value, k)
         assert [matrix.rank(value, e) for e in (0, 1, 512, 777, 2000)] == [int((values[:e] == value).sum()) for e in (0, 1, 512, 777, 2000)]
     assert matrix.select(7, 1) == np.flatnonzero(values == 7)[1]
     empty = wavelet.WaveletMatrix.build(np.zeros(0, int), 3)
