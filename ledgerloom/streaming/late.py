@@ -7,6 +7,7 @@ their rows is dropped, and every row is counted either by them or by the batch j
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,30 +135,49 @@ def read_closed_hours(spark: SparkSession, out: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------------------------- running counts
 
+STATE_GROUPS = 1 << 16  # sets of transactions whose state is kept together
 NEVER = -(1 << 53)  # stands for a missing time; whole numbers above it are exact in pandas
 
 
-def category_changes(rows: DataFrame) -> DataFrame:
+def _pack(held: dict) -> bytes:
+    return pickle.dumps(held, pickle.HIGHEST_PROTOCOL)
+
+
+def category_changes(rows: DataFrame, groups: int = STATE_GROUPS) -> DataFrame:
     """``user_id, category, change, at`` for each transaction whose newest row changed: one less under the category it had,
     one more under the one it has. The state is the category and time of each transaction. A row that was sent again
-    changes nothing, an older one neither; of rows of one time the last category in code point order counts."""
+    changes nothing, an older one neither; of rows of one time the last category in code point order counts.
+
+    A call of the Python function costs far more than a row, so transactions are kept together by a hash in ``groups`` sets
+    at most; a batch writes the state of those sets only that it has rows of. ``groups`` stays as it is for a checkpoint."""
     at = F.coalesce(F.unix_micros(F.col("last_modified").cast("timestamp")), F.lit(NEVER))
-    named = rows.select("user_id", "transaction_id", category_counts_of(rows).alias("category"), at.alias("at"))
+    group = F.pmod(F.xxhash64("user_id", "transaction_id"), F.lit(groups)).alias("_group")
+    named = rows.select("user_id", "transaction_id", category_counts_of(rows).alias("category"), at.alias("at"), group)
 
     def move(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
-        new = old
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        before, names = {}, {}  # of the transactions that changed; one object for each category
         for frame in frames:
-            for category, when in zip(frame["category"], frame["at"]):
-                new = max(new, (int(when), category)) if new else (int(when), category)
-        if new == old:
+            for user, transaction, category, when in zip(frame["user_id"], frame["transaction_id"], frame["category"], frame["at"].tolist()):
+                which, row = (user, transaction), (when, names.setdefault(category, category))
+                old = held.get(which)
+                if old is None or row > old:
+                    before.setdefault(which, old)
+                    held[which] = row
+        if not before:
             return
-        state.update(new)
-        changes = [(new[1], 1, new[0])] if old is None else [(new[1], 0, new[0])] if old[1] == new[1] else [(old[1], -1, NEVER), (new[1], 1, new[0])]
-        yield pd.DataFrame([(key[0], *c) for c in changes], columns=["user_id", "category", "change", "at"])
-
-    keyed = named.groupBy("user_id", "transaction_id")
-    return keyed.applyInPandasWithState(move, "user_id STRING, category STRING, change BIGINT, at BIGINT", "at BIGINT, category STRING", "update", GroupStateTimeout.NoTimeout)
+        state.update((_pack(held),))
+        changes = []
+        for which, old in before.items():
+            when, category = held[which]
+            if old is not None and old[1] != category:
+                changes.append((which[0], old[1], -1, NEVER))
+            changes.append((which[0], category, 0 if old is not None and old[1] == category else 1, when))
+        yield pd.DataFrame(changes, columns=["user_id", "category", "change", "at"])
+
+    return named.groupBy("_group").applyInPandasWithState(
+        move, "user_id STRING, category STRING, change BIGINT, at BIGINT", "held BINARY", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def _totals(changes: DataFrame) -> DataFrame:

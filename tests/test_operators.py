@@ -515,3 +515,20 @@ def test_retention_drops_whole_days_and_keeps_other_files(spark, tmp_path):
     assert writers.drop_days_before(spark, path, "date_day", datetime.date(2024, 1, 4)) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     after = set(glob.glob(f"{path}/*/*.parquet"))
     assert after < before and sorted(r.id for r in spark.read.parquet(path).collect()) == [3, 4, 5, 6, 7, 8, 9]
+
+
+def test_running_counts_keep_many_transactions_in_one_state(spark):
+    from ledgerloom.streaming import late
+
+    ddl = "user_id string, transaction_id string, predicted_category string, last_modified string"
+    source, state, got = work_path(spark, "packed-in"), work_path(spark, "packed-state"), {}
+    for batch in range(2):  # every transaction moves to another category in the second batch
+        rows = [(f"u{i % 3}" if i % 3 else None, str(i), f"c{(i + batch) % 2}", f"2024-01-0{batch + 1} 00:00:00") for i in range(60)]
+        changes = late.category_changes(streams.read_stream(spark, source, _arrive(spark, source, rows, ddl)), groups=2)
+        save = lambda frame, n: got.setdefault(n, frame.groupBy("user_id", "category").agg(F.sum("change").alias("change")).collect())
+        query = changes.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 2
+    users, categories = (None, "u1", "u2"), ("c0", "c1")
+    assert {(r.user_id, r.category): r.change for r in got[0]} == {(u, c): 10 for u in users for c in categories}
+    assert {(r.user_id, r.category): r.change for r in got[1]} == {(u, c): 0 for u in users for c in categories}
