@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, mime, text
-from ..functions.staging import evaluate_once
+from ..functions.staging import bound, evaluate_once
 from .common import top_k_per_group
 from .templates import TEMPLATES, Template, always_captures, groups
 
@@ -44,8 +44,8 @@ def with_bodies(messages: DataFrame) -> DataFrame:
         staged,
         {
             "sanitized_low": F.lower("sanitized_body"),
-            "raw_low": F.lower("raw_body"),
-            "cell": F.struct(*[c.alias(n) for n, c in cell_fields(cell_texts(F.col("raw_body"))).items()]),
+            # cleaned text is printable ASCII with line feeds, on which both sets of flags find the same: searched once if equal
+            "raw_low": F.when(F.col("raw_body") != F.col("sanitized_body"), F.lower("raw_body")),
         },
     )
 
@@ -116,47 +116,63 @@ def _hint_mask(low: str, bits: dict[str, int]) -> Column:
     return F.expr(" | ".join(parts) or "0L")
 
 
-def _candidate(template: Template, kind: str, need_date: bool, bits: dict[str, int]) -> str:
+def _candidate(template: Template, kind: str, need_date: bool, bits: dict[str, int]) -> Column:
     """The match of one template on one form of the body, NULL if it does not fit. Tests run from cheap to costly, and
     the first that fails ends them."""
     body, flags = f"{kind}_body", _FLAGS[kind]
     gates = []
     if template.email_from:
         gates.append(f"from_addr = {text.quoted(template.email_from)}")
+    if kind == "raw" and not template.cells:
+        gates.append("raw_low IS NOT NULL")
     if template.hints:
-        gates.append(f"({kind}_hints & {sum(1 << bits[h] for h in template.hints)}L) <> 0")
+        hints = "CASE WHEN raw_low IS NULL THEN sanitized_hints ELSE raw_hints END" if template.cells else f"{kind}_hints"
+        gates.append(f"({hints} & {sum(1 << bits[h] for h in template.hints)}L) <> 0")
     if template.subject_pattern:
         gates.append(f"subject RLIKE {text.quoted(_FLAGS['raw'] + template.subject_pattern)}")
+    gate = " AND ".join(gates)
     if template.cells:
-        gates += [f"cell.{name} <> ''" for name in ("amount", "account", "vendor")]
-        fields = {"amount": "cell.amount", "account": "cell.account", "vendor": "cell.vendor", "date": "CAST(NULL AS STRING)"}
-    else:
-        fields = {"amount": "a", "account": "c", "vendor": "v", "date": "d"}
+        found = _cell_match(template, kind)
+        return F.when(F.expr(gate), found) if gate else found
     out = (
-        f"named_struct('template', {text.quoted(template.name)}, 'body_type', '{kind}', 'amount_raw', {fields['amount']}, "
-        f"'account_raw', btrim({fields['account']}, {text.quoted(text.BLANKS)}), 'vendor_raw', {fields['vendor']}, 'date_raw', {fields['date']})"
+        f"named_struct('template', {text.quoted(template.name)}, 'body_type', '{kind}', 'amount_raw', a, "
+        f"'account_raw', btrim(c, {text.quoted(text.BLANKS)}), 'vendor_raw', v, 'date_raw', d)"
     )
-    if not template.cells:
-        # from the innermost: date, vendor, account, amount
-        if not template.date:
-            out = _bound("d", "CAST(NULL AS STRING)", out)
-        elif need_date and always_captures(template.date):
-            out = _found("d", body, template.date, flags, out)
-        else:
-            out = _bound("d", f"nullif({first_group(body, template.date, flags)}, '')", out)
-            if need_date:
-                out = f"CASE WHEN {body} RLIKE {text.quoted(flags + template.date)} THEN {out} END"
-        if template.vendor_is_pattern:
-            vendor = first_group(body, template.vendor, flags, trim=True)
-            if template.subject_vendor:
-                subject = first_group("subject", template.subject_vendor, _FLAGS["raw"], trim=True)
-                vendor = _bound("w", vendor, f"CASE WHEN w <> '' THEN w ELSE {subject} END")
-            out = _bound("v", vendor, f"CASE WHEN v <> '' THEN {out} END")
-        else:
-            out = _bound("v", text.quoted(template.vendor), out)
-        out = _found("c", body, template.account, flags, out)
-        out = _found("a", body, template.amount, flags, out)
-    return f"CASE WHEN {' AND '.join(gates)} THEN {out} END" if gates else out
+    # from the innermost: date, vendor, account, amount
+    if not template.date:
+        out = _bound("d", "CAST(NULL AS STRING)", out)
+    elif need_date and always_captures(template.date):
+        out = _found("d", body, template.date, flags, out)
+    else:
+        out = _bound("d", f"nullif({first_group(body, template.date, flags)}, '')", out)
+        if need_date:
+            out = f"CASE WHEN {body} RLIKE {text.quoted(flags + template.date)} THEN {out} END"
+    if template.vendor_is_pattern:
+        vendor = first_group(body, template.vendor, flags, trim=True)
+        if template.subject_vendor:
+            subject = first_group("subject", template.subject_vendor, _FLAGS["raw"], trim=True)
+            vendor = _bound("w", vendor, f"CASE WHEN w <> '' THEN w ELSE {subject} END")
+        out = _bound("v", vendor, f"CASE WHEN v <> '' THEN {out} END")
+    else:
+        out = _bound("v", text.quoted(template.vendor), out)
+    out = _found("c", body, template.account, flags, out)
+    out = _found("a", body, template.amount, flags, out)
+    return F.expr(f"CASE WHEN {gate} THEN {out} END" if gate else out)
+
+
+def _cell_match(template: Template, kind: str) -> Column:
+    """The match by table cells, which are taken from the body only here."""
+
+    def match(cell: Column) -> Column:
+        fields = {"template": F.lit(template.name), "body_type": F.lit(kind), "amount_raw": cell["amount"],
+                  "account_raw": text.strip(cell["account"]), "vendor_raw": cell["vendor"], "date_raw": F.lit(None).cast("string")}
+        whole = (cell["amount"] != "") & (cell["account"] != "") & (cell["vendor"] != "")
+        return F.when(whole, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    def of_cells(cells: Column) -> Column:
+        return bound(F.struct(*[c.alias(n) for n, c in cell_fields(cells).items()]), match)
+
+    return bound(cell_texts(F.col(f"{kind}_body")), of_cells)
 
 
 def first_match(templates: list[Template], bits: dict[str, int] | None = None) -> Column:
@@ -168,7 +184,7 @@ def first_match(templates: list[Template], bits: dict[str, int] | None = None) -
         kinds = ("raw",) if template.cells else ("sanitized", "raw")
         tries = [(kind, True) for kind in kinds] + [(kind, False) for kind in kinds if template.date_optional]
         candidates += [_candidate(template, kind, need_date, bits) for kind, need_date in tries]
-    return F.expr(f"coalesce({', '.join(candidates)})").cast(_MATCH_DDL)
+    return F.coalesce(*candidates).cast(_MATCH_DDL)
 
 
 def match_templates(bodies: DataFrame, templates: list[Template] | None = None) -> DataFrame:
@@ -226,7 +242,7 @@ def extract_fields(matched: DataFrame, as_of, default_zone: str = "UTC") -> Data
             "date_source": source,
         }
     ).drop("text_date", "sent_date")
-    return evaluate_once(out)
+    return out  # plain projections, so that fields which a job does not read are not computed
 
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,10 +18,11 @@ def _finish(query):
 
 
 def _as_stream(spark, df, name, key, files=6):
-    """A table as a folder of files, read as a stream of several batches."""
-    path = work_path(spark, name)
-    df.repartition(files, key).write.parquet(path)
-    return streams.read_stream(spark, path, df.schema, files_per_trigger=2)
+    """A table as a folder of files, read as a stream of ``files / 2`` batches. Each of the files is as many as a batch needs
+    to keep all cores busy; rows of one key are in one of them."""
+    path, each = work_path(spark, name), max(1, spark.sparkContext.defaultParallelism // 2)
+    df.repartition(files * each, key).write.parquet(path)
+    return streams.read_stream(spark, path, df.schema, files_per_trigger=2 * each)
 
 
 @register(

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import evaluate_once
 from ..functions.text import literal_array
 from ..operators.templates import TEMPLATE_NAMES
 
 AS_OF = "2024-01-31 00:00:00"
+MESSAGES_PER_TASK = 20_000
 
 # Fixed values of the test views.
 # Double metaphone codes of the cleaned vendor names below, and of the cleaned customer names.
@@ -209,7 +211,7 @@ _BODIES = [
 ]
 
 
-def _body(kind: Column, amount: Column, plain: Column, account: Column, vendor: Column, at: Column) -> Column:
+def _body(template: Column, amount: Column, plain: Column, account: Column, vendor: Column, at: Column) -> Column:
     local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), at)
     fields = {
         "{A}": account,
@@ -221,8 +223,10 @@ def _body(kind: Column, amount: Column, plain: Column, account: Column, vendor:
         "{D}": F.date_format(at, "MM/dd/yyyy"),
         "{T}": F.date_format(at, "MMM d, yyyy"),
     }
-    body = _pick(_BODIES, kind)
+    body = template
     for name, value in fields.items():
+        if name in ("{L}", "{S}", "{D}", "{T}"):  # only the date form that the body has is rendered
+            value = F.when(template.contains(name), value).when(at.isNotNull(), "")
         body = F.replace(body, F.lit(name), value)
     return body
 
@@ -237,20 +241,26 @@ def msg(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate") + F.make_dt_interval(hours=(14 + key % 7).cast("int"), mins=(key % 60).cast("int"))
     raw_only = (kind + 1).isin(*_RAW)
     vendor = F.concat(F.lit("SHOP"), F.when((form == 4) & ~raw_only, "&#35;").otherwise("#"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))
-    # a message table has many files; the test orders are one
-    base = orders.repartition(spark.sparkContext.defaultParallelism, key).select(
+    # a message table has as many files as its size asks for; the test orders are one
+    tasks = max(spark.sparkContext.defaultParallelism, -(-orders.count() // MESSAGES_PER_TASK))
+    base = orders.repartition(tasks, key).select(
         key.alias("k"), form.alias("form"), kind.alias("kind"), at.alias("at"), raw_only.alias("raw_only"),
         F.col("o_custkey"), vendor.alias("vendor"),
         F.format_number("o_totalprice", 2).alias("amount"),
         F.col("o_totalprice").cast("decimal(14,2)").cast("string").alias("plain"),
         F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0").alias("account"),
     )
-    body = _body(*[F.col(c) for c in ("kind", "amount", "plain", "account", "vendor", "at")])
+    base = evaluate_once(base, {"template": _pick(_BODIES, F.col("kind"))})
+    base = evaluate_once(base, {"body": _body(*[F.col(c) for c in ("template", "amount", "plain", "account", "vendor", "at")])}).drop("template")
+    body = F.col("body")
     body = F.when(F.col("form") == 1, F.regexp_replace(body, r"\$[0-9,.]*[0-9]", "nothing")).otherwise(body)
     body = F.when(
         (F.col("form") == 3) & ~F.col("raw_only"), F.concat(F.substring(body, 1, 9), F.lit("=\r\n"), F.substr(body, F.lit(10)))
     ).otherwise(body)
-    data = F.translate(F.base64(F.encode(body, "UTF-8")), "+/\r\n", "-_")
+    data = F.base64(F.encode(body, "UTF-8"))
+    for old, new in (("+", "-"), ("/", "_"), ("\r", ""), ("\n", "")):
+        data = F.replace(data, F.lit(old), F.lit(new))
+    base, data = evaluate_once(base, {"data": data}).drop("body"), F.col("data")
     half = (F.length(data) / 2).cast("int")
     data = (
         F.when(F.col("form") == 6, F.lit("%%%broken%%%"))

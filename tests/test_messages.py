@@ -188,3 +188,26 @@ def test_mailbox_pages(spark, sf, tmp_path):
     first, second = (r.payload for r in (rows.orderBy("id").first(), messages.filter("array_contains(labelIds, 'UNREAD')").orderBy("id").first()))
     assert first == second
     assert mailbox.read_mailbox(spark, str(tmp_path / "absent")).count() == 0
+
+
+def test_cells_are_read_where_the_cleaned_text_is_the_raw_one(spark):
+    """Cells without closing signs are no markup, so both texts are equal; patterns are searched once then, cells still."""
+    body = "<td\n>Account ending in 1234</td\n>"
+    cells = [BY_NAME["Chase Credit Cards - HTML Template"]]
+    row = parse(spark, message(f"{body}<td>$5.00</td><td>SHOP</td>"), templates=cells)
+    assert (row.amount, row.account, row.vendor, row.body_type) == (5.0, "1234", "SHOP", "raw")
+    plain = parse(spark, message("A transaction of $5.00 at SHOP was approved. Visa ending in 1234"))
+    assert (plain.vendor, plain.body_type) == ("SHOP", "sanitized")
+
+
+def test_fields_that_are_not_read_are_not_computed(spark, sf):
+    parsed = extraction.parse_messages(views.msg(spark, sf), AS_OF)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (parsed, parsed.select("id", "template_used"))]
+    header_date = "d MMM yyyy H:m:s"
+    assert header_date in plans[0] and header_date not in plans[1]
+
+
+def test_messages_come_in_tasks_that_grow_in_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(views, "MESSAGES_PER_TASK", 10)
+    messages = views.msg(spark, sf)
+    assert messages.rdd.getNumPartitions() >= messages.count() // 10
