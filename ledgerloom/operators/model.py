@@ -1,4 +1,4 @@
-"""Category and subcategory classifiers on Spark ML.
+"""Category and subcategory classifiers in a Spark ML pipeline.
 
 Nine text columns become TF-IDF blocks of word and word-pair counts, each block of unit length; the nine
 pattern counts follow as they are. Terms are hashed, so there is no vocabulary to collect on the driver and no
@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (
     IDF,
     ElementwiseProduct,
@@ -20,21 +19,20 @@ from pyspark.ml.feature import (
     StringIndexer,
     VectorAssembler,
 )
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import reliable_checkpoint
-from . import reports, rules
+from . import forest, reports, rules
 
 TARGETS = ["category", "subcategory"]
 
 
 @dataclass
 class Settings:
-    """Sizes of the model. Spark trees are at most 30 deep."""
+    """Sizes of the model."""
 
     trees: int = 100
     depth: int = 30
@@ -123,18 +121,20 @@ def fit(train: DataFrame, test: DataFrame, settings: Settings | None = None) ->
     train = train.withColumns({t: F.coalesce(F.col(t), F.lit(rules.UNCATEGORIZED)) for t in TARGETS})
     rows = feature_frame(train, settings)
     prepared = fit_features(rows, settings)
-    # both forests read the vectors, so they are written once
-    vectors = reliable_checkpoint(prepared.transform(rows).select("features", *TARGETS, "sample_weight"), "vectors")
-    stages = [prepared]
-    for target in TARGETS:
-        index = StringIndexer(inputCol=target, outputCol=f"{target}_index", handleInvalid="error").fit(vectors)
-        forest = RandomForestClassifier(
-            featuresCol="features", labelCol=f"{target}_index", weightCol="sample_weight", numTrees=settings.trees,
-            maxDepth=settings.depth, seed=settings.seed, predictionCol=f"{target}_prediction",
-            probabilityCol=f"{target}_probability", rawPredictionCol=f"{target}_raw",
-        ).fit(index.transform(vectors))
-        names = IndexToString(inputCol=f"{target}_prediction", outputCol=f"predicted_{target}", labels=index.labels)
-        stages += [forest, names]
+    # the forests read the vectors many times, so they are written once
+    # rows enter the samples by a hash of what they are, so that two runs grow the same trees
+    draw = F.xxhash64(*[c for c in ("transaction_id", "user_id") if c in rows.columns], *rules.FEATURE_TEXT)
+    vectors = reliable_checkpoint(prepared.transform(rows).select("features", *TARGETS, "sample_weight", draw.alias("_draw")), "vectors")
+    indexes = {t: StringIndexer(inputCol=t, outputCol=f"{t}_index", handleInvalid="error").fit(vectors) for t in TARGETS}
+    numbered = PipelineModel(list(indexes.values())).transform(vectors)
+    size = sum(settings.sizes[n] for n in rules.FEATURE_TEXT) + len(text.VENDOR_FLAGS)
+    grown = forest.fit(
+        numbered, {f"{t}_index": len(i.labels) for t, i in indexes.items()}, "sample_weight", F.col("_draw"),
+        settings.trees, settings.depth, settings.seed, size,
+    )
+    stages = [prepared, grown]
+    for target, index in indexes.items():
+        stages.append(IndexToString(inputCol=f"{target}_prediction", outputCol=f"predicted_{target}", labels=index.labels))
     fitted = PipelineModel(stages)
     return Trained(fitted, _predict(fitted, test, settings), settings)
 
@@ -144,7 +144,7 @@ def _predict(fitted: PipelineModel, df: DataFrame, settings: Settings) -> DataFr
     return scored.select(
         *_keep(df),
         *[f"predicted_{t}" for t in TARGETS],
-        F.array_max(vector_to_array("category_probability")).alias("confidence"),
+        F.array_max("category_probability").alias("confidence"),
     )
 
 
@@ -159,7 +159,7 @@ def score(fitted: PipelineModel, df: DataFrame, model_version: str, settings: Se
     answers = {
         "category": F.col("predicted_category"),
         "subcategory": F.col("predicted_subcategory"),
-        "confidence": F.array_max(vector_to_array("category_probability")),
+        "confidence": F.array_max("category_probability"),
         "model_version": F.lit(model_version),
         "source": F.lit("model"),
     }

@@ -532,3 +532,24 @@ def test_running_counts_keep_many_transactions_in_one_state(spark):
     users, categories = (None, "u1", "u2"), ("c0", "c1")
     assert {(r.user_id, r.category): r.change for r in got[0]} == {(u, c): 10 for u in users for c in categories}
     assert {(r.user_id, r.category): r.change for r in got[1]} == {(u, c): 0 for u in users for c in categories}
+
+
+def test_forest_on_sparse_rows_splits_by_value_and_survives_saving(spark, tmp_path, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerloom.operators import forest
+
+    monkeypatch.setattr(forest, "CHUNK_ROWS", 64)  # several tasks
+    # feature 7 below or above 0.5 decides the class, but for feature 30,000, which alone decides a third one
+    data = [(i, Vectors.sparse(40_000, {7: (i % 100 + 1) / 100, **({30_000: 1.0} if i % 5 == 0 else {}), 100 + i: 1.0})) for i in range(600)]
+    label = lambda i: 2 if i % 5 == 0 else int(i % 100 >= 50)
+    frame = spark.createDataFrame([(i, v, label(i), 0, 1.0 + i % 2) for i, v in data], ["id", "features", "a_index", "b_index", "w"])
+    fitted = forest.fit(frame, {"a_index": 3, "b_index": 1}, "w", F.xxhash64("id"), 20, 6, 42, 40)
+    scored = fitted.transform(frame)
+    got = {r.id: (r.a_prediction, r.b_prediction, sum(r.a_probability)) for r in scored.collect()}
+    assert sum(got[i][0] == label(i) for i in range(600)) > 570
+    assert all(b == 0 and total == pytest.approx(1) for _, b, total in got.values())
+    assert len(fitted.trees["b_index"].feature) == 20  # one class: each tree is a leaf
+    fitted.write().overwrite().save(str(tmp_path / "forest"))
+    again = forest.ForestModel.load(str(tmp_path / "forest")).transform(frame)
+    assert rows(again.select("id", "a_probability")) == rows(scored.select("id", "a_probability"))
