@@ -33,6 +33,17 @@ def top_k_per_group(
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+ROWS_PER_TASK = 20_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows in tasks of about ROWS_PER_TASK, and one a core at least, for steps that cost far more than their rows' bytes tell:
+    a file of a few megabytes, or a shuffle that adaptive execution made few tasks of, holds a million small rows.
+    With ``keys``, equal keys share a task."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+    return df.repartition(tasks, *keys)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """Row numbers from 1 of a sorted table, in its order. No task sees more than its own rows: each numbers those it has, and
     the rows of the tasks before are added. The table is written once, because sorting it again could cut it elsewhere."""

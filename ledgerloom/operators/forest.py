@@ -33,6 +33,7 @@ CHUNK_ROWS = 1 << 15  # rows that a task holds at a time; a row takes 4 bytes a
 SCORED_ROWS = 1 << 11  # rows whose bins are laid out side by side while they are scored
 # Fixed value: binary digits that are dropped before a feature's values are counted; nine stay
 COARSE = ~np.int64((1 << 14) - 1)
+NO_CELL = (1 << 32) - 1  # of no feature, because their numbers are smaller than 2^27 - 1
 _WEIGHTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])  # Poisson distribution with mean 1
 
 
@@ -119,10 +120,13 @@ CHUNK = T.StructType([T.StructField(n, T.BinaryType()) for n in ("draw", "length
 
 @dataclass
 class _Chunk:
+    """Rows from the longest to the shortest. ``cells`` (a feature's number and bin) has the first entries of all rows, then the
+    second ones of those that have two, and so on: ``counts`` of them. So what a row asks of its entries is a few
+    steps over arrays that lie side by side, without a copy of it for each entry."""
+
     draw: np.ndarray
-    lengths: np.ndarray
-    features: np.ndarray
-    bins: np.ndarray
+    counts: np.ndarray
+    cells: np.ndarray
     labels: np.ndarray
     weights: np.ndarray
     nodes: np.ndarray
@@ -130,10 +134,17 @@ class _Chunk:
     @classmethod
     def of(cls, row, targets: int) -> _Chunk:
         kinds = (np.uint64, np.int32, np.int32, np.uint8, np.int32, np.float64, np.int32)
-        arrays = [np.frombuffer(row[name], kind) for name, kind in zip(CHUNK.names, kinds)]
-        n = len(arrays[0])
-        arrays[4], arrays[6] = arrays[4].reshape(targets, n), arrays[6].reshape(-1, n)
-        return cls(*arrays)
+        draw, lengths, features, bins, labels, weights, nodes = (np.frombuffer(row[name], kind) for name, kind in zip(CHUNK.names, kinds))
+        order, starts = np.argsort(-lengths, kind="stable"), np.cumsum(lengths, dtype=np.int64) - lengths
+        counts = np.cumsum(np.bincount(lengths)[::-1])[::-1][1:].astype(np.int64)  # rows with more than 0, 1, … entries
+        flat = features.astype(np.uint32) * np.uint32(BINS) + bins
+        cells = np.concatenate([flat[:0], *[flat[starts[order[:n]] + i] for i, n in enumerate(counts.tolist())]])
+        return cls(draw[order], counts, cells, labels.reshape(targets, -1)[:, order], weights[order], nodes.reshape(-1, len(draw)))
+
+    def entries(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        """For the first, second, … entries: where they begin in ``cells``, and how many of ``rows`` (in order) have one."""
+        begins, n = np.cumsum(self.counts) - self.counts, np.searchsorted(rows, self.counts)
+        return [(b, m) for b, m in zip(begins.tolist(), n.tolist()) if m]
 
 
 # ---------------------------------------------------------------------------------------------------- growing
@@ -148,15 +159,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _drawn(seeds: np.ndarray, hashed: np.ndarray, share: float) -> np.ndarray:
-    """Whether each node (by its seed) considers each feature (by its hash)."""
-    x = seeds ^ hashed
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x <= np.uint32(min(1.0, share) * 0xFFFFFFFF)
+_D16, _D13, _M1, _M2 = (np.array(x, np.uint32) for x in (16, 13, 0x85EBCA6B, 0xC2B2AE35))
+
+
+def _drawn(seeds: np.ndarray, x: np.ndarray, y: np.ndarray, share: float, out: np.ndarray) -> None:
+    """Whether each node (by its seed) considers each feature (by its hash ``x``), into ``out``; ``x`` and ``y`` are overwritten."""
+    np.bitwise_xor(seeds, x, x)
+    np.right_shift(x, _D16, y)
+    np.bitwise_xor(x, y, x)
+    np.multiply(x, _M1, x)
+    np.right_shift(x, _D13, y)
+    np.bitwise_xor(x, y, x)
+    np.multiply(x, _M2, x)
+    np.right_shift(x, _D16, y)
+    np.bitwise_xor(x, y, x)
+    np.less_equal(x, np.uint32(min(1.0, share) * 0xFFFFFFFF), out)
+
+
+def _true_places(flags: np.ndarray) -> np.ndarray:
+    """Where few of many flags are true; their number is a multiple of eight, and eight are looked at together."""
+    some = np.flatnonzero(flags.view(np.uint64))
+    which, rest = np.nonzero(flags.reshape(-1, 8)[some])
+    return some[which] * 8 + rest
 
 
 def _seed(seed: int, tree: int, depth: int, nodes: np.ndarray) -> np.ndarray:
@@ -164,26 +188,38 @@ def _seed(seed: int, tree: int, depth: int, nodes: np.ndarray) -> np.ndarray:
     return (_mixed(_mixed(np.full(1, start)) + nodes.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _row_weights(chunk: _Chunk, seed: int, tree: int) -> np.ndarray:
+def _row_weights(draw: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """How often each row is in a tree's sample: the same in every pass."""
-    u = _mixed(chunk.draw + _mixed(np.full(1, (seed << 20) + tree + 1, np.uint64)))
+    u = _mixed(draw + _mixed(np.full(1, (seed << 20) + tree + 1, np.uint64)))
     return np.searchsorted(_WEIGHTS, (u >> np.uint64(11)) * 2.0**-53, side="right")
 
 
+def _sampled(chunk: _Chunk, seed: int) -> _Chunk:
+    """The rows at the roots of the trees whose samples they are in."""
+    return replace(chunk, nodes=np.stack([np.where(_row_weights(chunk.draw, seed, t) > 0, 0, -1).astype(np.int32) for t in range(len(chunk.nodes))]))
+
+
 def _moved(chunk: _Chunk, splits: list) -> _Chunk:
     """The rows at the nodes of the next level, -1 where a leaf is reached."""
-    nodes, owner = chunk.nodes.copy(), np.repeat(np.arange(chunk.nodes.shape[1], dtype=np.int32), chunk.lengths)
-    for tree, own in enumerate(nodes):
+    nodes = np.full_like(chunk.nodes, -1)
+    above, hit = np.empty(nodes.shape[1], np.uint32), np.empty(nodes.shape[1], bool)
+    for tree, own in enumerate(chunk.nodes):
         feature, lowest, left = splits[tree]
         if not (left >= 0).any():
-            own[:] = -1
             continue
-        wanted = np.where(own >= 0, feature[own], -1)
-        hit = np.flatnonzero(np.repeat(wanted, chunk.lengths) == chunk.features)
-        at = owner[hit]
-        right = np.zeros(len(own), np.int32)
-        right[at] = chunk.bins[hit] >= lowest[own[at]]
-        own[:] = np.where((own >= 0) & (left[own] >= 0), left[own] + right, -1)
+        rows = np.flatnonzero((own >= 0) & (left[own] >= 0))
+        at = own[rows]
+        # cells that lie at or above the split, of its feature: from ``low``, ``span`` further ones
+        low = (feature.astype(np.int64) * BINS + lowest).astype(np.uint32)[at]
+        span = (BINS - 1 - lowest).astype(np.uint32)[at]
+        right = np.zeros(len(rows), bool)
+        for begin, n in chunk.entries(rows):
+            x, y, z = above[:n], hit[:n], right[:n]
+            np.take(chunk.cells[begin:], rows[:n], out=x, mode="clip")
+            np.subtract(x, low[:n], x)
+            np.less_equal(x, span[:n], y)
+            np.logical_or(z, y, z)
+        nodes[tree][rows] = left[at] + right
     return replace(chunk, nodes=nodes)
 
 
@@ -191,31 +227,36 @@ def _cells(chunks: RDD, spark: SparkSession, depth: int, seed: int, per_target:
     """Weights by ``tree, node, cell, class``; a cell is a feature's bin, and -1 the whole node. Share 0 gives the latter alone."""
 
     def add(chunk: _Chunk) -> Iterator[tuple[bytes]]:
-        hashed = chunk.features.astype(np.uint32) * np.uint32(0x9E3779B1)
-        cells = chunk.features.astype(np.int64) * BINS + chunk.bins
-        owner = np.repeat(np.arange(chunk.nodes.shape[1], dtype=np.int32), chunk.lengths)
-        width, out = int(cells.max(initial=0)) + 1, []
-        for tree, own in enumerate(chunk.nodes):
-            if not (own >= 0).any():
-                continue
-            times = _row_weights(chunk, seed, tree)
-            rows = np.flatnonzero((own >= 0) & (times > 0))
+        hashed = chunk.cells // np.uint32(BINS) * np.uint32(0x9E3779B1)  # of the features
+        x, y = np.empty((2, chunk.nodes.shape[1]), np.uint32)
+        width, out = int(chunk.cells.max(initial=0)) + 1, []
+        for tree, nodes in enumerate(chunk.nodes):
+            rows = np.flatnonzero(nodes >= 0)
             if not len(rows):
                 continue
-            k, label = classes[tree // per_target], chunk.labels[tree // per_target]
-            weight = times * chunk.weights
-            whole = np.bincount(own[rows].astype(np.int64) * k + label[rows], weight[rows])
+            own, k, label = nodes[rows].astype(np.int64), classes[tree // per_target], chunk.labels[tree // per_target][rows]
+            weight = _row_weights(chunk.draw[rows], seed, tree) * chunk.weights[rows]
+            whole = np.bincount(own * k + label, weight)
             some = np.flatnonzero(whole)
             out.append((tree, some // k, np.full(len(some), -1, np.int64), some % k, whole[some]))
             if not share:
                 continue
-            seeds = _seed(seed, tree, depth, np.arange(own.max() + 1))
-            hit = np.flatnonzero(_drawn(np.repeat(seeds[own], chunk.lengths), hashed, share) & (chunk.bins > 0))
-            at = owner[hit]
-            hit, at = (x[(own[at] >= 0) & (times[at] > 0)] for x in (hit, at))
-            keys, inverse = np.unique((own[at].astype(np.int64) * width + cells[hit]) * k + label[at], return_inverse=True)
-            nodes, rest = np.divmod(keys // k, width)
-            out.append((tree, nodes, rest, keys % k, np.bincount(inverse, weight[at], len(keys))))
+            seeds = _seed(seed, tree, depth, np.arange(own.max() + 1))[own]
+            entries = chunk.entries(rows)
+            ends = np.cumsum([n for _, n in entries])
+            chosen = np.zeros(-(-int(ends[-1]) // 8) * 8 if len(ends) else 0, bool)
+            for (begin, n), end in zip(entries, ends.tolist()):
+                np.take(hashed[begin:], rows[:n], out=x[:n], mode="clip")
+                _drawn(seeds[:n], x[:n], y[:n], share, chosen[end - n : end])
+            hit = _true_places(chosen)
+            which = np.searchsorted(ends, hit, side="right")
+            begins, starts = (np.array(a, np.int64) for a in ([b for b, _ in entries], [end - n for (_, n), end in zip(entries, ends.tolist())]))
+            at = hit - starts[which]
+            cells = chunk.cells[begins[which] + rows[at]].astype(np.int64)
+            at, cells = (a[cells % BINS > 0] for a in (at, cells))
+            keys, inverse = np.unique((own[at] * width + cells) * k + label[at], return_inverse=True)
+            nodes_of, rest = np.divmod(keys // k, width)
+            out.append((tree, nodes_of, rest, keys % k, np.bincount(inverse, weight[at], len(keys))))
         for begin in range(0, len(out), 64):
             some = out[begin : begin + 64]
             joined = [np.concatenate([o[i] for o in some]) for i in range(1, 5)]
@@ -233,7 +274,7 @@ def _cells(chunks: RDD, spark: SparkSession, depth: int, seed: int, per_target:
 
 def _best_of(frame: pd.DataFrame, k: int, last: bool) -> pd.DataFrame:
     """The best split of each node of one tree or several that have ``k`` classes; feature -1 where none is better than a leaf."""
-    frame = frame.sort_values(["tree", "node", "cell", "class"])
+    frame = frame.iloc[np.lexsort([frame[c].to_numpy() for c in ("class", "cell", "node", "tree")])]
     tree, node, cell = (frame[c].to_numpy() for c in ("tree", "node", "cell"))
     new = np.append(True, (tree[1:] != tree[:-1]) | (node[1:] != node[:-1]))
     which = np.cumsum(new) - 1
@@ -299,7 +340,7 @@ def _grow(chunks: DataFrame, features: int, classes: list[int], per_target: int,
     share = math.ceil(math.sqrt(features)) / features
     levels: list[list] = []  # by level and tree: feature, bin, left, shares
     # an RDD, because the plan of a cached table would hold the plans of all levels before it
-    held = chunks.rdd.map(lambda row: _Chunk.of(row, targets)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = chunks.rdd.map(lambda row: _sampled(_Chunk.of(row, targets), seed)).persist(StorageLevel.MEMORY_AND_DISK)
     for level in range(depth + 1):
         last = level == depth
         best = _best(_cells(held, spark, level, seed, per_target, classes, 0 if last else share), per_target, classes, last).collect()
@@ -342,6 +383,8 @@ def _joined(levels: list[list], trees: range) -> Trees:
 
 def fit(vectors: DataFrame, targets: dict[str, int], weight: str, draw: Column, trees: int, depth: int, seed: int, features: int) -> ForestModel:
     """A forest for each target: a column of class numbers, with their count. ``draw`` is a number by which a row enters the samples."""
+    if features >= NO_CELL // BINS:
+        raise ValueError(f"too many features: {features}")
     rows = vectors.select(nonzeros(F.col("features")).alias("entries"), *targets, F.col(weight).cast("double").alias("weight"), draw.alias("_draw"))
     spark, edges = vectors.sparkSession, bin_edges(rows)
     chunks = _chunks(rows, list(targets), spark.sparkContext.broadcast(edges), trees * len(targets))

@@ -8,6 +8,7 @@ term is left out; terms that share a bucket count as one. One pass fits the inve
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -24,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.staging import bound
 from ..session import reliable_checkpoint
 from . import forest, reports, rules
+from .common import spread
 
 TARGETS = ["category", "subcategory"]
 
@@ -50,9 +53,14 @@ class Settings:
 @dataclass
 class Trained:
     model: PipelineModel
-    predictions: DataFrame
+    scored: DataFrame  # the held-out rows, scored whenever they are read
     settings: Settings
 
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """The scored held-out rows as a table, because reports read them several times; written when first asked for."""
+        return reliable_checkpoint(self.scored, "predictions")
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -71,8 +79,12 @@ class Trained:
 def terms(value: Column) -> Column:
     """Words of two or more characters and their neighbouring pairs."""
     words = F.regexp_extract_all(F.lower(value), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(words, lambda word, i: F.concat(word, F.lit(" "), F.get(words, i + 1)))  # NULL at the last word
-    return F.concat(words, F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    def with_pairs(words: Column) -> Column:
+        pairs = F.transform(words, lambda word, i: F.concat(word, F.lit(" "), F.get(words, i + 1)))  # NULL at the last word
+        return F.concat(words, F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    return bound(words, with_pairs)  # named outright, the words would be searched for again at each word
 
 
 def with_terms(features: DataFrame) -> DataFrame:
@@ -87,12 +99,18 @@ def _hashers(settings: Settings) -> list[HashingTF]:
     ]
 
 
-def fit_features(features: DataFrame, settings: Settings) -> PipelineModel:
-    """Fitted feature stages. Frequencies are smoothed and raised by one, so a term in every row still counts."""
+def count_terms(features: DataFrame, settings: Settings) -> DataFrame:
+    """The terms counted by hash: the first stages of ``fit_features``."""
+    return PipelineModel(_hashers(settings)).transform(features)
+
+
+def fit_features(features: DataFrame, settings: Settings, counted: DataFrame | None = None) -> PipelineModel:
+    """Fitted feature stages. Frequencies are smoothed and raised by one, so a term in every row still counts.
+    ``counted`` are the features with their terms counted, where there is a table of them."""
     hashers = _hashers(settings)
     joined = VectorAssembler(inputCols=[f"{n}_counts" for n in rules.FEATURE_TEXT], outputCol="_all")
-    counted = PipelineModel([*hashers, joined]).transform(features).select("_all")
-    weights = IDF(inputCol="_all", outputCol="_w").fit(counted).idf.toArray() + 1.0
+    counted = count_terms(features, settings) if counted is None else counted
+    weights = IDF(inputCol="_all", outputCol="_w").fit(joined.transform(counted).select("_all")).idf.toArray() + 1.0
     stages, at = list(hashers), 0
     for name in rules.FEATURE_TEXT:
         size = settings.sizes[name]
@@ -119,12 +137,15 @@ def fit(train: DataFrame, test: DataFrame, settings: Settings | None = None) ->
     settings = settings or Settings()
     # a row without a label counts as not yet categorized, as it does everywhere else
     train = train.withColumns({t: F.coalesce(F.col(t), F.lit(rules.UNCATEGORIZED)) for t in TARGETS})
-    rows = feature_frame(train, settings)
-    prepared = fit_features(rows, settings)
-    # the forests read the vectors many times, so they are written once
+    rows = feature_frame(spread(train), settings)
     # rows enter the samples by a hash of what they are, so that two runs grow the same trees
     draw = F.xxhash64(*[c for c in ("transaction_id", "user_id") if c in rows.columns], *rules.FEATURE_TEXT)
-    vectors = reliable_checkpoint(prepared.transform(rows).select("features", *TARGETS, "sample_weight", draw.alias("_draw")), "vectors")
+    # frequencies and vectors read the terms, and the forests read the vectors many times, so both are written once
+    numbers = [*[f"{n}_counts" for n in rules.FEATURE_TEXT], *text.VENDOR_FLAGS]
+    counted = reliable_checkpoint(count_terms(rows, settings).select(*numbers, *TARGETS, "sample_weight", draw.alias("_draw")), "terms")
+    prepared = fit_features(rows, settings, counted)
+    weighted = PipelineModel(prepared.stages[len(rules.FEATURE_TEXT) :]).transform(counted)
+    vectors = reliable_checkpoint(weighted.select("features", *TARGETS, "sample_weight", "_draw"), "vectors")
     indexes = {t: StringIndexer(inputCol=t, outputCol=f"{t}_index", handleInvalid="error").fit(vectors) for t in TARGETS}
     numbered = PipelineModel(list(indexes.values())).transform(vectors)
     size = sum(settings.sizes[n] for n in rules.FEATURE_TEXT) + len(text.VENDOR_FLAGS)
@@ -136,7 +157,7 @@ def fit(train: DataFrame, test: DataFrame, settings: Settings | None = None) ->
     for target, index in indexes.items():
         stages.append(IndexToString(inputCol=f"{target}_prediction", outputCol=f"predicted_{target}", labels=index.labels))
     fitted = PipelineModel(stages)
-    return Trained(fitted, _predict(fitted, test, settings), settings)
+    return Trained(fitted, _predict(fitted, spread(test), settings), settings)
 
 
 def _predict(fitted: PipelineModel, df: DataFrame, settings: Settings) -> DataFrame:
@@ -176,6 +197,6 @@ def score_distinct(fitted: PipelineModel, df: DataFrame, model_version: str, set
         "_key", text.score_key(F.col("vendor"), description, F.col("amount"), F.col("template_used"))
     )
     rest = [c for c in keyed.columns if c != "_key"]
-    first = keyed.groupBy("_key").agg(F.min_by(F.struct(*rest), F.col("transaction_id")).alias("r")).select("_key", "r.*")
+    first = spread(keyed, "_key").groupBy("_key").agg(F.min_by(F.struct(*rest), F.col("transaction_id")).alias("r")).select("_key", "r.*")
     answers = score(fitted, first, model_version, settings).select("_key", *answered)
     return keyed.join(answers, "_key", "left").drop("_key")

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..operators import model, reports, sampling
+from ..operators.common import spread
 from ..operators.ledger_table import LedgerTable
 from ..sources import writers
 from ..session import work_path
@@ -66,7 +67,7 @@ def m2(spark, sf):
 )
 def m3(spark, sf):
     trained = _trained(spark, sf)
-    scored = model.score(trained.model, _labelled(spark, sf), "transaction_model_v1", FULL)
+    scored = model.score(trained.model, spread(_labelled(spark, sf)), "transaction_model_v1", FULL)
     labels = F.col("category").isNotNull() & F.col("subcategory").isNotNull()
     fits = (F.col("confidence") > 0) & (F.col("confidence") <= 1)
     return scored.select("transaction_id", labels.alias("has_labels"), fits.alias("confidence_fits"), "source", "model_version")

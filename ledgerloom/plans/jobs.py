@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import extraction, labels, ledger, model, reports, rules, sampling
+from ..operators.common import spread
 from ..operators.ledger_table import LedgerTable
 from ..session import reliable_checkpoint
 from ..sources import readers, writers
@@ -234,7 +235,7 @@ def train(training: DataFrame, settings: model.Settings | None = None) -> model.
 def ingest(requests: DataFrame, ledger_table: DataFrame | LedgerTable, scorer, as_of) -> Loaded:
     """Ingest requests: those that pass the gate are scored, written in ledger layout and merged; rejected ones keep their
     error. ``scorer`` appends category, subcategory, confidence and model_version."""
-    scored = rules.apply_prediction(scorer(rules.accept_requests(requests)))
+    scored = rules.apply_prediction(scorer(spread(rules.accept_requests(requests))))
     good, bad = ledger.split_writable(scored)
     accepted = reliable_checkpoint(ledger.ledger_rows(good, as_of), "ingested")
     return Loaded(_stored(ledger_table, accepted, as_of, ["date"]), accepted, bad, rules.ingest_errors(requests))
