@@ -553,3 +553,43 @@ def test_forest_on_sparse_rows_splits_by_value_and_survives_saving(spark, tmp_pa
     fitted.write().overwrite().save(str(tmp_path / "forest"))
     again = forest.ForestModel.load(str(tmp_path / "forest")).transform(frame)
     assert rows(again.select("id", "a_probability")) == rows(scored.select("id", "a_probability"))
+
+
+def test_costly_rows_are_spread_and_terms_are_searched_for_once(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS_PER_TASK", 5)
+    numbers = spark.range(0, 500, 1, 1).withColumn("k", F.col("id") % 7)
+    assert common.spread(numbers).rdd.getNumPartitions() == 100
+    assert rows(common.spread(numbers)) == rows(numbers)
+    tasks = common.spread(numbers, "k").withColumn("task", F.spark_partition_id()).groupBy("k").agg(F.count_distinct("task").alias("n"))
+    assert {r.n for r in tasks.collect()} == {1}
+    found = spark.createDataFrame([("Big red  shop",), ("",), (None,)], "v string").select(model.terms(F.col("v")).alias("t"))
+    assert [r.t for r in found.collect()] == [["big", "red", "shop", "big red", "red shop"], [], None]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1  # none: computed from local rows
+
+
+def test_held_out_rows_are_scored_once_for_all_reports(spark):
+    scored = spark.range(4).select(F.uuid().alias("category"), F.lit("a").alias("predicted_category"))
+    trained = model.Trained(None, scored, model.Settings())
+    assert rows(trained.predictions) == rows(trained.predictions)
+
+
+def test_forest_chunk_steps_rows_by_their_entries():
+    import numpy as np
+
+    from ledgerloom.operators import forest
+
+    features = [[], [3, 5, 9], [5], [3, 9]]
+    bins = [[], [1, 4, 31], [2], [0, 3]]
+    flat = lambda lists, kind: np.array([x for part in lists for x in part], kind).tobytes()
+    arrays = [
+        np.arange(4, dtype=np.int64).tobytes(), np.array([len(f) for f in features], np.int32).tobytes(), flat(features, np.int32), flat(bins, np.uint8),
+        np.arange(4, dtype=np.int32).tobytes(), np.arange(4, dtype=np.float64).tobytes(), np.zeros((2, 4), np.int32).tobytes(),
+    ]
+    chunk = forest._Chunk.of(dict(zip(forest.CHUNK.names, arrays)), 1)
+    assert chunk.draw.tolist() == [1, 3, 2, 0] and chunk.counts.tolist() == [3, 2, 1]
+    split = lambda feature, low: (np.array([feature], np.int32), np.array([low], np.int32), np.array([0], np.int32))
+    moved = forest._moved(chunk, [split(5, 3), split(9, 3)])
+    by_row = {int(d): moved.nodes[:, i].tolist() for i, d in enumerate(chunk.draw)}
+    assert by_row == {0: [0, 0], 1: [1, 1], 2: [0, 0], 3: [0, 1]}
+    leaf = (np.array([-1], np.int32), np.array([0], np.int32), np.array([-1], np.int32))
+    assert (forest._moved(chunk, [leaf, split(9, 3)]).nodes[0] == -1).all()
