@@ -16,7 +16,7 @@ from ledgerloom.session import reliable_checkpoint, work_path
 ORACLE_SQL = None  # learned languages, suffix sorting and tokenizer ids are beyond SQL
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80  # of the near-duplicate stage: five-word shingles, similarity 0.8
-REMEMBERED = 100_000  # stretches of text in the packing stage, whose workers still hold memory of the stages before
+REMEMBERED = 100_000  # units of text in the packing stage, whose workers still hold memory of the stages before
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

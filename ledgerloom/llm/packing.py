@@ -155,7 +155,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCAB
     Null and empty texts are one piece, the end id. Repeated rows are packed as often as they occur. An empty table gives an
     empty one. Documents of more than ``capacity`` tokens are cut into full pieces and a rest. The counts by length, at most
     ``capacity`` rows, come to the driver, and the plan made of them goes to the tasks: each entry of it uses up a length or a
-    set of equal sequences, so its size depends on ``capacity`` only. A worker remembers ``remembered`` stretches of text.
+    set of equal sequences, so its size depends on ``capacity`` only. A worker remembers ``remembered`` units of text.
     """
     spark = documents.sparkSession
     pieces = reliable_checkpoint(cut_pieces(documents, capacity, vocabulary, folder, remembered), "pieces")

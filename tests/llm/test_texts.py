@@ -1,6 +1,7 @@
 """Operators over texts: odd rows, empty tables, other columns, and comparison with plain versions."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -295,6 +296,27 @@ def test_remembered_stretches_give_the_ids_of_the_whole_text(odd_rows, name):
         assert of(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [wavelet.VOCABULARY, packing.VOCABULARY])
+def test_texts_are_looked_up_together_by_units_in_bounded_memory(name):
+    library, of, rng = tokens.tokenizer(name), tokens.Encoder(name, remembered=64), random.Random(6)
+    signs = " \n\t.,'!aZ\u00e9\u00d7\u00f7\u00ff\u0100\u024f\u0250\u2014\u00a0\u3000\x000\u65e5\U0001f600<"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(600)] + [None, "", " ", "a" * 5000, " b" * 900]
+    texts += [" ".join(rng.choice("abc\u00e9") * rng.randrange(1, 24) + rng.choice(["", ",", ").", "7"]) for _ in range(50)) for _ in range(40)]
+    for some in (texts, texts[::-1]):
+        assert [ids.tolist() for ids in of.many(some)] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert 0 < of.short.held <= 64 and len(of.short.low) <= 1024
+        assert not any(len(key) > tokens.LONGEST for key in (*of.long.young, *of.long.old))
+
+
+def test_units_of_texts_are_found_in_their_bytes():
+    texts = [" it's (one) two,\nthree", "", "x  y \u00e9t\u00e9 \u00d7 z", "a\x00b\n"]
+    raw = b"\0".join([*(t.encode() for t in texts), bytes(16)])
+    starts = tokens.cut_units(np.frombuffer(raw, np.uint8), len(raw) - 16, np.cumsum([len(t.encode()) + 1 for t in texts]) - 1)
+    units = [raw[a:b].decode() for a, b in zip(starts, [*starts[1:], len(raw) - 16])]
+    parts = [[" it's", " (", "one", ")", " two", ",", "\n", "three"], [], ["x  y", " \u00e9t\u00e9 \u00d7 z"], ["a\x00b\n"]]
+    assert units == [u for p in parts for u in [*p, "\0"]]
+
+
 def ids_of(name, text, end):
     return np.array(tokens.tokenizer(name).encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
