@@ -13,6 +13,7 @@ chosen by Gini impurity, and a row's probabilities are the mean of its leaves' s
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator
@@ -29,12 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BINS = 32  # of a feature, the zeros included
-CHUNK_ROWS = 1 << 15  # rows that a task holds at a time; a row takes 4 bytes a tree
-SCORED_ROWS = 1 << 11  # rows whose bins are laid out side by side while they are scored
+CHUNK_ROWS = 1 << 16  # rows that a task holds at a time; a row takes a byte a tree, more where a level has many nodes
+SCORED_ROWS = 1 << 14  # rows that are scored together; a row takes 4 bytes a tree
 # Fixed value: binary digits that are dropped before a feature's values are counted; nine stay
 COARSE = ~np.int64((1 << 14) - 1)
 NO_CELL = (1 << 32) - 1  # of no feature, because their numbers are smaller than 2^27 - 1
 _WEIGHTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])  # Poisson distribution with mean 1
+_BOUNDS = np.ceil(_WEIGHTS * 2.0**53).astype(np.uint64)  # the same for whole numbers of 53 bits
+_BY_TOP = np.searchsorted(_BOUNDS, np.arange(1 << 16, dtype=np.uint64) << np.uint64(37), side="right").astype(np.uint8)  # by their highest 16 bits
+_UNSURE = np.uint8(255)
+_BY_TOP[np.diff(_BY_TOP, append=_UNSURE) > 0] = _UNSURE  # a bound lies among the numbers with these
+# Relative costs, measured: of an entry looked at by itself while cells are added up and while rows step, of a posting, of a feature that
+# may be drawn, and of a label that is passed over
+ENTRY_COST, STEP_COST, POSTING_COST, FEATURE_COST, PASS_COST = 7, 3, 12, 4, 4
+POSTINGS_AT_ONCE, FEW_ROWS = 1 << 16, 1 << 15  # few enough for a core's cache
 
 
 @dataclass
@@ -93,8 +102,8 @@ def bin_edges(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in lowest.select("key").collect()], dtype=np.int64))
 
 
-def _chunks(rows: DataFrame, targets: list[str], edges, trees: int) -> DataFrame:
-    """Rows in chunks of arrays: random numbers, entries, classes, weights, and the node of each row in each tree."""
+def _chunks(rows: DataFrame, targets: list[str], edges) -> DataFrame:
+    """Rows in chunks of arrays: random numbers, entries, classes and weights; the rows are in no node yet."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -107,22 +116,53 @@ def _chunks(rows: DataFrame, targets: list[str], edges, trees: int) -> DataFrame
             labels = np.stack([column[t].to_numpy(zero_copy_only=False).astype(np.int32) for t in targets])
             arrays = [
                 column["_draw"].to_numpy(zero_copy_only=False).astype(np.int64), lengths.astype(np.int32), indices.astype(np.int32), bins, labels,
-                column["weight"].to_numpy(zero_copy_only=False).astype(np.float64), np.zeros((trees, part.num_rows), np.int32),
+                column["weight"].to_numpy(zero_copy_only=False).astype(np.float64), np.zeros(0, np.int32),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], CHUNK.names)
 
     flat = rows.select("_draw", "entries.indices", "entries.values", *targets, "weight")
-    return flat.repartition(max(1, -(-rows.count() // CHUNK_ROWS))).mapInArrow(pack, CHUNK)
+    tasks, cores = max(1, -(-rows.count() // CHUNK_ROWS)), rows.sparkSession.sparkContext.defaultParallelism
+    return flat.repartition(-(-tasks // cores) * cores if tasks > 1 else 1).mapInArrow(pack, CHUNK)  # all cores are done at the same time
 
 
 CHUNK = T.StructType([T.StructField(n, T.BinaryType()) for n in ("draw", "lengths", "features", "bins", "labels", "weights", "nodes")])
 
 
+@dataclass
+class _Postings:
+    """The rows that have a cell (a feature's number and bin), cell after cell, and in order."""
+
+    cells: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, cells: np.ndarray) -> _Postings:
+        keys = np.sort(cells.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64))
+        sorted_cells = (keys >> np.uint64(32)).astype(np.uint32)
+        starts = np.flatnonzero(np.append(True, sorted_cells[1:] != sorted_cells[:-1])[: len(keys)])
+        last = int(rows.max(initial=0))
+        return cls(sorted_cells[starts], np.append(starts, len(keys)), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint16 if last < 1 << 16 else np.uint32))
+
+    def above(self, feature: np.ndarray, lowest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows begin that lie at or above bins of features, and how many there are (a row has one bin of a feature)."""
+        first = feature.astype(np.int64) * BINS
+        begin, end = (self.starts[np.searchsorted(self.cells, (first + b).astype(np.uint32))] for b in (lowest, BINS))
+        return begin, end - begin
+
+
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
+
+
 @dataclass
 class _Chunk:
     """Rows from the longest to the shortest. ``cells`` (a feature's number and bin) has the first entries of all rows, then the
     second ones of those that have two, and so on: ``counts`` of them. So what a row asks of its entries is a few
-    steps over arrays that lie side by side, without a copy of it for each entry."""
+    steps over arrays that lie side by side, without a copy of it for each entry. ``postings`` has the same entries by cell, for
+    what a large node asks of a few features."""
 
     draw: np.ndarray
     counts: np.ndarray
@@ -130,6 +170,7 @@ class _Chunk:
     labels: np.ndarray
     weights: np.ndarray
     nodes: np.ndarray
+    postings: _Postings
 
     @classmethod
     def of(cls, row, targets: int) -> _Chunk:
@@ -139,7 +180,9 @@ class _Chunk:
         counts = np.cumsum(np.bincount(lengths)[::-1])[::-1][1:].astype(np.int64)  # rows with more than 0, 1, … entries
         flat = features.astype(np.uint32) * np.uint32(BINS) + bins
         cells = np.concatenate([flat[:0], *[flat[starts[order[:n]] + i] for i, n in enumerate(counts.tolist())]])
-        return cls(draw[order], counts, cells, labels.reshape(targets, -1)[:, order], weights[order], nodes.reshape(-1, len(draw)))
+        used = np.flatnonzero(cells % BINS)  # the lowest bin is where the rows without the feature are
+        postings = _Postings.of(_ranges(np.zeros(len(counts), np.int64), counts)[used], cells[used])
+        return cls(draw[order], counts, cells, labels.reshape(targets, -1)[:, order], weights[order], nodes.reshape(-1, len(draw)), postings)
 
     def entries(self, rows: np.ndarray) -> list[tuple[int, int]]:
         """For the first, second, … entries: where they begin in ``cells``, and how many of ``rows`` (in order) have one."""
@@ -147,6 +190,10 @@ class _Chunk:
         return [(b, m) for b, m in zip(begins.tolist(), n.tolist()) if m]
 
 
+def _node_type(nodes: int) -> type:
+    return np.int8 if nodes <= 1 << 7 else np.int16 if nodes <= 1 << 15 else np.int32
+
+
 # ---------------------------------------------------------------------------------------------------- growing
 
 
@@ -191,23 +238,48 @@ def _seed(seed: int, tree: int, depth: int, nodes: np.ndarray) -> np.ndarray:
 def _row_weights(draw: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """How often each row is in a tree's sample: the same in every pass."""
     u = _mixed(draw + _mixed(np.full(1, (seed << 20) + tree + 1, np.uint64)))
-    return np.searchsorted(_WEIGHTS, (u >> np.uint64(11)) * 2.0**-53, side="right")
+    found = _BY_TOP.take((u >> np.uint64(48)).view(np.int64))
+    if len(unsure := np.flatnonzero(found == _UNSURE)):
+        found[unsure] = np.searchsorted(_BOUNDS, u[unsure] >> np.uint64(11), side="right")
+    return found
 
 
-def _sampled(chunk: _Chunk, seed: int) -> _Chunk:
+def _sampled(chunk: _Chunk, seed: int, trees: int) -> _Chunk:
     """The rows at the roots of the trees whose samples they are in."""
-    return replace(chunk, nodes=np.stack([np.where(_row_weights(chunk.draw, seed, t) > 0, 0, -1).astype(np.int32) for t in range(len(chunk.nodes))]))
+    return replace(chunk, nodes=np.stack([np.where(_row_weights(chunk.draw, seed, t) > 0, 0, -1).astype(np.int8) for t in range(trees)]))
 
 
 def _moved(chunk: _Chunk, splits: list) -> _Chunk:
-    """The rows at the nodes of the next level, -1 where a leaf is reached."""
-    nodes = np.full_like(chunk.nodes, -1)
+    """The rows at the nodes of the next level, -1 where a leaf is reached. The rows that go to the right in a node are found among
+    those that have the split's feature at or above its bin, or where these are many, by the entries of the node's rows."""
+    kind = _node_type(max(2 + int(left.max(initial=-1)) for _, _, left in splits))
+    nodes = np.full(chunk.nodes.shape, -1, kind)
     above, hit = np.empty(nodes.shape[1], np.uint32), np.empty(nodes.shape[1], bool)
     for tree, own in enumerate(chunk.nodes):
         feature, lowest, left = splits[tree]
-        if not (left >= 0).any():
+        open_nodes = np.flatnonzero(left >= 0)
+        if not len(open_nodes):
             continue
-        rows = np.flatnonzero((own >= 0) & (left[own] >= 0))
+        to = nodes[tree]
+        if own.dtype == np.int8:  # 255 for rows that are at no node
+            np.take(np.append(left, np.full(256 - len(left), -1)).astype(kind), own.view(np.uint8), out=to, mode="clip")
+        else:
+            to[:] = np.append(left, -1).astype(kind)[own]
+        begins, lengths = chunk.postings.above(feature[open_nodes], lowest[open_nodes])
+        by_posting = np.ones(len(open_nodes), bool)
+        if lengths.sum() > len(own):
+            sizes = np.bincount(own + np.intp(1), minlength=len(left) + 1)[1:][open_nodes]
+            by_posting = lengths * POSTING_COST <= sizes * STEP_COST * len(chunk.counts)
+        picked = open_nodes[by_posting]
+        if len(picked):
+            lengths = lengths[by_posting]
+            rows = chunk.postings.rows.take(_ranges(begins[by_posting], lengths))
+            to[rows[own.take(rows) == np.repeat(picked.astype(own.dtype), lengths)]] += 1
+        if len(picked) == len(open_nodes):
+            continue
+        chosen = np.zeros(len(left) + 1, bool)
+        chosen[open_nodes[~by_posting]] = True
+        rows = np.flatnonzero(chosen[own])
         at = own[rows]
         # cells that lie at or above the split, of its feature: from ``low``, ``span`` further ones
         low = (feature.astype(np.int64) * BINS + lowest).astype(np.uint32)[at]
@@ -219,50 +291,123 @@ def _moved(chunk: _Chunk, splits: list) -> _Chunk:
             np.subtract(x, low[:n], x)
             np.less_equal(x, span[:n], y)
             np.logical_or(z, y, z)
-        nodes[tree][rows] = left[at] + right
+        to[rows] += right
     return replace(chunk, nodes=nodes)
 
 
+def _summed(keys: np.ndarray, weights: np.ndarray, below: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their weights; numbers ``below`` a bound that is not large are added up without sorting them."""
+    if below is not None and below <= 8 * len(keys) + (1 << 16):
+        sums = np.bincount(keys, weights, below)
+        found = np.flatnonzero(sums)
+        return found, sums[found]
+    found, inverse = np.unique(keys, return_inverse=True)
+    return found, np.bincount(inverse, weights, len(found))
+
+
+class _Few:
+    """Rows of nodes that have few, of several trees with the same classes, which are handled together: their entries are looked at one by one."""
+
+    def __init__(self, chunk: _Chunk, hashed: np.ndarray, k: int, share: float):
+        self.chunk, self.hashed, self.k, self.share, self.width = chunk, hashed, k, share, int(chunk.cells.max(initial=0)) + 1
+        self.parts: list[tuple] = []
+        self.trees: list[int] = []
+        self.first = [0]  # number of a tree's first node among those of all trees
+        self.rows = 0
+
+    def add(self, tree: int, rows: np.ndarray, own: np.ndarray, seeds: np.ndarray, label: np.ndarray, weights: np.ndarray) -> None:
+        self.parts.append((rows, own + self.first[-1], seeds.take(own), label.take(rows), weights.take(rows)))
+        self.trees.append(tree)
+        self.first.append(self.first[-1] + len(seeds))
+        self.rows += len(rows)
+
+    def full(self) -> bool:
+        return self.rows > FEW_ROWS or self.first[-1] * self.width * self.k > 1 << 60  # a node, a cell and a class are one number of 64 bits
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        chunk, k, width = self.chunk, self.k, self.width
+        rows, own, seeds, label, weights = (np.concatenate(column) for column in zip(*self.parts))
+        order = np.argsort(rows.astype(chunk.postings.rows.dtype), kind="stable")  # from rows with many entries to those with few
+        rows, own, seeds, label, weights = (x.take(order) for x in (rows, own, seeds, label, weights))
+        x, y = np.empty((2, len(rows)), np.uint32)
+        entries = chunk.entries(rows)
+        ends = np.cumsum([n for _, n in entries])
+        chosen = np.zeros(-(-int(ends[-1]) // 8) * 8 if len(ends) else 0, bool)
+        for (begin, n), end in zip(entries, ends.tolist()):
+            np.take(self.hashed[begin:], rows[:n], out=x[:n], mode="clip")
+            _drawn(seeds[:n], x[:n], y[:n], self.share, chosen[end - n : end])
+        hit = _true_places(chosen)
+        which = np.searchsorted(ends, hit, side="right")
+        begins, starts = (np.array(a, np.int64) for a in ([b for b, _ in entries], [end - n for (_, n), end in zip(entries, ends.tolist())]))
+        at = hit - starts[which]
+        cells = chunk.cells[begins[which] + rows[at]].astype(np.int64)
+        at, cells = (a[cells % BINS > 0] for a in (at, cells))
+        keys, sums = _summed((own[at] * width + cells) * k + label[at], weights[at])
+        nodes, cells = np.divmod(keys // k, width)
+        of = np.searchsorted(self.first, nodes, side="right") - 1
+        return np.array(self.trees)[of], nodes - np.array(self.first)[of], cells, keys % k, sums
+
+
+def _added(chunk: _Chunk, depth: int, seed: int, per_target: int, classes: list[int], share: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """The weights of a chunk's rows by ``tree, node, cell, class``. What a node asks of its features is looked up in their postings, or where its
+    rows are few, in the entries of the rows."""
+    post, hashed, few = chunk.postings, chunk.cells // np.uint32(BINS) * np.uint32(0x9E3779B1), None  # of the features
+    firsts = np.flatnonzero(np.append(True, post.cells[1:] // BINS != post.cells[:-1] // BINS)[: len(post.cells)])  # of the features that occur
+    occurring, firsts = post.cells[firsts] // np.uint32(BINS) * np.uint32(0x9E3779B1), np.append(firsts, len(post.cells))
+    drawn = len(post.rows) * share  # postings of the features that a node considers, as an expected value
+    large = (len(occurring) * FEATURE_COST + drawn * POSTING_COST) / max(1, ENTRY_COST * len(chunk.cells)) * len(chunk.draw)
+    at_once = max(1, int(POSTINGS_AT_ONCE / max(1, len(occurring), drawn)))
+    weights = np.zeros(len(chunk.draw))
+    for tree, nodes in enumerate(chunk.nodes):
+        rows = np.flatnonzero(nodes >= 0)
+        if not len(rows):
+            continue
+        own, k, label = nodes.take(rows).astype(np.int64), classes[tree // per_target], chunk.labels[tree // per_target]
+        weighed = _row_weights(chunk.draw.take(rows), seed, tree) * chunk.weights.take(rows)
+        weights[rows] = weighed
+        whole = np.bincount(own * k + label.take(rows), weighed)
+        some = np.flatnonzero(whole)
+        yield np.full(len(some), tree), some // k, np.full(len(some), -1), some % k, whole[some]
+        if not share:
+            continue
+        sizes = np.bincount(own)
+        seeds, found = _seed(seed, tree, depth, np.arange(len(sizes))), np.flatnonzero(sizes > large)
+        for begin in range(0, len(found), at_once):
+            some = found[begin : begin + at_once]
+            flags, spare = np.empty((len(some), len(occurring)), bool), np.empty((2, len(some), len(occurring)), np.uint32)
+            spare[0] = occurring
+            _drawn(seeds[some][:, None], spare[0], spare[1], share, flags)
+            which, feature = np.nonzero(flags)
+            per_feature = firsts[feature + 1] - firsts[feature]
+            which, cell = np.repeat(some[which], per_feature), _ranges(firsts[feature], per_feature)
+            lengths = post.starts[cell + 1] - post.starts[cell]
+            hit = post.rows.take(_ranges(post.starts[cell], lengths))
+            kept = np.flatnonzero(nodes.take(hit) == np.repeat(which.astype(nodes.dtype), lengths))
+            hit, pair = hit.take(kept), np.repeat(np.arange(len(which)), lengths).take(kept)
+            keys, sums = _summed(pair * k + label.take(hit), weights.take(hit), len(which) * k)
+            pair = keys // k
+            yield np.full(len(keys), tree), which[pair], post.cells[cell[pair]], keys % k, sums
+        if len(found):
+            rest = np.flatnonzero((sizes <= large).take(own))
+            rows, own = rows.take(rest), own.take(rest)
+        if few is not None and (few.k != k or few.full()):
+            yield few.sums()
+            few = None
+        if len(rows):
+            few = few or _Few(chunk, hashed, k, share)
+            few.add(tree, rows, own, seeds, label, weights)
+    if few is not None:
+        yield few.sums()
+
+
 def _cells(chunks: RDD, spark: SparkSession, depth: int, seed: int, per_target: int, classes: list[int], share: float) -> DataFrame:
     """Weights by ``tree, node, cell, class``; a cell is a feature's bin, and -1 the whole node. Share 0 gives the latter alone."""
+    kinds = (np.int32, np.int32, np.int64, np.int32, np.float64)
 
     def add(chunk: _Chunk) -> Iterator[tuple[bytes]]:
-        hashed = chunk.cells // np.uint32(BINS) * np.uint32(0x9E3779B1)  # of the features
-        x, y = np.empty((2, chunk.nodes.shape[1]), np.uint32)
-        width, out = int(chunk.cells.max(initial=0)) + 1, []
-        for tree, nodes in enumerate(chunk.nodes):
-            rows = np.flatnonzero(nodes >= 0)
-            if not len(rows):
-                continue
-            own, k, label = nodes[rows].astype(np.int64), classes[tree // per_target], chunk.labels[tree // per_target][rows]
-            weight = _row_weights(chunk.draw[rows], seed, tree) * chunk.weights[rows]
-            whole = np.bincount(own * k + label, weight)
-            some = np.flatnonzero(whole)
-            out.append((tree, some // k, np.full(len(some), -1, np.int64), some % k, whole[some]))
-            if not share:
-                continue
-            seeds = _seed(seed, tree, depth, np.arange(own.max() + 1))[own]
-            entries = chunk.entries(rows)
-            ends = np.cumsum([n for _, n in entries])
-            chosen = np.zeros(-(-int(ends[-1]) // 8) * 8 if len(ends) else 0, bool)
-            for (begin, n), end in zip(entries, ends.tolist()):
-                np.take(hashed[begin:], rows[:n], out=x[:n], mode="clip")
-                _drawn(seeds[:n], x[:n], y[:n], share, chosen[end - n : end])
-            hit = _true_places(chosen)
-            which = np.searchsorted(ends, hit, side="right")
-            begins, starts = (np.array(a, np.int64) for a in ([b for b, _ in entries], [end - n for (_, n), end in zip(entries, ends.tolist())]))
-            at = hit - starts[which]
-            cells = chunk.cells[begins[which] + rows[at]].astype(np.int64)
-            at, cells = (a[cells % BINS > 0] for a in (at, cells))
-            keys, inverse = np.unique((own[at] * width + cells) * k + label[at], return_inverse=True)
-            nodes_of, rest = np.divmod(keys // k, width)
-            out.append((tree, nodes_of, rest, keys % k, np.bincount(inverse, weight[at], len(keys))))
+        out = list(_added(chunk, depth, seed, per_target, classes, share))
         for begin in range(0, len(out), 64):
-            some = out[begin : begin + 64]
-            joined = [np.concatenate([o[i] for o in some]) for i in range(1, 5)]
-            trees = np.concatenate([np.full(len(o[1]), o[0], np.int32) for o in some])
-            arrays = [trees, joined[0].astype(np.int32), joined[1], joined[2].astype(np.int32), joined[3]]
-            yield (pickle.dumps(arrays),)
+            yield (pickle.dumps([np.concatenate(column).astype(kind) for column, kind in zip(zip(*out[begin : begin + 64]), kinds)]),)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +485,7 @@ def _grow(chunks: DataFrame, features: int, classes: list[int], per_target: int,
     share = math.ceil(math.sqrt(features)) / features
     levels: list[list] = []  # by level and tree: feature, bin, left, shares
     # an RDD, because the plan of a cached table would hold the plans of all levels before it
-    held = chunks.rdd.map(lambda row: _sampled(_Chunk.of(row, targets), seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = chunks.rdd.map(lambda row: _sampled(_Chunk.of(row, targets), seed, trees)).persist(StorageLevel.MEMORY_AND_DISK)
     for level in range(depth + 1):
         last = level == depth
         best = _best(_cells(held, spark, level, seed, per_target, classes, 0 if last else share), per_target, classes, last).collect()
@@ -387,7 +532,7 @@ def fit(vectors: DataFrame, targets: dict[str, int], weight: str, draw: Column,
         raise ValueError(f"too many features: {features}")
     rows = vectors.select(nonzeros(F.col("features")).alias("entries"), *targets, F.col(weight).cast("double").alias("weight"), draw.alias("_draw"))
     spark, edges = vectors.sparkSession, bin_edges(rows)
-    chunks = _chunks(rows, list(targets), spark.sparkContext.broadcast(edges), trees * len(targets))
+    chunks = _chunks(rows, list(targets), spark.sparkContext.broadcast(edges))
     grown = _grow(chunks, features, list(targets.values()), trees, depth, seed)
     return ForestModel(edges, dict(zip(targets, grown)))
 
@@ -395,21 +540,109 @@ def fit(vectors: DataFrame, targets: dict[str, int], weight: str, draw: Column,
 # ---------------------------------------------------------------------------------------------------- scoring
 
 
-def _probabilities(trees: Trees, columns: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """Mean shares of the leaves that rows reach; ``bins`` has a column for each feature of ``columns``."""
-    place = np.searchsorted(columns, np.maximum(trees.feature, columns[0] if len(columns) else 0)).astype(np.int32)
-    total = np.zeros((len(bins), trees.shares.shape[1]))
-    for root in trees.roots:
-        node, open_rows = np.full(len(bins), root, np.int32), np.arange(len(bins))
-        while len(open_rows):
-            own = node[open_rows]
-            left = trees.left[own]
-            open_rows, own, left = (x[left >= 0] for x in (open_rows, own, left))
-            node[open_rows] = left + (bins[open_rows, place[own]] >= trees.bin[own])
-        total += trees.shares[node]
+@dataclass
+class _Paths:
+    """The trees of a target as rows go through them. A row carries the number of the node at which it last went to the right (or of the
+    root), its label: all rows of one label are at the same node of a level, the one reached from there by going to the left. So
+    only the rows that go to the right in a node are looked at."""
+
+    trees: Trees
+    levels: list[tuple[np.ndarray, np.ndarray]]  # the nodes that are split, and their trees
+    label: np.ndarray
+    leaf: np.ndarray  # of a label: where going to the left ends
+
+    @classmethod
+    def of(cls, trees: Trees) -> _Paths:
+        nodes, tree, levels = trees.roots.astype(np.int64), np.arange(len(trees.roots)), []
+        label = leaf = np.arange(len(trees.left), dtype=np.int32)
+        label, leaf = label.copy(), leaf.copy()
+        while True:
+            split = trees.left[nodes] >= 0
+            nodes, tree = nodes[split], tree[split]
+            if not len(nodes):
+                break
+            levels.append((nodes, tree))
+            left = trees.left[nodes].astype(np.int64)
+            label[left] = label[nodes]
+            nodes, tree = np.concatenate([left, left + 1]), np.concatenate([tree, tree])
+        for nodes, _ in reversed(levels):
+            leaf[nodes] = leaf[trees.left[nodes]]
+        return cls(trees, levels, label, leaf)
+
+
+def _probabilities(paths: _Paths, postings: _Postings, n: int, bins) -> np.ndarray:
+    """Mean shares of the leaves that ``n`` rows reach. ``bins(rows, features)`` tells the bins of rows one by one; it is asked where the rows of a
+    label are few and those with the split's feature are many."""
+    trees, label = paths.trees, paths.label
+    at = np.repeat(label[trees.roots], n)  # labels, tree after tree
+    sizes = np.zeros(len(trees.left), np.int64)  # rows at a node
+    sizes[trees.roots] = n
+    for nodes, tree in paths.levels:
+        some = sizes[nodes] > 0
+        nodes, tree = nodes[some], tree[some]
+        if not len(nodes):
+            break
+        begins, lengths = postings.above(trees.feature[nodes], trees.bin[nodes])
+        costly = lengths > STEP_COST * sizes[nodes]
+        if (lengths - STEP_COST * sizes[nodes])[costly].sum() * PASS_COST <= len(at):  # all labels are looked through to find the rows of some
+            costly[:] = False
+        left, right = trees.left[nodes].astype(np.int64), np.zeros(len(nodes), np.int64)
+        cheap, rows, here = ~costly, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if costly.any():
+            place = np.full(len(label), -1, np.int32)
+            place[label[nodes[costly]]] = np.flatnonzero(costly)
+            which = place[at]
+            rows = np.flatnonzero(which >= 0)
+            here = which[rows]
+            high = bins(rows % n, trees.feature[nodes][here]) >= trees.bin[nodes][here]
+            rows, here = rows[high], here[high]
+        lengths = lengths[cheap]
+        found = postings.rows[_ranges(begins[cheap], lengths)] + np.repeat(tree[cheap] * n, lengths)
+        kept = np.flatnonzero(at[found] == np.repeat(label[nodes[cheap]], lengths))
+        rows, here = np.append(rows, found[kept]), np.append(here, np.repeat(np.flatnonzero(cheap), lengths)[kept])
+        at[rows] = (left + 1)[here]
+        right = np.bincount(here, minlength=len(nodes))
+        sizes[left + 1], sizes[left] = right, sizes[nodes] - right
+    total = np.zeros((n, trees.shares.shape[1]))
+    for leaves in paths.leaf[at].reshape(-1, n):
+        total += trees.shares[leaves]
     return total / total.sum(axis=1, keepdims=True)
 
 
+def _laid_out(rows: np.ndarray, features: np.ndarray, bins: np.ndarray, n: int):
+    """A function that gives the bins of rows in features; 0 where a row has no entry. They are laid out side by side when first asked for."""
+
+    @functools.cache
+    def table() -> tuple[np.ndarray, np.ndarray]:
+        columns = np.unique(features)
+        side = np.zeros((n, len(columns) + 1), np.uint8)
+        side[rows, np.searchsorted(columns, features)] = bins
+        return columns, side
+
+    def look(of: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        columns, side = table()
+        place = np.searchsorted(columns, wanted)
+        place[np.append(columns, -1)[place] != wanted] = len(columns)
+        return side[of, place]
+
+    return look
+
+
+def _answers(indices: pa.Array, values: pa.Array, edges: np.ndarray, paths: dict[str, _Paths], used: np.ndarray) -> list[pa.Array]:
+    """Probabilities and predictions of each target for some rows' entries; features that are not ``used`` are passed over."""
+    lengths, features = _flat(indices)
+    n, bins = len(lengths), _bins(_keys(features, _flat(values)[1]), features, edges)
+    known = np.flatnonzero((np.append(used, -1)[np.searchsorted(used, features)] == features) & (bins > 0))
+    rows, features, bins = np.repeat(np.arange(n), lengths)[known], features[known], bins[known]
+    postings = _Postings.of(rows, features.astype(np.uint32) * np.uint32(BINS) + bins)
+    look, out = _laid_out(rows, features, bins, n), []
+    for path in paths.values():
+        shares = _probabilities(path, postings, n, look)
+        offsets = np.arange(n + 1, dtype=np.int32) * shares.shape[1]
+        out += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.ravel())), pa.array(shares.argmax(axis=1).astype(float))]
+    return out
+
+
 class ForestModel(Model, MLWritable, MLReadable):
     """Adds ``<target>_probability`` (array) and ``<target>_prediction`` for each target, a column ``<name>_index``."""
 
@@ -422,25 +655,14 @@ class ForestModel(Model, MLWritable, MLReadable):
         names = {t: t.removesuffix("_index") for t in self.trees}
         fields = [f for n in names.values() for f in (T.StructField(f"{n}_probability", T.ArrayType(T.DoubleType())), T.StructField(f"{n}_prediction", T.DoubleType()))]
 
-        @F.pandas_udf(T.StructType(fields))
-        def scored(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        @F.arrow_udf(T.StructType(fields))
+        def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             edges, trees = sent.value
-            columns = np.unique(np.concatenate([t.feature[t.feature >= 0] for t in trees.values()]))
-            out = {f.name: [] for f in fields}
-            for at in range(0, len(indices), SCORED_ROWS):
-                some = indices.iloc[at : at + SCORED_ROWS]
-                owner = np.repeat(np.arange(len(some)), [len(x) for x in some])
-                flat = np.concatenate([*some, np.zeros(0)]).astype(np.int64)
-                entries = _bins(_keys(flat, np.concatenate([*values.iloc[at : at + SCORED_ROWS], np.zeros(0)])), flat, edges)
-                place = np.searchsorted(columns, flat)
-                known = np.flatnonzero(np.append(columns, -1)[place] == flat)
-                bins = np.zeros((len(some), len(columns) + 1), np.uint8)
-                bins[owner[known], place[known]] = entries[known]
-                for target, name in names.items():
-                    shares = _probabilities(trees[target], columns, bins)
-                    out[f"{name}_probability"] += list(shares)
-                    out[f"{name}_prediction"].append(shares.argmax(axis=1).astype(float))
-            return pd.DataFrame({n: np.concatenate([*v, np.zeros(0)]) if n.endswith("_prediction") else pd.Series(v, dtype=object) for n, v in out.items()})
+            paths = {t: _Paths.of(trees[t]) for t in names}
+            used = np.unique(np.concatenate([t.feature[t.feature >= 0] for t in trees.values()]))
+            for indices, values in batches:
+                parts = [_answers(indices.slice(at, SCORED_ROWS), values.slice(at, SCORED_ROWS), edges, paths, used) for at in range(0, len(indices), SCORED_ROWS)]
+                yield pa.StructArray.from_arrays([pa.concat_arrays(column) for column in zip(*parts)], names=[f.name for f in fields])
 
         entries = nonzeros(F.col("features"))
         answered = dataset.withColumn("_scored", scored(entries["indices"], entries["values"]))

@@ -593,3 +593,124 @@ def test_forest_chunk_steps_rows_by_their_entries():
     assert by_row == {0: [0, 0], 1: [1, 1], 2: [0, 0], 3: [0, 1]}
     leaf = (np.array([-1], np.int32), np.array([0], np.int32), np.array([-1], np.int32))
     assert (forest._moved(chunk, [leaf, split(9, 3)]).nodes[0] == -1).all()
+
+
+def _forest_chunk(rows=400, features=60, seed=5):
+    """A chunk of rows with up to a dozen entries, two classes of labels, and their entries as a dictionary a row."""
+    import numpy as np
+
+    from ledgerloom.operators import forest
+
+    random = np.random.default_rng(seed)
+    entries = [{int(f): int(b) for f, b in zip(random.choice(features, n, replace=False), random.integers(0, 4, n))} for n in random.integers(0, 12, rows)]
+    labels, weights = random.integers(0, 3, (2, rows)).astype(np.int32), random.integers(1, 4, rows).astype(np.float64)
+    flat = lambda pick, kind: np.array([x for e in entries for x in pick(dict(sorted(e.items())))], kind).tobytes()
+    lengths, draw = np.array([len(e) for e in entries], np.int32), random.integers(0, 2**63, rows).astype(np.int64)
+    arrays = [draw.tobytes(), lengths.tobytes(), flat(lambda e: e.keys(), np.int32), flat(lambda e: e.values(), np.uint8), labels.tobytes(), weights.tobytes(), b""]
+    chunk = forest._Chunk.of(dict(zip(forest.CHUNK.names, arrays)), 2)
+    return chunk, [entries[i] for i in np.argsort(-lengths, kind="stable")]
+
+
+def test_forest_weights_are_those_of_the_whole_random_number():
+    import numpy as np
+
+    from ledgerloom.operators import forest
+
+    draw = np.random.default_rng(1).integers(0, 2**63, 1 << 20).astype(np.uint64)
+    u = forest._mixed(draw + forest._mixed(np.full(1, (42 << 20) + 8, np.uint64)))
+    assert (forest._BY_TOP[u >> np.uint64(48)] == forest._UNSURE).any()  # a bound of the distribution is near
+    assert (forest._row_weights(draw, 42, 7) == np.searchsorted(forest._WEIGHTS, (u >> np.uint64(11)) * 2.0**-53, side="right")).all()
+
+
+@pytest.mark.parametrize("cost, few", [(0, 1 << 15), (1e9, 1), (1e9, 1 << 15), (20, 1 << 15)])
+def test_forest_sums_are_the_same_by_postings_and_by_entries(monkeypatch, cost, few):
+    """Nodes by the postings of their features, by their rows tree after tree or several trees together, or both; against plain loops."""
+    from collections import Counter
+    from dataclasses import replace
+
+    import numpy as np
+
+    from ledgerloom.operators import forest
+
+    monkeypatch.setattr(forest, "POSTING_COST", cost)
+    monkeypatch.setattr(forest, "FEATURE_COST", cost)
+    monkeypatch.setattr(forest, "FEW_ROWS", few)
+    chunk, entries = _forest_chunk()
+    chunk, trees, share = forest._sampled(chunk, 42, 6), 6, 0.4
+    assert chunk.nodes.dtype == np.int8  # a byte for each row and tree is kept from level to level
+    nodes = np.where(chunk.nodes >= 0, np.random.default_rng(2).choice([0, 0, 0, 0, 1, 2], chunk.nodes.shape), -1).astype(np.int8)
+    expected = Counter()
+    for tree in range(trees):
+        weights = forest._row_weights(chunk.draw, 42, tree) * chunk.weights
+        seeds = forest._seed(42, tree, 3, np.arange(3))
+        for row, node in enumerate(nodes[tree].tolist()):
+            if node < 0:
+                continue
+            label = int(chunk.labels[tree // 3][row])
+            expected[tree, node, -1, label] += weights[row]
+            for feature, bin in entries[row].items():
+                x, y, drawn = np.array([feature * 0x9E3779B1 & 0xFFFFFFFF], np.uint32), np.empty(1, np.uint32), np.empty(1, bool)
+                forest._drawn(seeds[node : node + 1], x, y, share, drawn)
+                if drawn[0] and bin:
+                    expected[tree, node, feature * forest.BINS + bin, label] += weights[row]
+    found = Counter()
+    for part in forest._added(replace(chunk, nodes=nodes), 3, 42, 3, [3, 3], share):
+        for *key, weight in zip(*(column.tolist() for column in part)):
+            assert tuple(key) not in found
+            found[tuple(key)] = weight
+    assert len(found) > 100 and found == expected
+
+
+@pytest.mark.parametrize("cost", [0, 1e9])
+def test_forest_rows_step_and_are_scored_the_same_by_postings_and_by_entries(monkeypatch, cost):
+    from dataclasses import replace
+
+    import numpy as np
+
+    from ledgerloom.operators import forest
+
+    monkeypatch.setattr(forest, "STEP_COST", cost)
+    monkeypatch.setattr(forest, "PASS_COST", 1e9)
+    chunk, entries = _forest_chunk()
+    random, n = np.random.default_rng(3), len(entries)
+    expected = np.zeros((n, 3))
+    levels, chunk = [], replace(chunk, nodes=np.zeros((4, n), np.int8))
+    at, leaves = chunk.nodes.astype(int), {}
+    for level in range(9):  # so many nodes that they need two bytes
+        splits = []
+        for tree in range(4):
+            count = 1 if level == 0 else 2 * int((levels[-1][tree][0] >= 0).sum())
+            feature = np.where((random.random(count) < 0.9) & (level < 8), random.integers(0, 60, count), -1).astype(np.int32)
+            left = np.where(feature >= 0, 2 * (np.cumsum(feature >= 0) - 1), -1).astype(np.int32)
+            splits.append((feature, random.integers(1, 4, count).astype(np.int32), left, random.random((count, 3)) + 0.1))
+        levels.append(splits)
+        moved = forest._moved(chunk, [s[:3] for s in splits])
+        for tree, (feature, lowest, left, shares) in enumerate(splits):
+            for row in range(n):
+                node = at[tree][row]
+                if node >= 0 and left[node] < 0:
+                    leaves[tree, row] = shares[node]
+                at[tree][row] = -1 if node < 0 or left[node] < 0 else left[node] + (entries[row].get(int(feature[node]), 0) >= lowest[node])
+        assert (moved.nodes == at).all()
+        chunk = moved
+    assert max(len(s[0]) for s in levels[-1]) > 128
+    for tree in range(4):
+        expected += [leaves[tree, row] for row in range(n)]
+    rows, features, bins = (np.array(x) for x in zip(*[(r, f, b) for r, e in enumerate(entries) for f, b in e.items() if b]))
+    postings = forest._Postings.of(rows, (features * forest.BINS + bins).astype(np.uint32))
+    asked, look = [], forest._laid_out(rows, features, bins.astype(np.uint8), n)
+    paths = forest._Paths.of(forest._joined(levels, range(4)))
+    found = forest._probabilities(paths, postings, n, lambda *a: asked.append(len(a[0])) or look(*a))
+    assert np.array_equal(found, expected / expected.sum(axis=1, keepdims=True)) and bool(asked) == (cost == 0)
+
+
+def test_forest_scores_rows_without_entries(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from ledgerloom.operators import forest
+
+    trees = forest.Trees(np.array([0]), *(np.array(x, np.int32) for x in ([7, -1, -1], [1, 0, 0], [1, -1, -1])), np.array([[0, 0], [1, 3], [3, 1]], float))
+    frame = spark.createDataFrame([(0, Vectors.sparse(9, {})), (1, Vectors.sparse(9, {7: 2.0})), (2, Vectors.dense([1.0] * 9)), (3, Vectors.sparse(9, {1: 5.0}))], ["id", "features"])
+    scored = forest.ForestModel(np.array([7 << 32 | 1]), {"a_index": trees}).transform(frame).select("id", "a_probability", "a_prediction")
+    assert sorted(map(tuple, scored.collect())) == [(0, [0.25, 0.75], 1.0), (1, [0.75, 0.25], 0.0), (2, [0.75, 0.25], 0.0), (3, [0.25, 0.75], 1.0)]
